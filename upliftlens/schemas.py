@@ -1,17 +1,41 @@
-"""Fixed schemas of every table, as Spark DDL."""
+"""Fixed schemas of every table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import (
+    DataType,
+    DoubleType,
+    IntegerType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
+    TimestampNTZType,
+)
+
+_TYPES: dict[str, DataType] = {
+    "bigint": LongType(),
+    "double": DoubleType(),
+    "int": IntegerType(),
+    "string": StringType(),
+    "timestamp_ntz": TimestampNTZType(),
+}
+
+
+def _schema(columns: str) -> StructType:
+    """'name type, ...' as a schema; unlike DDL parsing this needs no running session."""
+    pairs = (column.split() for column in columns.split(","))
+    return StructType([StructField(name, _TYPES[kind]) for name, kind in pairs])
+
 
-RAW_EVENTS = StructType.fromDDL(
+RAW_EVENTS = _schema(
     "event_time timestamp_ntz, event_type string, product_id bigint, category_code string, "
     "brand string, price string, user_id bigint, user_session string"
 )
 
-SESSIONS = StructType.fromDDL(
+SESSIONS = _schema(
     "user_session string, user_id bigint, views bigint, carts bigint, removes bigint, "
     "purchases bigint, gross_revenue double, max_price double, category_top string, brand string, "
     "hour int, is_weekend int, week_num int, session_start timestamp_ntz, converted int, "
@@ -20,25 +44,25 @@ SESSIONS = StructType.fromDDL(
 
 TREATED_SESSIONS = StructType(
     SESSIONS.fields
-    + StructType.fromDDL(
+    + _schema(
         "ab_group string, discount_applied double, net_revenue double, coupon_triggered int"
     ).fields
 )
 
-AB_RESULTS = StructType.fromDDL(
+AB_RESULTS = _schema(
     "ab_group string, sessions bigint, conversions bigint, conversion_rate double, "
     "gross_revenue double, discount_cost double, net_revenue double, revenue_per_session double, "
     "avg_order_value double, conv_lift_pct double, rev_change_pct double, p_value double, "
     "is_significant int, profit_pass int"
 )
 
-SEGMENT_RESULTS = StructType.fromDDL(
+SEGMENT_RESULTS = _schema(
     "category_top string, ab_group string, sessions bigint, conversions bigint, "
     "gross_revenue double, discount_cost double, net_revenue double, conversion_rate double, "
     "revenue_per_session double, segment_type string, price_bucket string, user_type string"
 )
 
-PROFIT_IMPACT = StructType.fromDDL(
+PROFIT_IMPACT = _schema(
     "category_top string, ab_group string, sessions bigint, conversions bigint, "
     "gross_revenue double, discount_cost double, net_revenue_b double, conversion_rate_b double, "
     "revenue_per_session double, segment_type string, price_bucket string, user_type string, "
