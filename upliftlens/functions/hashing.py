@@ -14,7 +14,7 @@ def hash_bucket(user_id: Column, salt: str) -> Column:
     # conv handles 64 bits, so each half is reduced alone: the last two decimal digits of a number
     # are the number modulo 100. 2^64 = 16 (mod 100) joins the halves.
     high, low = (
-        F.right(F.conv(F.substring(digest, start, 16), 16, 10), F.lit(2)).cast("int")
+        F.substring(F.conv(F.substring(digest, start, 16), 16, 10), -2, 2).cast("int")
         for start in (1, 17)
     )
     return (high * 16 + low) % 100

@@ -1,8 +1,8 @@
 """Prices, guarded ratios, exact money sums and rounding.
 
 Sums of doubles depend on the order of addition, so a distributed sum would differ from run to run.
-Money is therefore summed as DECIMAL with six places. An amount that does not fit (infinite, or at
-least 10^12) is kept too: it goes to a separate double sum and is added at the end.
+Money is therefore summed exactly, as whole millionths in a DECIMAL. An amount that does not fit
+(infinite, or at least 10^11) is kept too: it goes to a separate double sum and is added at the end.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from pyspark.sql.types import DataType, StringType
 
 from upliftlens.config import DEFAULT, ExperimentConfig
 
-MONEY = "decimal(18,6)"
+MILLION = 1e6
+LARGEST_EXACT = 1e11
 
 # Plain and exponent notation or an infinity. A bare cast also takes Java suffixes such as '1d'.
 NUMBER = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?)\s*$"
@@ -49,29 +50,32 @@ def ratio_or_null(num: Column, den: Column) -> Column:
 
 
 def money_sum(amount: Column) -> Column:
-    """Aggregate amounts to a struct with an exact part and the part that does not fit it."""
-    exact = amount.try_cast(MONEY)
+    """Aggregate amounts to a struct with an exact part, in millionths, and the part that does not fit it.
+
+    Millionths come from a long: casting the double itself to DECIMAL would go through text.
+    """
+    fits = F.abs(amount) < LARGEST_EXACT
+    millionths = F.rint(amount * MILLION).cast("bigint").cast("decimal(18,0)")
     return F.struct(
-        F.sum(exact).alias("exact"), F.sum(F.when(exact.isNull(), amount)).alias("rest")
+        F.sum(F.when(fits, millionths)).alias("exact"), F.sum(F.when(~fits, amount)).alias("rest")
     )
 
 
 def money_merge(part: Column) -> Column:
     """Aggregate the structs of `money_sum` further."""
-    return F.struct(
-        F.sum(part["exact"]).alias("exact"), F.sum(part["rest"]).alias("rest")
-    )
+    return F.struct(F.sum(part["exact"]).alias("exact"), F.sum(part["rest"]).alias("rest"))
 
 
 def money_value(total: Column) -> Column:
     """The struct of `money_sum` as a double; 0 when nothing was summed."""
     zero = F.lit(0.0)
-    return F.coalesce(total["exact"].cast("double"), zero) + F.coalesce(total["rest"], zero)
+    exact = total["exact"].cast("double") / MILLION
+    return F.coalesce(exact, zero) + F.coalesce(total["rest"], zero)
 
 
 def money_rounded(total: Column, places: int = 2) -> Column:
     """The struct of `money_sum` rounded half up, NULL when nothing was summed."""
-    exact = F.round(total["exact"], places).cast("double")
+    exact = F.round(total["exact"] * F.lit("0.000001").cast("decimal(6,6)"), places).cast("double")
     both = F.round(money_value(total), places)
     return F.when(total["rest"].isNull(), exact).otherwise(both)
 

@@ -15,6 +15,9 @@ from upliftlens.sources.events import INPUT_ORDER
 
 SESSION_KEY = ("user_session", "user_id")
 
+# Stores a relation under a label and reads it back.
+Stage = Callable[[DataFrame, str], DataFrame]
+
 
 def _order_of(events: DataFrame, order_by: Sequence[str] | None) -> tuple[str, ...]:
     if order_by is not None:
@@ -89,7 +92,9 @@ def with_user_type(base: DataFrame, counts: DataFrame) -> DataFrame:
     """Add the user's session count and New / Returning.
 
     A join and not a window: a window would sort all sessions of a heavy user in one task, while the
-    partition of such a user in the join is split at run time (adaptive skew join).
+    partition of such a user in the join is split at run time (adaptive skew join). Spark only does so
+    when both inputs of the join are bare shuffles; an aggregate on top of one prevents it, so `counts`
+    has to be a stored table where users can be that heavy.
     """
     new = F.col("total_sessions") == 1
     return base.join(counts, "user_id", "left").withColumns(
@@ -104,18 +109,22 @@ def build_sessions(
     events: DataFrame,
     cfg: ExperimentConfig = DEFAULT,
     order_by: Sequence[str] | None = None,
-    stage: Callable[[DataFrame], DataFrame] | None = None,
+    stage: Stage | None = None,
 ) -> DataFrame:
     """The 20-column session table.
 
-    Sessions are needed twice, as rows and counted per user. `stage` (for instance
-    `sources.storage.materialise`) stores them in between, so that the events are read once;
-    without it Spark reads the pruned key columns of the events a second time.
+    Sessions are needed twice, as rows and counted per user. `stage` stores both, so that the events
+    are read once and a heavy user's sessions can be split (see `with_user_type`). Without it Spark
+    reads the pruned key columns of the events a second time, which is quicker for small inputs;
+    `sources.storage.stage_for` chooses by input size.
     """
     base = session_build(events, order_by)
     if stage:
-        base = stage(base)
-    full = with_user_type(session_features(base, cfg), user_session_counts(base))
+        base = stage(base, "session_base")
+    counts = user_session_counts(base)
+    if stage:
+        counts = stage(counts, "user_session_counts")
+    full = with_user_type(session_features(base, cfg), counts)
     return schemas.conform(full, schemas.SESSIONS)
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
 from upliftlens import schemas
@@ -16,22 +14,16 @@ from upliftlens.operators.sessions import build_sessions
 from upliftlens.operators.treatment import apply_treatment
 from upliftlens.plans.reports import REPORTS
 from upliftlens.sources.events import load_raw
-from upliftlens.sources.storage import (
-    materialise,
-    read_parquet,
-    write_csv,
-    write_parquet,
-)
+from upliftlens.sources.storage import read_parquet, stage_for, write_csv, write_parquet
 
 
 def run_etl(
     raw: DataFrame,
     cfg: ExperimentConfig = DEFAULT,
     order_by: tuple[str, ...] | None = None,
-    stage: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Stage 1: raw events -> sessions."""
-    return build_sessions(clean_events(raw), cfg, order_by, stage)
+    """Stage 1: raw events -> sessions. Lazy for small inputs; large ones go through stored tables."""
+    return build_sessions(clean_events(raw), cfg, order_by, stage_for(raw))
 
 
 def treat(sessions: DataFrame, cfg: ExperimentConfig = DEFAULT) -> DataFrame:
@@ -75,10 +67,7 @@ def run_pipeline(
         write_parquet(df, path)
         return read_parquet(spark, path, df.schema)
 
-    sessions = store(
-        run_etl(load_raw(spark, raw_path), cfg, stage=lambda df: materialise(df, "session_base")),
-        "untreated_sessions",
-    )
+    sessions = store(run_etl(load_raw(spark, raw_path), cfg), "untreated_sessions")
     treated = store(treat(sessions, cfg), "sessions")
     segments = store(segment_results(treated), "segment_results")
     tables = {

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from upliftlens.functions.numbers import (
     money_rounded,
     money_sum,
+    money_value,
     ratio_or_null,
     rounded_money,
     rounded_ratio,
@@ -120,10 +121,8 @@ def _by_group_and(sessions: DataFrame, key: str, *more: Column) -> DataFrame:
 
 def report_user_type(sessions: DataFrame) -> DataFrame:
     """A-4: new against returning users."""
-    net = money_sum(F.col("net_revenue"))
-    per_session = rounded_ratio(
-        ratio_or_null(net["exact"].cast("double") + F.coalesce(net["rest"], F.lit(0.0)), _count()), 2
-    )
+    net = money_value(money_sum(F.col("net_revenue")))
+    per_session = rounded_ratio(ratio_or_null(net, _count()), 2)
     return _by_group_and(
         sessions,
         "user_type",

@@ -22,8 +22,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ts, kind = F.col("ts"), F.col("event_type")
-    k = F.regexp_extract("props", "([0-9]+)", 1).cast("bigint")
+    k, ts, kind = F.col("k"), F.col("ts"), F.col("event_type")
     day = F.dayofyear(ts)
     category = (
         F.when(k % 7 == 0, F.lit(None))
@@ -38,24 +37,29 @@ def from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k % 5 == 1, " Acme ")
         .otherwise(F.concat(F.lit("Brand"), (k % 5).cast("string")))
     )
-    return _table(spark, sf_dir, "events").select(
-        ts.alias("event_time"),
-        F.when(kind == "click", "cart")
-        .when(kind == "error", "remove_from_cart")
-        .otherwise(kind)
-        .alias("event_type"),
-        k.alias("product_id"),
-        category.alias("category_code"),
-        brand.alias("brand"),
-        F.col("value").alias("price"),
-        (F.col("user_id") * 1000 + day).alias("user_id"),  # a user-day, so that new users exist
-        F.concat_ws(
-            "-",
-            F.col("user_id").cast("string"),
-            day.cast("string"),
-            F.floor(F.hour(ts) / 6).cast("string"),
-        ).alias("user_session"),
-        "event_id",
+    product = F.regexp_extract("props", "([0-9]+)", 1).cast("bigint")
+    return (
+        _table(spark, sf_dir, "events")
+        .withColumn("k", product)
+        .select(
+            ts.alias("event_time"),
+            F.when(kind == "click", "cart")
+            .when(kind == "error", "remove_from_cart")
+            .otherwise(kind)
+            .alias("event_type"),
+            k.alias("product_id"),
+            category.alias("category_code"),
+            brand.alias("brand"),
+            F.col("value").alias("price"),
+            (F.col("user_id") * 1000 + day).alias("user_id"),  # a user-day, so that new users exist
+            F.concat_ws(
+                "-",
+                F.col("user_id").cast("string"),
+                day.cast("string"),
+                F.floor(F.hour(ts) / 6).cast("string"),
+            ).alias("user_session"),
+            "event_id",
+        )
     )
 
 

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+# Inputs beyond this size are worth an intermediate table.
+STAGING_LIMIT = 1 << 30
+
 CSV_OPTIONS = {
     "header": "true",
     "escape": '"',
@@ -55,13 +59,27 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return read_parquet(df.sparkSession, path, df.schema)
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Size of the files below `df`, from file listings; nothing is read."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (leaves.apply(i).stats().sizeInBytes() for i in range(leaves.size()))
+    return sum(int(str(size)) for size in sizes)
+
+
+def stage_for(df: DataFrame, limit: int = STAGING_LIMIT) -> Callable[[DataFrame, str], DataFrame] | None:
+    """`materialise` for plans over large inputs, None for inputs that are cheaper to read twice."""
+    return materialise if input_bytes(df) > limit else None
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """One file per partition; nothing is gathered into a single task."""
     df.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    return spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
+    """Read what `write_csv` wrote: an empty field is NULL, a quoted empty field an empty text."""
+    reader = spark.read.schema(schema).options(**CSV_OPTIONS)
+    return reader.option("nullValue", "\0").csv(path)
 
 
 def write_table(df: DataFrame, name: str, path: str | None = None) -> None:
