@@ -47,6 +47,10 @@ class Tables:
         return sessions.session_features(self.base())
 
     def sessions(self) -> DataFrame:
+        """Without the first event's texts, which only the segments and the full table use."""
+        return pipeline.run_etl(self.raw(), order_by=TIE_BREAKERS[self.source], texts=False)
+
+    def full_sessions(self) -> DataFrame:
         return pipeline.run_etl(self.raw(), order_by=TIE_BREAKERS[self.source])
 
     def assigned(self) -> DataFrame:
@@ -55,15 +59,18 @@ class Tables:
     def treated(self) -> DataFrame:
         return pipeline.treat(self.sessions())
 
+    def full_treated(self) -> DataFrame:
+        return pipeline.treat(self.full_sessions())
+
     def segments(self) -> DataFrame:
-        return segments.segment_results(self.treated())
+        return segments.segment_results(self.full_treated())
 
     def profit(self) -> DataFrame:
         return segments.profit_impact(self.segments())
 
     def all(self) -> dict[str, DataFrame]:
         """The four stored tables, computed from one pass over the events."""
-        treated = storage.materialise(self.treated(), "sessions")
+        treated = storage.materialise(self.full_treated(), "sessions")
         parts = storage.materialise(segments.segment_results(treated), "segment_results")
         return {
             "sessions": treated,
@@ -89,7 +96,7 @@ def load_raw_events(t: Tables) -> DataFrame:
 
 def stage_reentry(t: Tables) -> DataFrame:
     """Every stage restarts from what the stage before it stored."""
-    stored = storage.materialise(t.sessions(), "untreated_sessions")
+    stored = storage.materialise(t.full_sessions(), "untreated_sessions")
     treated = storage.materialise(pipeline.treat(stored), "sessions")
     return pipeline.run_segments(treated)[1]
 
@@ -208,7 +215,7 @@ def cdf_of_prices(t: Tables) -> DataFrame:
 
 
 def segment_kpis(t: Tables) -> DataFrame:
-    return segments.segment_kpis(t.treated(), ["category_top", "user_type"])
+    return segments.segment_kpis(t.full_treated(), ["category_top", "user_type"])
 
 
 def quality_duplicates(t: Tables) -> DataFrame:
@@ -255,7 +262,7 @@ OPERATORS: dict[str, tuple[str, Callable[[Tables], DataFrame]]] = {
     "session_features": ("orders", Tables.features),
     "price_bucket": ("orders", price_buckets),
     "user_session_counts": ("events", lambda t: sessions.user_session_counts(t.base())),
-    "user_type": ("events", Tables.sessions),
+    "user_type": ("events", Tables.full_sessions),
     "run_summary": ("events", lambda t: sessions.run_summary(t.sessions())),
     # experiment
     "hash_bucket": ("events", hash_buckets),
@@ -271,7 +278,7 @@ OPERATORS: dict[str, tuple[str, Callable[[Tables], DataFrame]]] = {
     "lift_probability": ("orders", lift_probability),
     "hash_bernoulli": ("events", hash_bernoulli),
     "discount_policy": ("orders", discount_policy),
-    "apply_treatment": ("orders", Tables.treated),
+    "apply_treatment": ("orders", Tables.full_treated),
     "treatment_summary": ("orders", lambda t: treatment.treatment_summary(t.treated())),
     "normal_cdf": ("events", cdf_of_prices),
     "z_test": (
@@ -303,12 +310,11 @@ REPORT_SOURCE = {
 
 def _report(name: str, t: Tables) -> DataFrame:
     table, report = REPORTS[name]
-    treated = t.treated()
     if table == "sessions":
-        return report(treated)
+        return report(t.treated())
     if table == "ab_results":
-        return report(kpis.ab_results(treated))
-    return report(pipeline.run_segments(treated)[1])
+        return report(kpis.ab_results(t.treated()))
+    return report(t.profit())
 
 
 def definitions() -> dict[str, tuple[str, Callable[[Tables], DataFrame]]]:

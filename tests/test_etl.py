@@ -134,6 +134,9 @@ def test_staged_sessions_equal_lazy_sessions(spark, log):
     lazy = sessions.build_sessions(events)
     staged = sessions.build_sessions(events, stage=storage.materialise)
     assert rows(lazy) == rows(staged)
+    slim = sessions.build_sessions(events, stage=storage.materialise, texts=False)
+    assert slim.columns == [c for c in lazy.columns if c not in ("category_top", "brand")]
+    assert rows(slim) == rows(lazy.drop("category_top", "brand"))
 
 
 def test_staging_depends_on_the_input_size(spark, log):

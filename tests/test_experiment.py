@@ -228,7 +228,8 @@ def test_hash_is_computed_once_per_session(spark, sf_dir):
 def test_treat_has_the_fixed_schema(spark, sf_dir):
     import __spark_entry__ as entry
 
-    treated = entry.Tables("events", spark, sf_dir).treated()
-    assert treated.schema.simpleString() == schemas.TREATED_SESSIONS.simpleString()
-    _, kpi = pipeline.run_experiment(entry.Tables("events", spark, sf_dir).sessions())
+    t = entry.Tables("events", spark, sf_dir)
+    assert t.full_treated().schema.simpleString() == schemas.TREATED_SESSIONS.simpleString()
+    assert set(schemas.TREATED_SESSIONS.names) - set(t.treated().columns) == set(schemas.FIRST_TEXTS)
+    _, kpi = pipeline.run_experiment(t.full_sessions())
     assert kpi.columns == schemas.AB_RESULTS.names

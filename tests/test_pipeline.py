@@ -108,9 +108,12 @@ def test_hot_session_and_hot_user(spark):
 
 
 def test_hot_session_is_aggregated_before_the_shuffle(spark):
-    plan = executed_plan(sessions.session_build(hot_events(spark)))
+    base = sessions.session_build(hot_events(spark))
+    plan = executed_plan(base)
     shuffle = plan.index("Exchange hashpartitioning")
     assert "Aggregate(" in plan[:shuffle] and "partial_min" in plan[shuffle:]
+    assert "SortAggregate" in plan
+    assert "SortAggregate" not in executed_plan(base.drop("category_top", "brand"))
 
 
 def spread(df, label):
@@ -125,6 +128,7 @@ def test_hot_user_partition_is_split_in_the_join(spark, tmp_path):
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1000",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "40000",
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
     }
@@ -132,10 +136,11 @@ def test_hot_user_partition_is_split_in_the_join(spark, tmp_path):
     for k, v in settings.items():
         spark.conf.set(k, v)
     try:
-        staged = sessions.build_sessions(hot_events(spark), stage=spread)
-        for final in (staged, segment_results(pipeline.treat(staged))):
-            final.collect()
-            assert "skew=true" in executed_plan(final)
+        events = hot_events(spark)
+        for built in (sessions.build_sessions(events), sessions.build_sessions(events, stage=spread)):
+            for final in (built, segment_results(pipeline.treat(built))):
+                final.collect()
+                assert "skew=true" in executed_plan(final)
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)

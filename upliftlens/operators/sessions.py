@@ -35,39 +35,42 @@ def session_first(events: DataFrame, order_by: Sequence[str] | None = None) -> D
 def session_build(events: DataFrame, order_by: Sequence[str] | None = None) -> DataFrame:
     """Counts, revenue, top price and first-event attributes per session.
 
-    The first event is the one with the smallest (event_time, *order_by); the attributes end the
-    sort key, so that even full ties give one answer. Calendar features come from its time, so the
-    shuffle carries the time and two texts instead of five attributes. Every aggregate has a partial
+    The first event is the one with the smallest (event_time, *order_by); its texts end the sort key,
+    so that even full ties give one answer. Calendar features of the first event follow from the
+    smallest time. The texts come from an aggregate of their own: it needs a sort, and a query that
+    uses neither text loses it to column pruning and aggregates by hash. Every aggregate has a partial
     step before the shuffle: a session with a third of all events arrives as one row per task.
     """
     kind, price = F.col("event_type"), F.col("price")
-    first = F.min(
-        F.struct("event_time", *_order_of(events, order_by), "category_top", "brand")
-    )
-    grouped = events.groupBy(*SESSION_KEY).agg(
-        F.count_if(kind == "view").alias("views"),
-        F.count_if(kind == "cart").alias("carts"),
-        F.count_if(kind == "remove_from_cart").alias("removes"),
-        F.count_if(kind == "purchase").alias("purchases"),
-        money_value(money_sum(F.when(kind == "purchase", price))).alias("gross_revenue"),
-        F.max("price").alias("max_price"),
-        first.alias("first"),
-    )
-    start = F.col("first.event_time")
-    return grouped.select(
-        *SESSION_KEY,
-        "views",
-        "carts",
-        "removes",
-        "purchases",
-        "gross_revenue",
-        "max_price",
-        "first.category_top",
-        "first.brand",
-        hour_of_day(start).alias("hour"),
-        is_weekend(start).alias("is_weekend"),
-        iso_week(start).alias("week_num"),
-        start.alias("session_start"),
+    texts = F.min(F.struct("event_time", *_order_of(events, order_by), "category_top", "brand"))
+    start = F.col("session_start")
+    return (
+        events.groupBy(*SESSION_KEY)
+        .agg(
+            F.count_if(kind == "view").alias("views"),
+            F.count_if(kind == "cart").alias("carts"),
+            F.count_if(kind == "remove_from_cart").alias("removes"),
+            F.count_if(kind == "purchase").alias("purchases"),
+            money_value(money_sum(F.when(kind == "purchase", price))).alias("gross_revenue"),
+            F.max("price").alias("max_price"),
+            F.min("event_time").alias("session_start"),
+            texts.alias("first"),
+        )
+        .select(
+            *SESSION_KEY,
+            "views",
+            "carts",
+            "removes",
+            "purchases",
+            "gross_revenue",
+            "max_price",
+            "first.category_top",
+            "first.brand",
+            hour_of_day(start).alias("hour"),
+            is_weekend(start).alias("is_weekend"),
+            iso_week(start).alias("week_num"),
+            "session_start",
+        )
     )
 
 
@@ -92,12 +95,16 @@ def with_user_type(base: DataFrame, counts: DataFrame) -> DataFrame:
     """Add the user's session count and New / Returning.
 
     A join and not a window: a window would sort all sessions of a heavy user in one task, while the
-    partition of such a user in the join is split at run time (adaptive skew join). Spark only does so
-    when both inputs of the join are bare shuffles; an aggregate on top of one prevents it, so `counts`
-    has to be a stored table where users can be that heavy.
+    partition of such a user in the join is split at run time (adaptive skew join). Spark only splits
+    when both inputs are bare shuffles. The counts are aggregated by user, so joining on the user would
+    reuse that shuffle below the aggregate; joining on the complement shuffles the counts once more, 16
+    bytes per user.
     """
     new = F.col("total_sessions") == 1
-    return base.join(counts, "user_id", "left").withColumns(
+    joined = base.withColumn("join_key", F.bitwise_not("user_id")).join(
+        counts.select(F.bitwise_not("user_id").alias("join_key"), "total_sessions"), "join_key", "left"
+    )
+    return joined.drop("join_key").withColumns(
         {
             "is_new_user": new.cast("int"),
             "user_type": F.when(new, "New").otherwise("Returning"),
@@ -110,22 +117,22 @@ def build_sessions(
     cfg: ExperimentConfig = DEFAULT,
     order_by: Sequence[str] | None = None,
     stage: Stage | None = None,
+    texts: bool = True,
 ) -> DataFrame:
-    """The 20-column session table.
+    """The 20-column session table; 18 columns without the first event's texts.
 
-    Sessions are needed twice, as rows and counted per user. `stage` stores both, so that the events
-    are read once and a heavy user's sessions can be split (see `with_user_type`). Without it Spark
-    reads the pruned key columns of the events a second time, which is quicker for small inputs;
-    `sources.storage.stage_for` chooses by input size.
+    Sessions are needed twice, as rows and counted per user. `stage` stores them in between, so that
+    the events are read once. Without it everything stays lazy, and Spark reads the key columns of the
+    events a second time; that is quicker for small inputs (`sources.storage.stage_for` decides by
+    size). A caller that uses no texts says so, as a stored table is not pruned by later steps.
     """
     base = session_build(events, order_by)
+    if not texts:
+        base = base.drop(*schemas.FIRST_TEXTS)
     if stage:
         base = stage(base, "session_base")
-    counts = user_session_counts(base)
-    if stage:
-        counts = stage(counts, "user_session_counts")
-    full = with_user_type(session_features(base, cfg), counts)
-    return schemas.conform(full, schemas.SESSIONS)
+    full = with_user_type(session_features(base, cfg), user_session_counts(base))
+    return schemas.conform(full, schemas.SESSIONS, () if texts else schemas.FIRST_TEXTS)
 
 
 def run_summary(sessions: DataFrame) -> DataFrame:

@@ -21,15 +21,16 @@ def run_etl(
     raw: DataFrame,
     cfg: ExperimentConfig = DEFAULT,
     order_by: tuple[str, ...] | None = None,
+    texts: bool = True,
 ) -> DataFrame:
-    """Stage 1: raw events -> sessions. Lazy for small inputs; large ones go through stored tables."""
-    return build_sessions(clean_events(raw), cfg, order_by, stage_for(raw))
+    """Stage 1: raw events -> sessions, by way of a stored table where the input is large."""
+    return build_sessions(clean_events(raw), cfg, order_by, stage_for(raw), texts)
 
 
 def treat(sessions: DataFrame, cfg: ExperimentConfig = DEFAULT) -> DataFrame:
-    """Sessions -> treated sessions: a projection from end to end."""
+    """Sessions -> treated sessions: a projection from end to end. The texts may be absent."""
     treated = apply_treatment(assign_groups(sessions, cfg), cfg)
-    return schemas.conform(treated, schemas.TREATED_SESSIONS)
+    return schemas.conform(treated, schemas.TREATED_SESSIONS, schemas.FIRST_TEXTS)
 
 
 def run_experiment(

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import (
     DataType,
     DoubleType,
@@ -70,6 +71,9 @@ PROFIT_IMPACT = _schema(
     "conv_lift_pp double, net_profit_impact double, verdict string"
 )
 
+# Texts of a session's first event, the only columns that no KPI depends on and the costly ones.
+FIRST_TEXTS = ("category_top", "brand")
+
 # Table name -> schema. `sessions` is the treated table, the one that reports read.
 TABLES: dict[str, StructType] = {
     "sessions": TREATED_SESSIONS,
@@ -107,9 +111,10 @@ DEFAULTS: dict[str, float] = {
 }
 
 
-def conform(df: DataFrame, schema: StructType) -> DataFrame:
-    """Project `df` to the columns, order and types of `schema`."""
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+def conform(df: DataFrame, schema: StructType, optional: Sequence[str] = ()) -> DataFrame:
+    """Project `df` to the columns, order and types of `schema`; `optional` columns may be absent."""
+    fields = [f for f in schema.fields if f.name in df.columns or f.name not in optional]
+    return df.selectExpr(*[f"CAST({f.name} AS {f.dataType.simpleString()}) AS {f.name}" for f in fields])
 
 
 def apply_defaults(df: DataFrame) -> DataFrame:

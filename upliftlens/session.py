@@ -11,6 +11,10 @@ SETTINGS: dict[str, str] = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # Splits the partition of a user who owns a large share of all sessions.
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Hashes instead of sorting where run-time sizes show that every partition of a side is small.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
+    # Building a plan is a third of a small query's time, much of it call-site capture per column.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
