@@ -14,7 +14,13 @@ from upliftlens.operators.sessions import build_sessions
 from upliftlens.operators.treatment import apply_treatment
 from upliftlens.plans.reports import REPORTS
 from upliftlens.sources.events import load_raw
-from upliftlens.sources.storage import read_parquet, stage_for, write_csv, write_parquet
+from upliftlens.sources.storage import (
+    drop_table,
+    read_parquet,
+    stage_for,
+    write_csv,
+    write_parquet,
+)
 
 
 def run_etl(
@@ -91,6 +97,14 @@ def load_tables(spark: SparkSession, out_dir: str) -> dict[str, DataFrame]:
     }
 
 
+def register_tables(spark: SparkSession, out_dir: str, database: str = "default") -> None:
+    """Enter the stored tables into the catalog, replacing earlier entries; no data is copied."""
+    for name, schema in schemas.TABLES.items():
+        drop_table(spark, f"{database}.{name}")
+        path = f"{out_dir.rstrip('/')}/tables/{name}"
+        spark.catalog.createTable(f"{database}.{name}", path=path, source="parquet", schema=schema)
+
+
 def register_views(tables: dict[str, DataFrame]) -> None:
     """Make the tables available to `spark.sql` under their names."""
     for name, df in tables.items():
