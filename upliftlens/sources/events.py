@@ -10,7 +10,8 @@ from pyspark.sql.types import StringType
 from upliftlens import schemas
 from upliftlens.functions.text import missing_to_null
 
-# Position of a row in its file, whatever the split sizes: breaks ties between equal times.
+# Position of a row in its file, whatever the split sizes: breaks ties between equal times. Files have
+# no order of their own, so a hash stands for the path, which every event carries to its session.
 INPUT_ORDER = "input_order"
 
 
@@ -42,12 +43,14 @@ def load_raw(spark: SparkSession, path: str, multiline: bool = False) -> DataFra
 
     columns = []
     for field in schemas.RAW_EVENTS.fields:
-        value = missing_to_null(F.col(field.name))
-        if not isinstance(field.dataType, StringType):
-            value = value.try_cast(field.dataType)
+        text_column = F.col(field.name)
+        if isinstance(field.dataType, StringType):
+            value = missing_to_null(text_column)
+        else:
+            value = text_column.try_cast(field.dataType)  # no missing-value token is a number or time
         columns.append(value.alias(field.name))
     position = F.struct(
-        F.col("_metadata.file_path").alias("file"),
+        F.xxhash64("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
     )
