@@ -86,6 +86,18 @@ def test_command_line(spark, raw_path, tmp_path, capsys):
     assert "Weekday" in capsys.readouterr().out
 
 
+def test_shuffles_grow_with_the_input(spark, raw_path, monkeypatch):
+    raw = pipeline.load_raw(spark, raw_path)
+    setting = "spark.sql.shuffle.partitions"
+    with pipeline.sized_shuffles(spark, raw):
+        assert spark.conf.get(setting) == "4"
+    monkeypatch.setattr(pipeline, "INPUT_PER_PARTITION", 1000)
+    with pytest.raises(KeyError), pipeline.sized_shuffles(spark, raw):
+        assert int(spark.conf.get(setting)) == storage.input_bytes(raw) // 1000 > 4
+        raise KeyError
+    assert spark.conf.get(setting) == "4"
+
+
 def hot_events(spark, n=60000):
     """A third of all events is one session, another third is one user's many sessions."""
     i = F.col("id")

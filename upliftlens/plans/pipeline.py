@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 from upliftlens import schemas
@@ -16,6 +19,7 @@ from upliftlens.plans.reports import REPORTS
 from upliftlens.sources.events import load_raw
 from upliftlens.sources.storage import (
     drop_table,
+    input_bytes,
     read_parquet,
     stage_for,
     write_csv,
@@ -23,6 +27,25 @@ from upliftlens.sources.storage import (
 )
 
 
+# One shuffle partition per this much input: sessions are about a tenth of their events.
+INPUT_PER_PARTITION = 2 << 30
+
+
+@contextmanager
+def sized_shuffles(spark: SparkSession, raw: DataFrame) -> Iterator[None]:
+    """Inside, shuffles have enough partitions for the input; never fewer than the session asks for.
+
+    Too many are harmless, as adaptive execution merges small ones; it cannot split an aggregation's.
+    """
+    setting = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(max(int(before), input_bytes(raw) // INPUT_PER_PARTITION)))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def run_etl(
     raw: DataFrame,
     cfg: ExperimentConfig = DEFAULT,
@@ -74,7 +97,9 @@ def run_pipeline(
         write_parquet(df, path)
         return read_parquet(spark, path, df.schema)
 
-    sessions = store(run_etl(load_raw(spark, raw_path), cfg), "untreated_sessions")
+    raw = load_raw(spark, raw_path)
+    with sized_shuffles(spark, raw):
+        sessions = store(run_etl(raw, cfg), "untreated_sessions")
     treated = store(treat(sessions, cfg), "sessions")
     segments = store(segment_results(treated), "segment_results")
     tables = {
