@@ -122,6 +122,14 @@ def test_configuration_is_checked(bad):
         ExperimentConfig(**bad)
 
 
+def test_configuration_from_json():
+    cfg = ExperimentConfig.from_json('{"price_bins": [0, 10, Infinity], "price_labels": ["low", "high"]}')
+    assert cfg.price_bins == (0, 10, math.inf) and cfg.split_ratio == 0.5
+    assert cfg.price_labels == ("low", "high")
+    with pytest.raises(ValueError, match="unknown parameters: nope"):
+        ExperimentConfig.from_json('{"nope": 1}')
+
+
 def test_calendar(spark):
     df = spark.sql(
         """SELECT * FROM VALUES (1, timestamp_ntz'2019-12-07 23:59:59'), (2, timestamp_ntz'2019-12-08 00:00:00'),

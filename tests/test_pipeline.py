@@ -79,8 +79,12 @@ def test_every_report_runs_on_stored_tables_and_as_views(spark, raw_path, tmp_pa
 
 def test_command_line(spark, raw_path, tmp_path, capsys):
     out = str(tmp_path / "cli")
-    main(["run", "--raw", raw_path, "--out", out, "--no-csv"])
+    parameters = tmp_path / "parameters.json"
+    parameters.write_text('{"experiment_name": "other", "split_ratio": 0.2}')
+    main(["run", "--raw", raw_path, "--out", out, "--no-csv", "--config", str(parameters)])
     assert "Total Segments Analysed" in capsys.readouterr().out
+    share = {r.ab_group: r.sessions for r in pipeline.load_tables(spark, out)["ab_results"].collect()}
+    assert share["A"] < 0.5 * share["B"]
     assert not os.path.exists(f"{out}/csv")
     main(["report", "--out", out, "report_weekend"])
     assert "Weekday" in capsys.readouterr().out

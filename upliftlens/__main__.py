@@ -3,7 +3,13 @@
 from __future__ import annotations
 
 import argparse
+from pathlib import Path
 
+from upliftlens.config import DEFAULT, ExperimentConfig
+from upliftlens.operators.assignment import srm_check
+from upliftlens.operators.kpis import guardrail_report
+from upliftlens.operators.segments import verdict_counts
+from upliftlens.operators.treatment import treatment_summary
 from upliftlens.plans.pipeline import load_tables, run_pipeline, run_report
 from upliftlens.plans.reports import REPORTS
 from upliftlens.session import build_session
@@ -16,6 +22,7 @@ def main(argv: list[str] | None = None) -> None:
     run = commands.add_parser("run", help="run the whole pipeline and store its tables")
     run.add_argument("--raw", required=True, help="CSV event log, file or folder")
     run.add_argument("--out", required=True, help="output folder")
+    run.add_argument("--config", type=Path, help="JSON file with parameters that differ from the defaults")
     run.add_argument("--no-csv", action="store_true", help="store Parquet tables only")
     show = commands.add_parser("report", help="print one report from stored tables")
     show.add_argument("--out", required=True, help="output folder of an earlier run")
@@ -24,9 +31,17 @@ def main(argv: list[str] | None = None) -> None:
 
     spark = build_session("upliftlens", args.master)
     if args.command == "run":
-        tables = run_pipeline(spark, args.raw, args.out, csv=not args.no_csv)
-        run_report(tables, "report_kpi_summary").show(truncate=False)
-        run_report(tables, "report_recommendation").show(truncate=False)
+        cfg = ExperimentConfig.from_json(args.config.read_text()) if args.config else DEFAULT
+        tables = run_pipeline(spark, args.raw, args.out, cfg, csv=not args.no_csv)
+        for result in (
+            srm_check(tables["sessions"], cfg),
+            treatment_summary(tables["sessions"]),
+            guardrail_report(tables["sessions"], cfg),
+            verdict_counts(tables["profit_impact"]),
+            run_report(tables, "report_kpi_summary"),
+            run_report(tables, "report_recommendation"),
+        ):
+            result.show(truncate=False)
     else:
         run_report(load_tables(spark, args.out), args.name).show(1000, truncate=False)
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import dataclass, fields
 from math import inf
 
 
@@ -58,4 +59,19 @@ class ExperimentConfig:
             raise ValueError("confidence_level must lie strictly between 0 and 1")
 
 
+    @classmethod
+    def from_json(cls, text: str) -> ExperimentConfig:
+        """Defaults, overridden by a JSON object; `Infinity` is a valid number in it."""
+        values = json.loads(text)
+        known = {field.name for field in fields(cls)}
+        unknown = sorted(set(values) - known)
+        if unknown:
+            raise ValueError(f"unknown parameters: {', '.join(unknown)}")
+        return cls(**{name: _frozen(value) for name, value in values.items()})
+
+
+def _frozen(value: object) -> object:
+    return tuple(map(_frozen, value)) if isinstance(value, list) else value
+
+
 DEFAULT = ExperimentConfig()

@@ -33,7 +33,7 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
 
     Only a local session may go without the setting; every executor must see the folder.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
