@@ -27,6 +27,8 @@ def apply(spark, values, dtype, f):
         ("12.5", 12.5),
         (" 5 ", 5.0),
         ("5\t", 5.0),
+        ("\n5\r\f", 5.0),
+        (" inf ", math.inf),
         (".5", 0.5),
         ("5.", 5.0),
         ("+5", 5.0),

@@ -25,7 +25,7 @@ NUMBER = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?)\s*$"
 def coerce_price(col: Column, dtype: DataType) -> Column:
     """A price as a double: 0 when missing or not a number, never negative."""
     if isinstance(dtype, StringType):
-        value = F.when(col.rlike(NUMBER), F.btrim(col, F.lit(" \t\n\r\f\v")).try_cast("double"))
+        value = F.when(col.rlike(NUMBER), col.try_cast("double"))
     else:
         value = col.cast("double")
     number = F.nanvl(value, F.lit(0.0))
