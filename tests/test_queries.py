@@ -7,6 +7,8 @@ import pytest
 
 import __spark_entry__ as entry
 from oracle import sql
+from upliftlens.plans import pipeline
+from upliftlens.sources import storage
 
 DEFINITIONS = entry.definitions()
 
@@ -66,3 +68,15 @@ def test_click_log_profile(spark, sf_dir):
         sum(r.cart_abandon for r in found),
         buckets,
     )
+
+
+@pytest.mark.parametrize("name", ["user_type", "ab_results", "profit_impact", "report_funnel"])
+def test_query_over_staged_tables_equals_sql(spark, sf_dir, duck, name, monkeypatch):
+    """The way that large inputs take."""
+    monkeypatch.setattr(pipeline, "stage_for", lambda df: storage.stage_for(df, limit=0))
+    source, make = DEFINITIONS[name]
+    df = make(entry.Tables(source, spark, sf_dir))
+    assert all("session_base" in file for file in df.inputFiles())
+    cursor = duck.execute(sql.oracle(name, source))
+    names = [d[0] for d in cursor.description]
+    assert table(df.columns, [tuple(r) for r in df.collect()]) == table(names, cursor.fetchall())
