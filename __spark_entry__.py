@@ -27,6 +27,20 @@ from upliftlens.sources.events import INPUT_ORDER, load_raw  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# The operators of the training-data pipeline, where they are installed.
+LLM_QUERIES: dict[str, Query] = {}
+LLM_SQL: dict[str, str] = {}
+try:
+    import corpus_pipeline
+    from upliftlens.llm.oracle import ORACLE
+    from upliftlens.llm.queries import QUERIES
+except ModuleNotFoundError as missing:
+    if not (missing.name or "").startswith(("corpus_pipeline", "upliftlens.llm")):
+        raise
+else:
+    LLM_QUERIES = {**QUERIES, "pipeline": corpus_pipeline.run}
+    LLM_SQL = dict(ORACLE)
+
 
 class Tables:
     """The pipeline's relations over one source. Lazy: a query computes only what it asks for."""
@@ -329,11 +343,13 @@ def _bind(source: str, make: Callable[[Tables], DataFrame]) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {name: _bind(source, make) for name, (source, make) in definitions().items()}
+    own = {name: _bind(source, make) for name, (source, make) in definitions().items()}
+    return {**own, **LLM_QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql.oracle(name, source) for name, (source, _) in definitions().items()}
+    own = {name: sql.oracle(name, source) for name, (source, _) in definitions().items()}
+    return {**own, **LLM_SQL}
 
 
 def entry(spark: SparkSession) -> DataFrame:
