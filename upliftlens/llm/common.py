@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+import zipfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: The white space that separates words, as the body of a character class.
 SPACE = r"\x20\x09-\x0D"
@@ -46,6 +49,27 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
+_SHIPPED: set[str] = set()
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """`df.mapInArrow`, whose workers can import this package wherever they run."""
+    context = df.sparkSession.sparkContext
+    if context.applicationId not in _SHIPPED:
+        package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        folder = tempfile.mkdtemp(prefix="package-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        with zipfile.ZipFile(f"{folder}/{os.path.basename(package)}.zip", "w") as packed:
+            for place, _, names in os.walk(package):
+                for name in names:
+                    if name.endswith(".py"):
+                        path = os.path.join(place, name)
+                        packed.write(path, os.path.relpath(path, os.path.dirname(package)))
+        context.addPyFile(packed.filename)
+        _SHIPPED.add(context.applicationId)
+    return df.mapInArrow(run, schema)
+
+
 def words(text: Column) -> Column:
     """The words of a text, in order."""
     return F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != "")
@@ -99,3 +123,47 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def fixed_array(counted: DataFrame, slot: str, value: str, size: int, empty: int = 0) -> Column:
+    """A scalar array of `size` numbers from (slot, value) rows, at most one per slot.
+
+    Its size is fixed, whatever the input's; slots without a row hold `empty`.
+    """
+    spark = counted.sparkSession
+    kind = counted.schema[value].dataType
+    blank = spark.range(size).select(F.col("id").alias(slot), F.lit(empty).cast(kind).alias(value))
+    filled = counted.select(F.col(slot).cast("long").alias(slot), value).unionByName(blank)
+    one = filled.groupBy(slot).agg(F.max(value).alias(value))
+    listed = F.array_sort(F.collect_list(F.struct(slot, value)))
+    return one.agg(F.transform(listed, lambda x: x[value]).alias("all")).scalar()
+
+
+def hashed_members(keys: DataFrame, key: str, words: int = 131072):
+    """A test whether a key may be among `keys`; it is sure when it says no. 32 bits per word.
+
+    It keeps rows out of a shuffle; a join must follow. Its size is fixed, whatever the number of keys.
+    """
+    h = F.xxhash64(key)
+    marked = keys.select(_slot(h, words).alias("slot"), one_bit(_bit(h)).alias("bits"))
+    marks = marked.groupBy("slot").agg(F.bit_or("bits").alias("bits"))
+    table = fixed_array(marks, "slot", "bits", words)
+
+    def test(column: Column) -> Column:
+        h = F.xxhash64(column)
+        found = F.element_at(table, (_slot(h, words) + 1).cast("int"))
+        return found.bitwiseAND(one_bit(_bit(h))) != 0
+
+    return test
+
+
+def one_bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place)
+
+
+def _slot(h: Column, words: int) -> Column:
+    return F.pmod(F.shiftright(h, 5), F.lit(words).cast("long"))
+
+
+def _bit(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(31)).cast("int")
