@@ -2,8 +2,8 @@
 
 A word is read twice: as a hashed embedding, and letter by letter by a small network of the same kind.
 The network over words reads windows that overlap, all of a text, and the highest window decides: one
-abusive sentence makes a long text toxic. Training takes a bounded sample of labelled texts; in each step
-a text's highest window, and for clean texts a random one too, carries the gradient.
+abusive sentence makes a long text toxic. Training takes a bounded sample of labelled texts. At first any
+window of a text carries its label; later its highest does, and for clean texts a random one too.
 """
 
 from __future__ import annotations
@@ -36,9 +36,11 @@ class Training:
 
     texts_per_class: int = 1500
     max_chars: int = 4000
-    steps: int = 320
+    steps: int = 500
     batch: int = 24
     rate: float = 0.015
+    word_rate: float = 4.0
+    any_window: float = 0.5
     seed: int = 11
 
 
@@ -141,7 +143,7 @@ class Network:
         rng = np.random.default_rng(seed)
         self.p: dict[str, np.ndarray] = {}
         self.p["letters"] = rng.normal(0, 0.5, (LETTERS, LETTER_DIM)).astype(np.float32)
-        self.p["words"] = rng.normal(0, 0.1, (WORDS, WORD_DIM)).astype(np.float32)
+        self.p["words"] = np.zeros((WORDS, WORD_DIM), np.float32)  # a word that training lacks says nothing
         self.by_letter = Reader(rng, LETTER_DIM, "l", self.p)
         self.by_word = Reader(rng, WORD_DIM + 2 * HIDDEN, "w", self.p)
         self.p["out"] = rng.normal(0, 0.3, 2 * HIDDEN).astype(np.float32)
@@ -247,7 +249,11 @@ def fit(texts: list[str], labels: np.ndarray, base_rate: float, how: Training) -
         chosen = []
         for i, row in enumerate(rows):
             own = np.flatnonzero(text == i)
-            if len(own):
+            if not len(own):
+                continue
+            if step <= how.steps * how.any_window:
+                chosen += [(w, labels[row]) for w in rng.permutation(own)[:3]]
+            else:
                 chosen.append((own[logits[own].argmax()], labels[row]))
                 if not labels[row]:
                     chosen.append((rng.choice(own), 0.0))
@@ -256,6 +262,8 @@ def fit(texts: list[str], labels: np.ndarray, base_rate: float, how: Training) -
         weight = np.full(len(pick), 1 / len(pick), np.float32)
         grads = net.learn(x, kept, ids[:, pick], mask[:, pick], target, weight)
         rate = how.rate * min(1.0, 3 * (1 - step / (how.steps + 1)))
+        # Plain steps for words: one that many texts share moves far, one of a single text hardly.
+        net.p["words"] -= np.float32(how.word_rate * rate / how.rate) * grads.pop("words")
         for k, g in grads.items():
             first[k] += 0.1 * (g - first[k])
             second[k] += 0.01 * (g * g - second[k])
