@@ -93,11 +93,11 @@ def license_scan(
         lines.join(best, "line")
         .groupBy("path")
         .agg(F.min(F.struct((-F.col("score")).alias("less"), "license")).alias("b"))
-        .select("path", F.col("b.license").alias("own_license"), (-F.col("b.less")).alias("own_score"))
+        .select(F.col("path").alias("own_path"), F.col("b.license").alias("own_license"), (-F.col("b.less")).alias("own_score"))
     )
     own = scratch.save(own, "own")
 
-    speaks = own.filter(F.col("path").rlike(LICENCE_FILES))
+    speaks = own.withColumnRenamed("own_path", "path").filter(F.col("path").rlike(LICENCE_FILES))
     directory = F.regexp_replace("path", "/[^/]*$", "")
     declared = (
         speaks.groupBy(directory.alias("dir"))
@@ -126,7 +126,7 @@ def license_scan(
     nearest = scratch.save(nearest, "nearest")
     found = (
         paths.withColumn("below", directory)
-        .join(own, "path", "left")
+        .join(own, F.col("path").eqNullSafe(F.col("own_path")), "left")
         .join(nearest, "below", "left")
     )
     alone = F.col("own_license").isNull()
