@@ -23,7 +23,7 @@ from upliftlens.plans import pipeline  # noqa: E402
 from upliftlens.plans.reports import REPORTS  # noqa: E402
 from upliftlens.sources import storage  # noqa: E402
 from upliftlens.sources.adapters import SOURCES, TIE_BREAKERS  # noqa: E402
-from upliftlens.sources.events import INPUT_ORDER, load_raw  # noqa: E402
+from upliftlens.sources.events import load_raw  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -83,7 +83,16 @@ class Tables:
         return segments.profit_impact(self.segments())
 
     def all(self) -> dict[str, DataFrame]:
-        """The four stored tables, computed from one pass over the events."""
+        """The four tables, lazy: an audit computes the columns that it reads."""
+        return {
+            "sessions": self.full_treated(),
+            "ab_results": kpis.ab_results(self.treated()),
+            "segment_results": self.segments(),
+            "profit_impact": self.profit(),
+        }
+
+    def stored(self) -> dict[str, DataFrame]:
+        """The four tables, computed from one pass over the events and stored."""
         treated = storage.materialise(self.full_treated(), "sessions")
         parts = storage.materialise(segments.segment_results(treated), "segment_results")
         return {
@@ -105,7 +114,8 @@ def compare_rounded(df: DataFrame, *columns: str) -> DataFrame:
 def load_raw_events(t: Tables) -> DataFrame:
     path = storage.scratch_dir(t.spark, "raw_events")
     storage.write_csv(t.raw().select(*schemas.RAW_EVENTS.names), path)
-    return load_raw(t.spark, path).drop(INPUT_ORDER).withColumn("price", F.col("price").cast("double"))
+    back = load_raw(t.spark, path).select(*schemas.RAW_EVENTS.names)
+    return back.withColumn("price", F.col("price").cast("double"))
 
 
 def stage_reentry(t: Tables) -> DataFrame:
@@ -117,16 +127,17 @@ def stage_reentry(t: Tables) -> DataFrame:
 
 def sink_roundtrip(t: Tables) -> DataFrame:
     rows = []
-    for name, df in t.all().items():
+    for name, df in t.stored().items():
         schema = schemas.TABLES[name]
         csv_path, table_path = (storage.scratch_dir(t.spark, f"{name}_{k}") for k in ("csv", "table"))
         storage.write_csv(df, csv_path)
         table = os.path.basename(table_path).replace("-", "_")
         storage.write_table(df, table, table_path)
+        storage.drop_table(t.spark, table)  # the files stay, as they belong to the path
         amount = "net_revenue_b" if name == "profit_impact" else "net_revenue"
         for sink, back in (
             ("csv", storage.read_csv(t.spark, csv_path, schema)),
-            ("table", t.spark.table(table)),
+            ("table", t.spark.read.schema(schema).parquet(table_path)),
         ):
             rows.append(
                 back.agg(
@@ -233,7 +244,7 @@ def segment_kpis(t: Tables) -> DataFrame:
 
 
 def quality_duplicates(t: Tables) -> DataFrame:
-    tables = {**t.all(), "events": t.events()}
+    tables = {"sessions": t.treated(), "ab_results": kpis.ab_results(t.treated()), "events": t.events()}
     return quality.quality_duplicates(tables, {**quality.UNIQUE, "events": "user_session"})
 
 
@@ -248,7 +259,7 @@ OPERATORS: dict[str, tuple[str, Callable[[Tables], DataFrame]]] = {
     "table_schemas": ("events", lambda t: quality.table_schemas(t.all())),
     "apply_defaults": ("orders", apply_defaults),
     # cleaning
-    "clean_events": ("events", lambda t: t.events().select(*EVENT_COLUMNS)),
+    "clean_events": ("dirty", lambda t: t.events().select(*EVENT_COLUMNS)),
     "coerce_price": ("events", coerced),
     "normalise_brand": (
         "events",
@@ -266,7 +277,11 @@ OPERATORS: dict[str, tuple[str, Callable[[Tables], DataFrame]]] = {
             "user_session", "event_time", "hour", "weekday", "is_weekend", "week_num"
         ),
     ),
-    "clean_metrics": ("events", lambda t: clean.clean_metrics(t.raw())),
+    "clean_metrics": ("dirty", lambda t: clean.clean_metrics(t.raw())),
+    "rejected_events": (
+        "dirty",
+        lambda t: clean.rejected_events(t.raw()).select(*schemas.RAW_EVENTS.names, "missing"),
+    ),
     # sessions
     "session_build": ("orders", Tables.base),
     "session_first": (
@@ -297,7 +312,7 @@ OPERATORS: dict[str, tuple[str, Callable[[Tables], DataFrame]]] = {
     "normal_cdf": ("events", cdf_of_prices),
     "z_test": (
         "orders",
-        lambda t: compare_rounded(kpis.z_test(t.treated()), "p_value", "p_value_tail"),
+        lambda t: compare_rounded(kpis.z_test(t.treated()), "p_value", "p_value_tail", "log10_p"),
     ),
     "group_kpis": ("orders", lambda t: kpis.group_kpis(t.treated())),
     "ab_results": ("orders", lambda t: compare_rounded(kpis.ab_results(t.treated()), "p_value")),

@@ -188,7 +188,17 @@ def test_normal_tail_far_out(spark):
     grid = [0.0, 1.0, 5.0, 7.0, 7.1, 10.0, 20.0, 36.0]
     for z, value in zip(grid, apply(spark, grid, "double", statistics.normal_tail)):
         assert value == pytest.approx(0.5 * math.erfc(z / math.sqrt(2)), rel=1e-7)
-    assert apply(spark, [38.0], "double", statistics.normal_tail) == [0.0]
+    assert apply(spark, [40.0], "double", statistics.normal_tail) == [0.0]
+
+
+def test_logarithm_of_the_tail(spark):
+    found = apply(spark, [0.0, 1.0, 5.0, -9.0, 30.0, 280.0], "double", statistics.log10_two_sided_p)
+    exact = [math.log10(math.erfc(abs(z) / math.sqrt(2))) for z in (0.0, 1.0, 5.0, -9.0, 30.0)]
+    # beyond the doubles by the asymptotic series
+    z = 280.0
+    series = 1 - z**-2 + 3 * z**-4
+    exact.append((-z * z / 2 + math.log(2 * series / (z * math.sqrt(2 * math.pi)))) / math.log(10))
+    assert found == pytest.approx(exact, rel=1e-9, abs=1e-12)
 
 
 def test_z_statistic_edges(spark):

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from conftest import executed_plan
 from oracle import sql
 from upliftlens.plans import pipeline
 from upliftlens.sources import storage
@@ -36,7 +37,13 @@ def test_names_match():
     assert set(entry.queries()) >= set(DEFINITIONS)
     assert set(entry.queries()) - set(entry.LLM_QUERIES) == set(DEFINITIONS)
     assert set(entry.oracle_sql()) - set(entry.LLM_SQL) == set(DEFINITIONS)
-    assert len(DEFINITIONS) == 52
+    assert len(DEFINITIONS) == 53
+
+
+def test_the_dirty_source_loses_events(spark, sf_dir):
+    counts = entry.queries()["clean_metrics"](spark, sf_dir).first()
+    assert counts.rows_removed > 0
+    assert counts.rows_removed == entry.queries()["rejected_events"](spark, sf_dir).count()
 
 
 @pytest.mark.parametrize("source", ["events", "orders"])
@@ -72,13 +79,25 @@ def test_click_log_profile(spark, sf_dir):
     )
 
 
-@pytest.mark.parametrize("name", ["user_type", "ab_results", "profit_impact", "report_funnel"])
-def test_query_over_staged_tables_equals_sql(spark, sf_dir, duck, name, monkeypatch):
-    """The way that large inputs take."""
-    monkeypatch.setattr(pipeline, "stage_for", lambda df: storage.stage_for(df, limit=0))
+SESSION_QUERIES = [n for n in DEFINITIONS if n.startswith("report_")] + [
+    "user_type", "run_summary", "apply_treatment", "treatment_summary", "z_test", "group_kpis", "ab_results",
+    "guardrail_report", "segment_kpis", "segment_results", "profit_impact", "verdict_counts",
+]
+
+
+@pytest.mark.parametrize("name", SESSION_QUERIES)
+def test_query_over_staged_sessions_equals_sql(spark, sf_dir, duck, name, monkeypatch):
+    """With the aggregated sessions stored on the way, as whole runs do."""
+    lazy = pipeline.run_etl
+    monkeypatch.setattr(pipeline, "run_etl", lambda *a, **b: lazy(*a, **b, stage=storage.materialise))
     source, make = DEFINITIONS[name]
     df = make(entry.Tables(source, spark, sf_dir))
     assert all("session_base" in file for file in df.inputFiles())
     cursor = duck.execute(sql.oracle(name, source))
     names = [d[0] for d in cursor.description]
     assert table(df.columns, [tuple(r) for r in df.collect()]) == table(names, cursor.fetchall())
+
+
+def test_the_statistic_is_computed_once(spark, sf_dir):
+    plan = executed_plan(entry.queries()["ab_results"](spark, sf_dir))
+    assert plan.count("SQRT") < 8

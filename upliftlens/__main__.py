@@ -10,7 +10,7 @@ from upliftlens.operators.assignment import srm_check
 from upliftlens.operators.kpis import guardrail_report
 from upliftlens.operators.segments import verdict_counts
 from upliftlens.operators.treatment import treatment_summary
-from upliftlens.plans.pipeline import load_tables, run_pipeline, run_report
+from upliftlens.plans.pipeline import load_tables, run_counts, run_pipeline, run_report, run_stage
 from upliftlens.plans.reports import REPORTS
 from upliftlens.session import build_session
 
@@ -24,16 +24,25 @@ def main(argv: list[str] | None = None) -> None:
     run.add_argument("--out", required=True, help="output folder")
     run.add_argument("--config", type=Path, help="JSON file with parameters that differ from the defaults")
     run.add_argument("--no-csv", action="store_true", help="store Parquet tables only")
+    run.add_argument("--multiline", action="store_true", help="quoted fields may span lines")
+    stage = commands.add_parser("stage", help="run one stage again from the stored tables")
+    stage.add_argument("--out", required=True, help="output folder of an earlier run")
+    stage.add_argument("--config", type=Path, help="JSON file with parameters that differ from the defaults")
+    stage.add_argument("name", choices=("experiment", "segments"))
     show = commands.add_parser("report", help="print one report from stored tables")
     show.add_argument("--out", required=True, help="output folder of an earlier run")
     show.add_argument("name", choices=sorted(REPORTS))
     args = parser.parse_args(argv)
 
     spark = build_session("upliftlens", args.master)
+    config = getattr(args, "config", None)
+    cfg = ExperimentConfig.from_json(config.read_text()) if config else DEFAULT
     if args.command == "run":
-        cfg = ExperimentConfig.from_json(args.config.read_text()) if args.config else DEFAULT
-        tables = run_pipeline(spark, args.raw, args.out, cfg, csv=not args.no_csv)
+        tables = run_pipeline(spark, args.raw, args.out, cfg, not args.no_csv, args.multiline)
+        counts = run_counts(spark, args.out)
         for result in (
+            counts["cleaning"],
+            counts["run_summary"],
             srm_check(tables["sessions"], cfg),
             treatment_summary(tables["sessions"]),
             guardrail_report(tables["sessions"], cfg),
@@ -42,8 +51,14 @@ def main(argv: list[str] | None = None) -> None:
             run_report(tables, "report_recommendation"),
         ):
             result.show(truncate=False)
+    elif args.command == "stage":
+        for name, table in run_stage(spark, args.out, args.name, cfg).items():
+            print(f"{name}: {table.count()} rows")
     else:
-        run_report(load_tables(spark, args.out), args.name).show(1000, truncate=False)
+        report = run_report(load_tables(spark, args.out), args.name)
+        print("\t".join(report.columns))
+        for row in report.toLocalIterator():
+            print("\t".join("" if value is None else str(value) for value in row))
 
 
 if __name__ == "__main__":

@@ -37,7 +37,6 @@ class ExperimentConfig:
     # Guardrails
     confidence_level: float = 0.95
     srm_alpha: float = 0.001
-    refund_spike_threshold: float = 0.015
     break_even_floor: float = -100.0
 
     # Price buckets, closed on the right; prices in no bucket get the last label

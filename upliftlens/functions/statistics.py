@@ -32,7 +32,6 @@ DENOMINATOR = (
     440.413735824752,
 )
 SWITCH = 7.07106781186547
-LARGEST = 37.0
 SQRT_TWO_PI = 2.506628274631
 
 
@@ -40,13 +39,16 @@ def _polynomial(coefficients: tuple[float, ...], x: Column) -> Column:
     return reduce(lambda acc, c: acc * x + F.lit(c), coefficients[1:], F.lit(coefficients[0]))
 
 
+def _far_fraction(x: Column) -> Column:
+    return reduce(lambda acc, k: x + F.lit(float(k)) / acc, (4, 3, 2, 1), x + F.lit(0.65))
+
+
 def normal_tail(x: Column) -> Column:
-    """P(Z > x) for x >= 0, accurate in the far tail; 0 beyond 37."""
+    """P(Z > x) for x >= 0, accurate in the far tail; it leaves the range of a double near 38."""
     density = F.exp(-(x * x) / 2.0)
     near = density * _polynomial(NUMERATOR, x) / _polynomial(DENOMINATOR, x)
-    fraction = reduce(lambda acc, k: x + F.lit(float(k)) / acc, (4, 3, 2, 1), x + F.lit(0.65))
-    far = density / fraction / SQRT_TWO_PI
-    return F.when(x > LARGEST, 0.0).when(x < SWITCH, near).otherwise(far)
+    far = density / _far_fraction(x) / SQRT_TWO_PI
+    return F.when(x < SWITCH, near).otherwise(far)
 
 
 def normal_cdf(z: Column) -> Column:
@@ -60,10 +62,17 @@ def two_sided_p(z: Column) -> Column:
 
 
 def two_sided_p_tail(z: Column) -> Column:
-    """The same probability without cancellation, usable for very large |z|."""
+    """The same probability without cancellation, as far as a double goes (|z| of about 38)."""
     return 2.0 * normal_tail(F.abs(z))
 
 
+def log10_two_sided_p(z: Column) -> Column:
+    """The decimal logarithm of the same probability, finite for every finite z."""
+    x = F.abs(z)
+    far = (F.log(F.lit(2.0 / SQRT_TWO_PI)) - x * x / 2.0 - F.log(_far_fraction(x))) / F.log(F.lit(10.0))
+    return F.when(x < SWITCH, F.log10(2.0 * normal_tail(x))).otherwise(far)
+
+
 def two_proportion_z(n_a: Column, hits_a: Column, n_b: Column, hits_b: Column) -> Column:
     """Pooled z statistic of rate B against rate A: 0 without variance, NULL for an empty group."""
     rate_a = F.try_divide(hits_a.cast("double"), n_a.cast("double"))

@@ -13,6 +13,7 @@ from upliftlens import schemas
 from upliftlens.config import DEFAULT, ExperimentConfig
 from upliftlens.functions.numbers import money_sum, money_value, ratio_or_null, ratio_or_zero
 from upliftlens.functions.statistics import (
+    log10_two_sided_p,
     significant,
     two_proportion_z,
     two_sided_p,
@@ -88,6 +89,7 @@ def z_test(treated: DataFrame, cfg: ExperimentConfig = DEFAULT) -> DataFrame:
         )
         .withColumn("p_value", two_sided_p(z))
         .withColumn("p_value_tail", two_sided_p_tail(z))
+        .withColumn("log10_p", log10_two_sided_p(z))
         .withColumn("is_significant", significant(p, cfg.confidence_level))
     )
 
@@ -97,16 +99,14 @@ def compare(kpis: DataFrame, cfg: ExperimentConfig = DEFAULT) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     lift = ratio_or_null(b["conversion_rate"] - a["conversion_rate"], a["conversion_rate"]) * 100
     change = ratio_or_zero(b["net_revenue"] - a["net_revenue"], a["net_revenue"]) * 100
-    return (
-        kpis.withColumns(
-            {
-                "conv_lift_pct": lift,
-                "rev_change_pct": change,
-                "p_value": two_sided_p(_z(a, b)),
-                "profit_pass": (b["net_revenue"] >= a["net_revenue"]).cast("int"),
-            }
-        ).withColumn("is_significant", significant(F.col("p_value"), cfg.confidence_level))
-    )
+    # z has a name before the p-value uses it many times
+    named = kpis.withColumns({"conv_lift_pct": lift, "rev_change_pct": change, "z": _z(a, b)})
+    return named.withColumns(
+        {
+            "p_value": two_sided_p(F.col("z")),
+            "profit_pass": (b["net_revenue"] >= a["net_revenue"]).cast("int"),
+        }
+    ).withColumn("is_significant", significant(F.col("p_value"), cfg.confidence_level))
 
 
 def ab_results(treated: DataFrame, cfg: ExperimentConfig = DEFAULT) -> DataFrame:

@@ -124,8 +124,8 @@ def build_sessions(
 
     Sessions are needed twice, as rows and counted per user. `stage` stores them in between, so that
     the events are read once. Without it everything stays lazy, and Spark reads the key columns of the
-    events a second time; that is quicker for small inputs (`sources.storage.stage_for` decides by
-    size). A caller that uses no texts says so, as a stored table is not pruned by later steps.
+    events a second time. A caller that uses no texts says so, as a stored table is not pruned by later
+    steps.
     """
     base = session_build(events, order_by)
     if not texts:

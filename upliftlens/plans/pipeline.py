@@ -10,18 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from upliftlens import schemas
 from upliftlens.config import DEFAULT, ExperimentConfig
 from upliftlens.operators.assignment import assign_groups
-from upliftlens.operators.clean import clean_events
+from upliftlens.operators.clean import clean_events, clean_metrics, rejected_events
 from upliftlens.operators.kpis import ab_results
 from upliftlens.operators.segments import profit_impact, segment_results
-from upliftlens.operators.sessions import build_sessions
+from upliftlens.operators.sessions import Stage, build_sessions, run_summary
 from upliftlens.operators.treatment import apply_treatment
 from upliftlens.plans.reports import REPORTS
-from upliftlens.sources.events import load_raw
+from upliftlens.sources.events import INPUT_ORDER, load_raw
 from upliftlens.sources.storage import (
     drop_table,
     input_bytes,
     read_parquet,
-    stage_for,
     write_csv,
     write_parquet,
 )
@@ -51,9 +50,14 @@ def run_etl(
     cfg: ExperimentConfig = DEFAULT,
     order_by: tuple[str, ...] | None = None,
     texts: bool = True,
+    stage: Stage | None = None,
 ) -> DataFrame:
-    """Stage 1: raw events -> sessions, by way of a stored table where the input is large."""
-    return build_sessions(clean_events(raw), cfg, order_by, stage_for(raw), texts)
+    """Stage 1: raw events -> sessions.
+
+    Lazy without `stage`; with it, the aggregated sessions are stored on the way and the events are
+    read once. The caller chooses; both ways give the same rows.
+    """
+    return build_sessions(clean_events(raw), cfg, order_by, stage, texts)
 
 
 def treat(sessions: DataFrame, cfg: ExperimentConfig = DEFAULT) -> DataFrame:
@@ -84,11 +88,13 @@ def run_pipeline(
     out_dir: str,
     cfg: ExperimentConfig = DEFAULT,
     csv: bool = True,
+    multiline: bool = False,
 ) -> dict[str, DataFrame]:
     """Everything, from a CSV event log to stored tables; returns the tables that reports read.
 
     A stage reads what the stage before it stored, so nothing is computed twice and no stage
-    overwrites its own input: untreated sessions are kept as `untreated_sessions`.
+    overwrites its own input: untreated sessions are kept as `untreated_sessions`. What a run removed
+    and what it saw is stored beside the tables, see `run_counts`.
     """
     out = out_dir.rstrip("/")
 
@@ -97,9 +103,12 @@ def run_pipeline(
         write_parquet(df, path)
         return read_parquet(spark, path, df.schema)
 
-    raw = load_raw(spark, raw_path)
+    raw = load_raw(spark, raw_path, multiline)
+    store(rejected_events(raw).drop(INPUT_ORDER), "rejected_events")
+    store(clean_metrics(raw), "cleaning")
     with sized_shuffles(spark, raw):
-        sessions = store(run_etl(raw, cfg), "untreated_sessions")
+        sessions = store(run_etl(raw, cfg, stage=store), "untreated_sessions")
+    store(run_summary(sessions), "run_summary")
     treated = store(treat(sessions, cfg), "sessions")
     segments = store(segment_results(treated), "segment_results")
     tables = {
@@ -114,6 +123,33 @@ def run_pipeline(
     return tables
 
 
+COUNTS = ("cleaning", "run_summary", "rejected_events")
+
+
+def run_counts(spark: SparkSession, out_dir: str) -> dict[str, DataFrame]:
+    """Of an earlier run: events before and after cleaning, the events removed, sessions and users."""
+    return {name: spark.read.parquet(f"{out_dir.rstrip('/')}/tables/{name}") for name in COUNTS}
+
+
+def run_stage(spark: SparkSession, out_dir: str, stage: str, cfg: ExperimentConfig = DEFAULT) -> dict[str, DataFrame]:
+    """One stage again, from what the stage before it stored: `experiment` or `segments`."""
+    out = out_dir.rstrip("/")
+
+    def store(df: DataFrame, name: str) -> DataFrame:
+        write_parquet(df, f"{out}/tables/{name}")
+        return read_parquet(spark, f"{out}/tables/{name}", df.schema)
+
+    if stage == "experiment":
+        sessions = read_parquet(spark, f"{out}/tables/untreated_sessions", schemas.SESSIONS)
+        treated = store(treat(sessions, cfg), "sessions")
+        return {"sessions": treated, "ab_results": store(ab_results(treated, cfg), "ab_results")}
+    if stage == "segments":
+        segments = store(segment_results(load_tables(spark, out)["sessions"]), "segment_results")
+        profit = store(profit_impact(segments, cfg), "profit_impact")
+        return {"segment_results": segments, "profit_impact": profit}
+    raise ValueError(f"no such stage: {stage}")
+
+
 def load_tables(spark: SparkSession, out_dir: str) -> dict[str, DataFrame]:
     """The tables stored by an earlier run."""
     return {

@@ -263,6 +263,7 @@ def report_recommendation(profit_impact: DataFrame) -> DataFrame:
     def verdicts(name: str) -> Column:
         return F.count_if(F.col("verdict") == name)
 
+    # The labels of the published report.
     figures = {
         "Total Segments Analysed": _count(),
         "Profitable Segments": verdicts("Profitable"),

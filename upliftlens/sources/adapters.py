@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 TIE_BREAKERS = {
     "events": ("event_id",),
     "orders": ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag"),
+    "dirty": ("event_id",),
 }
 
 
@@ -94,4 +95,12 @@ def from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SOURCES = {"events": from_events, "orders": from_orders}
+def from_dirty_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The click log with gaps in the columns that an event needs, by event."""
+    gaps = {"user_id": 17, "user_session": 19, "event_type": 23, "event_time": 29}
+    return from_events(spark, sf_dir).withColumns(
+        {c: F.when(F.col("event_id") % n != 0, F.col(c)) for c, n in gaps.items()}
+    )
+
+
+SOURCES = {"events": from_events, "orders": from_orders, "dirty": from_dirty_events}

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import LongType, StringType
 
 from upliftlens import schemas
 from upliftlens.functions.text import missing_to_null
@@ -13,6 +13,7 @@ from upliftlens.functions.text import missing_to_null
 # Position of a row in its file, whatever the split sizes: breaks ties between equal times. Files have
 # no order of their own, so a hash stands for the path, which every event carries to its session.
 INPUT_ORDER = "input_order"
+USER_TEXT = "user_id_text"
 
 
 def load_raw(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
@@ -46,6 +47,8 @@ def load_raw(spark: SparkSession, path: str, multiline: bool = False) -> DataFra
         text_column = F.col(field.name)
         if isinstance(field.dataType, StringType):
             value = missing_to_null(text_column)
+        elif isinstance(field.dataType, LongType):
+            value = whole_number(text_column)
         else:
             value = text_column.try_cast(field.dataType)  # no missing-value token is a number or time
         columns.append(value.alias(field.name))
@@ -54,4 +57,11 @@ def load_raw(spark: SparkSession, path: str, multiline: bool = False) -> DataFra
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
     )
+    # the id as the file has it, for the events whose id is no number
+    columns.append(F.col("user_id").alias(USER_TEXT))
     return text.select(*columns, position.alias(INPUT_ORDER))
+
+
+def whole_number(text: Column) -> Column:
+    """A BIGINT, also from a form with decimal places that are all zero, such as 12345.0."""
+    return F.regexp_replace(F.trim(text), r"\.0*$", "").try_cast("bigint")

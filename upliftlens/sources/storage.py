@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-# Inputs beyond this size are worth an intermediate table (measured: at 400 MB it saves a third).
-STAGING_LIMIT = 128 << 20
-
 CSV_OPTIONS = {
     "header": "true",
     "escape": '"',
@@ -25,17 +23,26 @@ CSV_OPTIONS = {
 
 @lru_cache(maxsize=None)
 def _local_scratch(application_id: str) -> str:
-    return tempfile.mkdtemp(prefix=f"upliftlens-{application_id}-")
+    folder = tempfile.mkdtemp(prefix=f"upliftlens-{application_id}-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def on_one_machine(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process, so that any folder is shared."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder named by `spark.checkpoint.dir`.
 
-    Only a local session may go without the setting; every executor must see the folder.
+    Every executor must see the folder. Only a session in one process may go without the setting; its
+    folder goes at exit.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not on_one_machine(spark):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
         root = _local_scratch(spark.sparkContext.applicationId)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -66,11 +73,6 @@ def input_bytes(df: DataFrame) -> int:
     return sum(int(str(size)) for size in sizes)
 
 
-def stage_for(df: DataFrame, limit: int = STAGING_LIMIT) -> Callable[[DataFrame, str], DataFrame] | None:
-    """`materialise` for plans over large inputs, None for inputs that are cheaper to read twice."""
-    return materialise if input_bytes(df) > limit else None
-
-
 def write_csv(df: DataFrame, path: str) -> None:
     """One file per partition; nothing is gathered into a single task."""
     df.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
