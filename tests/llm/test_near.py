@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import types as T
 
 from upliftlens.llm.common import Scratch
-from upliftlens.llm.components import components
+from upliftlens.llm.components import components, roots
 from upliftlens.llm.minhash import minhash_dedup
 from upliftlens.llm.neighbours import near_vectors
 from upliftlens.llm.pii import KINDS, find_pii, span_text
@@ -43,6 +43,14 @@ def test_components(spark):
     assert components(df.limit(0), Scratch(spark)).count() == 0
 
 
+def test_roots(spark):
+    links = [(i + 1, i) for i in range(40)] + [(100 + i, 100) for i in range(1, 9)] + [(201, 200), (100, 41)]
+    found = {r.id: r.component for r in roots(spark.createDataFrame(links, "a long, b long"), Scratch(spark)).collect()}
+    ids = {x for link in links for x in link}
+    assert found == reached(ids, links)
+    assert roots(spark.createDataFrame([], "a long, b long"), Scratch(spark)).count() == 0
+
+
 def shingles(text, size):
     w = WORD.findall((text or "").translate(LOWER))
     if len(w) < size:

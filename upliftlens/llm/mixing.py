@@ -111,7 +111,9 @@ def mix_sources(
         .withColumn("once", (F.col("until") - F.col("size") / 2 <= F.col("left")).cast("int"))
         .drop("until")
     )
-    copies = (F.col("rounds") + F.col("once")).cast("int")
+    # without a rest there is no partial round, for documents without words neither
+    partial = F.when(F.col("rest") > 0, F.col("once")).otherwise(0)
+    copies = (F.col("rounds") + partial).cast("int")
     return plain.unionByName(cut).select(
         "doc_id",
         "size",
