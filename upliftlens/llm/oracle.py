@@ -40,4 +40,60 @@ SELECT doc_id,
        row_number() OVER (PARTITION BY body ORDER BY n DESC, doc_id) = 1 AS kept,
        sha256(body) AS text_sha256
 FROM d""",
+    "op2_minhash_dedup": rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^{SPACE}]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE
+        WHEN len(w) >= 3 THEN [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+      FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS id, doc_id AS root FROM documents
+      UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.id),
+c AS (SELECT id, min(root) AS component_id FROM r GROUP BY id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d JOIN c ON c.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op5_line_dedup": rf"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS line
+  FROM documents WHERE text IS NOT NULL),
+k AS (SELECT doc_id, line, body, list_sort(list_distinct(regexp_extract_all(body, '[^{SPACE}]+'))) AS words FROM l),
+c AS (SELECT words, len(words) AS n, min((doc_id, line)) AS first FROM k WHERE len(words) >= 5 GROUP BY words),
+t AS (SELECT first, n, unnest(words) AS word FROM c),
+o AS (SELECT *, row_number() OVER (PARTITION BY first ORDER BY f, word) AS pos
+      FROM (SELECT *, count(*) OVER (PARTITION BY word) AS f FROM t)),
+x AS (SELECT first, word FROM o WHERE pos <= n - (80 * n + 99) // 100 + 1),
+p AS (SELECT DISTINCT a.first AS earlier, b.first AS later FROM x a JOIN x b ON a.word = b.word AND a.first < b.first),
+q AS (SELECT DISTINCT later FROM p JOIN c a ON a.first = earlier JOIN c b ON b.first = later
+      WHERE 100 * len(list_intersect(a.words, b.words))
+            >= 80 * (a.n + b.n - len(list_intersect(a.words, b.words)))),
+g AS (SELECT k.doc_id, k.line, k.body,
+             c.first IS NOT NULL AND (c.first <> (k.doc_id, k.line) OR q.later IS NOT NULL) AS gone
+      FROM k LEFT JOIN c ON c.words = k.words LEFT JOIN q ON q.later = c.first),
+r AS (SELECT doc_id, count(*) AS n_lines, count_if(gone) AS n_removed,
+             coalesce(string_agg(body, chr(10) ORDER BY line) FILTER (WHERE NOT gone), '') AS text
+      FROM g GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(r.text, '')) AS text_sha256
+FROM documents d LEFT JOIN r USING (doc_id)""",
+    "op7_near_vectors": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+    AND len([x for x in embedding if x <> 0]) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b
+      ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+      AND list_cosine_similarity(a.v, b.v) >= 0.98),
+r AS (SELECT vec_id AS id, vec_id AS root FROM embeddings
+      UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.id),
+c AS (SELECT id, min(root) AS component_id FROM r GROUP BY id),
+n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN c ON c.id = e.vec_id LEFT JOIN n ON n.x = e.vec_id""",
 }
