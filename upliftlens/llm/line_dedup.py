@@ -104,17 +104,16 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int
     place = classes.select("id", "doc_id", "th", "line", "lh")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     wanted = scratch.save(place.join(ids, "id"), f"{name}_wanted")
-    near = hashed_members(wanted, "th")
+    has_text, is_line = hashed_members(wanted, "th"), hashed_members(wanted, "lh")
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = lines_of(docs.filter(near(F.xxhash64(text)))).select(
-        "th", "line", F.xxhash64("body").alias("lh"), F.array_distinct(line_words(F.col("body"))).alias("words")
-    )
+    found = lines_of(docs.filter(has_text(F.xxhash64(text)))).withColumn("lh", F.xxhash64("body"))
+    place = ["th", "line", "lh"]
     # equal texts give equal lines, so one of each is enough
-    found = found.join(wanted.select("th", "line", "lh").distinct(), ["th", "line", "lh"], "left_semi").dropDuplicates(
-        ["th", "line", "lh"]
-    )
+    found = found.filter(is_line(F.col("lh"))).join(wanted.select(*place).distinct(), place, "left_semi")
+    found = found.select(*place, "body").dropDuplicates(place)
     contents = scratch.save(
-        wanted.join(found, ["th", "line", "lh"]).select("id", "words", _order().alias("at")), f"{name}_contents"
+        wanted.join(found, place).select("id", F.array_distinct(line_words(F.col("body"))).alias("words"), _order().alias("at")),
+        f"{name}_contents",
     )
     a, b = (contents.select([F.col(c).alias(f"{s}_{c}") for c in contents.columns]) for s in "ab")
     both = pairs.join(a, F.col("a") == F.col("a_id")).join(b, F.col("b") == F.col("b_id"))
@@ -144,15 +143,20 @@ def line_dedup(
         tagged.groupBy(*key).agg(F.min(carried).alias("c")).select(*key, "c.*").drop("unknown"), "classes"
     )
 
+    need = _ceil_ratio(F.col("a_n") + F.col("b_n"), percent, 100 + percent)
+    close = (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent) & (
+        F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits"))) <= F.col("a_n") + F.col("b_n") - need * 2
+    )
     firsts = []
     for m in ("m0", "m1"):
         pivot = (
             classes.groupBy(m)
-            .agg(F.min(F.struct(*_order_columns(), "id")).alias("p"), F.count(F.lit(1)).alias("members"))
+            .agg(F.min(F.struct(*_order_columns(), "id", "n", "bits")).alias("p"), F.count(F.lit(1)).alias("members"))
             .filter("members > 1")
-            .select(m, F.col("p.id").alias("b"))
+            .select(m, F.col("p.id").alias("b"), F.col("p.n").alias("b_n"), F.col("p.bits").alias("b_bits"))
         )
-        firsts.append(classes.select(m, F.col("id").alias("a")).join(pivot, m).filter("a != b").select("a", "b"))
+        own = classes.select(m, F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("bits").alias("a_bits"))
+        firsts.append(own.join(pivot, (own[m] == pivot[m]) & (F.col("a") != F.col("b")) & close).select("a", "b"))
     settled = verified(firsts[0].union(firsts[1]), classes, texts, percent, scratch, "settled")
 
     state = classes.join(settled.withColumn("done", F.lit(True)), "id", "left").select(
@@ -167,14 +171,12 @@ def line_dedup(
         )
         for s, side in (("a", short), ("b", state))
     )
-    need = _ceil_ratio(F.col("a_n") + F.col("b_n"), percent, 100 + percent)
     rest = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
     meet = (
         (F.col("a_w") == F.col("b_w"))
         & ((F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_id") < F.col("b_id"))))
-        & (F.col("a_n") * 100 >= F.col("b_n") * percent)
         & (rest >= need)
-        & (F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits"))) <= F.col("a_n") + F.col("b_n") - need * 2)
+        & close
         & ~(F.col("a_done") & F.col("b_done"))
     )
     pairs = a.join(b, meet).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
