@@ -26,7 +26,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components") ->
     while True:
         step += 1
         up = parents.select(F.col("id").alias("p"), F.col("p").alias("g"))
-        grand = scratch.save(parents.join(up, "p").select("id", "p", "g"), f"{name}_grand")
+        grand = parents.join(up, "p").select("id", "p", "g")
         least = (
             both.join(grand.select(F.col("id").alias("b"), F.col("g").alias("n")), "b")
             .groupBy(F.col("a").alias("id"))
@@ -45,6 +45,25 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components") ->
             return parents.select("id", F.col("p").alias("component"))
 
 
+def roots(parents: DataFrame, scratch: Scratch, name: str = "roots") -> DataFrame:
+    """(a, b) with one b < a for each a -> (id, component) for all of them, where the pointers end.
+
+    A pointer forest needs no search over links: each round replaces a pointer by its pointer's.
+    """
+    ends = parents.select(F.col("b").alias("id")).join(parents.select(F.col("a").alias("id")), "id", "left_anti").distinct()
+    known = parents.select(F.col("a").alias("id"), F.col("b").alias("p")).union(ends.select("id", F.col("id").alias("p")))
+    known = scratch.save(known, f"{name}_0")
+    step = 0
+    while True:
+        step += 1
+        up = known.select(F.col("id").alias("p"), F.col("p").alias("g"))
+        jumped = known.join(up, "p").select("id", F.col("g").alias("p"), (F.col("g") != F.col("p")).alias("moved"))
+        jumped = scratch.save(jumped, f"{name}_{step % 2 + 1}")
+        known = jumped.select("id", "p")
+        if not jumped.filter("moved").take(1):
+            return known.select("id", F.col("p").alias("component"))
+
+
 def _total(parents: DataFrame):
     return parents.agg(F.sum(F.col("p").cast("decimal(38,0)"))).first()[0]
 

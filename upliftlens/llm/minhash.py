@@ -4,7 +4,8 @@ A document is the set of its word shingles; documents with equal sets are one cl
 signature of CHUNKS * WIDTH symbols of 16 bits. Two signatures that differ in at most 2 * CHUNKS - 1
 symbols differ in at most one symbol in some chunk (pigeonhole). So every chunk is indexed once for each
 position in which it may be wrong, with that symbol left out: the pairs that meet under such a key include
-all pairs up to that distance. Every link is confirmed on the words themselves.
+all pairs up to that distance. Pairs that are too far apart for their similarity, by the binomial tail,
+are left out where they meet; every link is confirmed on the words themselves.
 
 Only the components matter, so pairs inside a component need no check. Each class first meets the
 smallest class among its keys; links found there join the members of large groups of near copies. Then,
@@ -14,24 +15,40 @@ under each key, the classes outside the key's largest component meet all others.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from math import comb
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from upliftlens.llm.common import hashed_members, lower_ascii, map_arrow, mix64, Scratch, slices, word_codes
-from upliftlens.llm.components import components
+from upliftlens.llm.components import components, roots
 
 CHUNKS, WIDTH = 7, 5
-#: A pair whose signatures differ in more symbols than this is not confirmed: at a similarity of 0.8 a
-#: signature of 35 symbols differs in 7, and in more than 24 once in 10^10 pairs.
-MOST_DIFFERENT = 24
+#: Signatures are held as longs of four symbols.
+LONGS = -(-CHUNKS * WIDTH // 4)
+PARTS = [f"s{i}" for i in range(LONGS)]
+#: A pair at the threshold has more differing symbols than a confirmed pair may have once in this many.
+RARELY = 10**6
 PERMUTATIONS = np.random.default_rng(20240607).integers(1, 2**63, size=(2, CHUNKS * WIDTH), dtype=np.uint64) | np.uint64(1)
 BLOCK = 1 << 18
 
-SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, signature binary"
+SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, " + ", ".join(f"{p} long" for p in PARTS)
+
+
+def most_different(percent: int) -> int:
+    """Differing symbols that a linked pair exceeds once in `RARELY` pairs at most."""
+    n, p = CHUNKS * WIDTH, 1 - percent / 100
+    chance = 1.0
+    for k in range(n + 1):
+        chance -= comb(n, k) * p**k * (1 - p) ** (n - k)
+        if chance < 1 / RARELY:
+            return max(k, 2 * CHUNKS - 1)
+    return n
 
 
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,18 +106,18 @@ def _sign(shingle: int):
             if len(full):  # two sums over the members identify the set
                 a[full] = np.add.reduceat(mix64(hashes), tight[:-1])
                 b[full] = np.add.reduceat(mix64(hashes ^ np.uint64(0xD6E8FEB86659FD93)), tight[:-1])
-            out: list = [None] * len(n)
-            for row, s in zip(full, sig, strict=True):
-                out[row] = s.tobytes()
+            packed = np.zeros((len(n), 4 * LONGS), np.uint16)
+            packed[full, : CHUNKS * WIDTH] = sig
+            longs = packed.view(np.int64)
             yield pa.record_batch(
                 [
                     batch.column("doc_id").cast(pa.int64()),
                     pa.array(n.astype(np.int64)),
                     pa.array(a.view(np.int64)),
                     pa.array(b.view(np.int64)),
-                    pa.array(out, pa.binary()),
+                    *[pa.array(np.ascontiguousarray(longs[:, i])) for i in range(LONGS)],
                 ],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "signature"],
+                names=["doc_id", "n_shingles", "set_a", "set_b", *PARTS],
             )
 
     return run
@@ -111,8 +128,8 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        joined = b"".join(batch.column("signature").to_pylist())
-        sig = np.frombuffer(joined, np.uint16).reshape(-1, CHUNKS, WIDTH).astype(np.uint64)
+        longs = np.stack([batch.column(p).to_numpy() for p in PARTS], axis=1)
+        sig = longs.view(np.uint16)[:, : CHUNKS * WIDTH].reshape(-1, CHUNKS, WIDTH).astype(np.uint64)
         keys = np.empty((len(sig), CHUNKS, WIDTH), np.uint64)
         for c in range(CHUNKS):
             for gap in range(WIDTH):
@@ -162,17 +179,11 @@ def _exact(code: np.ndarray, shingle: int, base: int) -> set:
 
 
 def confirmed(
-    pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int, scratch: Scratch, name: str
+    pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, scratch: Scratch, name: str
 ) -> DataFrame:
     """The pairs (a, b) of class ids that are similar on their full sets."""
-    sides = [classes.select(F.col("id").alias(s), F.col("signature").alias(f"{s}_sig")) for s in "ab"]
-    near = pairs.distinct().join(sides[0], "a").join(sides[1], "b").filter(
-        _distance(F.hex("a_sig"), F.hex("b_sig")) <= MOST_DIFFERENT
-    )
-    near = scratch.save(near.select("a", "b"), f"{name}_near")
-    ids = scratch.save(
-        near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct(), f"{name}_ids"
-    )
+    near = scratch.save(pairs.select("a", "b").distinct(), f"{name}_near")
+    ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     wanted = hashed_members(ids, "id")
     texts = docs.filter(wanted(F.col("doc_id"))).select(F.col("doc_id").alias("id"), "text")
     # an id that several rows have means the first of their texts
@@ -182,11 +193,21 @@ def confirmed(
     return scratch.save(map_arrow(both, _similar(shingle, percent), "a long, b long"), name)
 
 
-def _distance(a, b):
-    """Symbols of four hexadecimal digits in which two signatures differ."""
-    places = F.sequence(F.lit(1), F.lit(4 * CHUNKS * WIDTH - 3), F.lit(4))
-    same = F.filter(places, lambda i: F.substring(a, i, F.lit(4)) == F.substring(b, i, F.lit(4)))
-    return F.lit(CHUNKS * WIDTH) - F.size(same)
+def side(df: DataFrame, name: str) -> DataFrame:
+    """The id under a name, with the signature's columns named after it."""
+    return df.select(F.col("id").alias(name), *[F.col(p).alias(f"{name}_{p}") for p in PARTS])
+
+
+def distance() -> Column:
+    """Symbols in which the signatures of a and b differ: any bit of a symbol is folded into its lowest."""
+
+    def differing(part: str) -> Column:
+        x = F.col(f"a_{part}").bitwiseXOR(F.col(f"b_{part}"))
+        for shift in (8, 4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        return F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001)))
+
+    return reduce(add, map(differing, PARTS))
 
 
 def minhash_dedup(docs: DataFrame, scratch: Scratch | None = None, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -204,15 +225,18 @@ def minhash_dedup(docs: DataFrame, scratch: Scratch | None = None, shingle: int
     linkable = signed.filter("n_shingles > 0 and doc_id is not null")
     key = ["set_a", "set_b", "n_shingles"]
     classes = scratch.save(
-        linkable.groupBy(*key).agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature")), "classes"
+        linkable.groupBy(*key).agg(F.min("doc_id").alias("id"), *[F.first(p).alias(p) for p in PARTS]), "classes"
     )
-    index = scratch.save(map_arrow(classes.select("id", "signature"), _index, "key long, id long"), "index")
+    near = distance() <= most_different(percent)
+    index = scratch.save(map_arrow(classes.select("id", *PARTS), _index, "key long, id long"), "index")
     shared = index.groupBy("key").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     index = scratch.save(index.join(shared.select("key", "low"), "key"), "shared")
 
     star = index.filter("id != low").groupBy("id").agg(F.min("low").alias("b")).select(F.col("id").alias("a"), "b")
-    links = confirmed(star, classes, docs, shingle, percent, scratch, "star")
-    part = components(links, scratch, "star_parts")
+    star = scratch.save(star, "star_pairs")
+    hopeful = star.join(side(classes, "a"), "a").join(side(classes, "b"), "b").filter(near)
+    links = confirmed(hopeful, docs, shingle, percent, scratch, "star")
+    part = roots(links, scratch, "star_parts")
 
     placed = index.join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed = scratch.save(placed.select("key", "id", "component"), "placed")
@@ -223,18 +247,35 @@ def minhash_dedup(docs: DataFrame, scratch: Scratch | None = None, shingle: int
         .filter("parts > 1")
         .select("key", F.col("most.component").alias("largest"))
     )
-    spread = scratch.save(placed.join(open_keys, "key"), "spread")
-    few = spread.filter("component != largest").select("key", F.col("id").alias("a"), F.col("component").alias("a_part"))
-    every = spread.select("key", F.col("id").alias("b"), F.col("component").alias("b_part"), "largest")
+    spread = scratch.save(placed.join(open_keys, "key").join(classes.select("id", *PARTS), "id"), "spread")
+
+    def named(name: str) -> list[Column]:
+        return [F.col("key"), F.col("component").alias(f"{name}_part"), F.col("id").alias(name)] + [
+            F.col(p).alias(f"{name}_{p}") for p in PARTS
+        ]
+
+    few = spread.filter("component != largest").select(*named("a"))
+    every = spread.select(*named("b"), "largest")
     meet = few.join(every, "key").filter(
-        (F.col("a_part") != F.col("b_part")) & ((F.col("b_part") == F.col("largest")) | (F.col("a") < F.col("b")))
+        (F.col("a_part") != F.col("b_part"))
+        & ((F.col("b_part") == F.col("largest")) | (F.col("a") < F.col("b")))
+        & near
     )
     rest = meet.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).join(star, ["a", "b"], "left_anti")
-    more = confirmed(rest, classes, docs, shingle, percent, scratch, "rest")
-
-    members = components(links.union(more), scratch, "parts")
-    placed_classes = classes.select(*key, "id").join(members, "id", "left")
-    owner = scratch.save(placed_classes.select(*key, F.coalesce("component", "id").alias("component")), "owner")
+    more = confirmed(rest, docs, shingle, percent, scratch, "rest")
+
+    # the links found last join whole components
+    ends = [part.select(F.col("id").alias(s), F.col("component").alias(f"{s}_part")) for s in "ab"]
+    joined = more.join(ends[0], "a", "left").join(ends[1], "b", "left")
+    joined = joined.select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b"))
+    whole = components(joined, scratch, "parts").select(F.col("id").alias("component"), F.col("component").alias("smallest"))
+    owner = (
+        classes.select(*key, "id")
+        .join(part, "id", "left")
+        .withColumn("component", F.coalesce("component", "id"))
+        .join(whole, "component", "left")
+    )
+    owner = scratch.save(owner.select(*key, F.coalesce("smallest", "component").alias("component")), "owner")
     ids = linkable.select("doc_id", *key).join(owner, key)
     alone = signed.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
     found = ids.select("doc_id", "n_shingles", "component").unionByName(alone)
