@@ -153,3 +153,20 @@ def test_toxicity(spark):
     assert sum(right) >= 0.95 * len(right)
     assert abs(found[500] - net.base_rate) < 1e-6 and abs(found[501] - net.base_rate) < 1e-6
     assert found[502] < 0.5 < found[503]
+
+
+def test_a_rare_language_beside_a_million_windows(spark):
+    """Each window of the common language is there twice, each of the rare one once."""
+    rng = np.random.default_rng(1)
+    letters = rng.integers(0x4E00, 0x9FA0, (30, 36_000)).astype("<u4")
+    common = [row.tobytes().decode("utf-32-le") for row in letters] * 2
+    rare = " ".join("".join(random.Random(w).sample("abcdefghij", 6)) for w in range(40))
+    docs = spark.createDataFrame([(i, t, "zz") for i, t in enumerate(common)] + [(90, rare, "aa")], "doc_id long, text string, lang string")
+    model = language.train(docs)
+    assert model.size > 2_000_000
+    found = {r.doc_id: r for r in language.identify(docs, model).collect()}
+    assert (found[90].lang_pred, found[90].rejected) == ("aa", False)
+    assert found[90].score > 0.9 and found[90].bits_per_letter < 3
+    # windows seen once or twice tell the discounts: every window of the rare language counts 1
+    seen = np.array([[ord(c) for c in f"\x02\x02\x02{rare[0]}"]], np.uint32)
+    assert model.bits(seen)[0, 0] < model.bits(seen)[0, 1]

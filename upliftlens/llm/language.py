@@ -1,28 +1,35 @@
 """Language identification by character models with interpolated Kneser-Ney smoothing.
 
 A language is a model of the next letter after the last three, inside a word. Counts of four-letter
-windows over all training texts are made per slice and summed by Spark; the lower orders follow from the
-distinct windows. A model is a sorted array of window hashes with a probability for each language. The
+windows over all training texts are made per slice and summed by Spark; the lower orders, discounts and
+context totals are aggregates over the distinct windows. A model keeps all of them, as a file of sorted
+hashes that Spark hands to the executors and that tasks map into memory, so it grows with the input. The
 language with the lowest cross-entropy per letter wins; a text whose cross-entropy is far above what its
 language has on its training texts is marked as rejected.
 """
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyspark.sql.functions as F
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 
-from upliftlens.llm.common import map_arrow, mix64, slices, word_codes
+from upliftlens.llm.common import Scratch, map_arrow, mix64, slices, word_codes
 
 ORDER = 4
 BEGIN, END = "\x02", "\x03"
-#: Windows a model keeps over all languages, the most frequent; it bounds what the tasks receive.
-MAX_WINDOWS = 1_000_000
+#: Rows of a model that the driver holds at a time while it writes the file.
+SHARE = 2_000_000
 #: Letters that count as independent evidence in a score.
 EVIDENCE = 40
 #: A text is rejected this many standard errors and bits per letter above its language's mean.
@@ -87,50 +94,51 @@ def _count(langs: list[str]):
     return run
 
 
+def characters(grams: list[str], n: int) -> np.ndarray:
+    """Texts of `n` characters as one row of codes each."""
+    return np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(grams), n)
+
+
+def keys_of(chars: np.ndarray, kind: int) -> np.ndarray:
+    """The keys of rows of characters: 2n for windows of n letters, 2n + 1 for contexts of such windows."""
+    h = hashed([*chars.T]) if chars.shape[1] else np.zeros(len(chars), np.uint64)
+    return mix64(h + np.uint64(kind + 1)).view(np.int64)
+
+
 class Model:
-    """Sorted hash arrays: for each order the discounted probabilities of windows and the weights of contexts."""
-
-    def __init__(self, langs: list[str], grams: list[str], lang_of: np.ndarray, counts: np.ndarray) -> None:
-        self.langs = langs
-        chars = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, ORDER)
-        self.letters = len(np.unique(chars[:, -1])) + 1 if len(chars) else 1
-        self.tables = []
-        types = {lang: (chars[lang_of == i], counts[lang_of == i].astype(float)) for i, lang in enumerate(langs)}
-        per_order: list[list] = [[] for _ in range(ORDER)]
-        for lang in langs:
-            columns, c = types[lang]
-            for n in range(ORDER, 0, -1):  # from the windows down; below them a count is one per distinct window
-                gram, context = hashed([*columns.T]), hashed([*columns[:, :-1].T]) if n > 1 else np.zeros(len(columns), np.uint64)
-                ones, twos = (c == 1).sum(), (c == 2).sum()
-                d = ones / (ones + 2 * twos) if ones and ones + 2 * twos else 0.5
-                d = min(max(d, 0.1), 0.9)
-                contexts, inverse = np.unique(context, return_inverse=True)
-                total = np.bincount(inverse, c, len(contexts))
-                kinds = np.bincount(inverse, minlength=len(contexts))
-                per_order[n - 1].append((gram, (c - np.minimum(d, c)) / total[inverse], contexts, d * kinds / total))
-                if n > 1:
-                    _, first, inverse = np.unique(hashed([*columns[:, 1:].T]), return_index=True, return_inverse=True)
-                    c = np.bincount(inverse, minlength=len(first)).astype(float)
-                    columns = columns[first][:, 1:]
-        for rows in per_order:
-            self.tables.append(
-                (*_merged([(g, p) for g, p, _, _ in rows], 0.0), *_merged([(k, w) for _, _, k, w in rows], 1.0))
-            )
+    """Sorted hashes in a file: discounted counts of windows, totals and weights of contexts, of each language."""
+
+    def __init__(self, langs: list[str], letters: int, size: int, file: str | None) -> None:
+        self.langs, self.letters, self.size, self.file = langs, letters, size, file
         self.mean, self.spread = np.zeros(len(langs)), np.zeros(len(langs))
-        for i, lang in enumerate(langs):
-            columns, c = types[lang]
-            if len(columns):
-                bits = self.bits(columns)[:, i]
-                self.mean[i] = np.average(bits, weights=c)
-                self.spread[i] = np.sqrt(np.average((bits - self.mean[i]) ** 2, weights=c))
+        self.table = None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "table": None}
+
+    def _values(self, chars: np.ndarray, kind: int, missing: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
+        """The two numbers of each row of characters in each language."""
+        if self.table is None:
+            self.table = _mapped(SparkFiles.get(self.file) if self.file else None, self.size, "r")
+        keys, lang, a, b = self.table
+        wanted, inverse = np.unique(keys_of(chars, kind), return_inverse=True)
+        first = np.searchsorted(keys, wanted)
+        count = np.searchsorted(keys, wanted, side="right") - first
+        row = np.repeat(np.arange(len(wanted)), count)
+        at = np.arange(len(row)) + np.repeat(first - (np.cumsum(count) - count), count)
+        out = [np.full((len(wanted), len(self.langs)), m) for m in missing]
+        for values, column in zip(out, (a, b), strict=True):
+            values[row, lang[at]] = column[at]
+        return out[0][inverse], out[1][inverse]
 
     def bits(self, windows: np.ndarray) -> np.ndarray:
         """Minus log2 of the probability of each window's last letter in each language."""
         p = np.full((len(windows), len(self.langs)), 1.0 / self.letters)
-        for n, (grams, probability, contexts, weight) in enumerate(self.tables, 1):
+        for n in range(1, ORDER + 1):
             own = windows[:, ORDER - n :]
-            context = hashed([*own[:, :-1].T]) if n > 1 else np.zeros(len(own), np.uint64)
-            p = _looked_up(grams, probability, hashed([*own.T]), 0.0) + _looked_up(contexts, weight, context, 1.0) * p
+            count, _ = self._values(own, 2 * n, (0.0, 0.0))
+            total, weight = self._values(own[:, :-1], 2 * n + 1, (1.0, 1.0))
+            p = count / total + weight * p
         return -np.log2(p)
 
     def score(self, texts: pa.Array) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
@@ -160,24 +168,78 @@ class Model:
         return names, score, np.where(known, low, 0.0), known & (low > limit)
 
 
-def _merged(rows: list[tuple[np.ndarray, np.ndarray]], missing: float) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, values) of each language as one sorted array of keys and a column of values per language."""
-    keys = np.unique(np.concatenate([k for k, _ in rows])) if rows else np.zeros(0, np.uint64)
-    values = np.full((len(keys), len(rows)), missing)
-    for i, (k, v) in enumerate(rows):
-        values[np.searchsorted(keys, k), i] = v
-    return keys, values
+def _mapped(path: str | None, size: int, mode: str) -> list[np.ndarray]:
+    """The columns of a model's file: key, language, and two numbers."""
+    kinds, at, columns = (np.int64, np.int32, np.float64, np.float64), 0, []
+    order = (0, 2, 3, 1)  # the widest first, so that all are aligned
+    for i in order:
+        columns.append(np.zeros(0, kinds[i]) if path is None else np.memmap(path, kinds[i], mode, at, (size,)))
+        at += size * np.dtype(kinds[i]).itemsize
+        mode = "r+" if mode == "w+" else mode
+    return [columns[order.index(i)] for i in range(len(kinds))]
+
+
+def _written(rows: DataFrame) -> tuple[int, str | None]:
+    """The number of rows, and the name of the file with them in order of their keys that every executor gets.
 
+    The driver holds one share of the keys at a time.
+    """
+    size = rows.count()
+    if not size:
+        return 0, None
+    folder = tempfile.mkdtemp(prefix="model-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, f"model-{uuid.uuid4().hex}.bin")
+    columns = _mapped(path, size, "w+")
+    shares = -(-size // SHARE)
+    bounds = [-(2**63) + (2**64 * i) // shares for i in range(shares)] + [2**63]
+    at = 0
+    for low, high in zip(bounds, bounds[1:], strict=False):
+        part = rows.filter(F.col("key").between(low, high - 1)).toArrow()
+        read = [part[c].to_numpy() for c in ("key", "lang", "a", "b")]
+        order = np.lexsort((read[1], read[0]))
+        for column, values in zip(columns, read, strict=True):
+            column[at : at + len(order)] = values[order]
+        at += len(order)
+    for column in columns:
+        column.flush()
+    rows.sparkSession.sparkContext.addFile(path)
+    return size, os.path.basename(path)
+
+
+def _keyed(langs: list[str]):
+    place = {lang: i for i, lang in enumerate(langs)}
 
-def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: float) -> np.ndarray:
-    if not len(keys):
-        return np.full((len(wanted), values.shape[1]), missing)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where((keys[at] == wanted)[:, None], values[at], missing)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = batch.column("kind").to_numpy()
+            for kind in np.unique(kinds):
+                part = batch.filter(pa.array(kinds == kind))
+                keys = keys_of(characters(part.column("gram").to_pylist(), int(kind) // 2 - int(kind) % 2), int(kind))
+                lang = np.array([place[x] for x in part.column("lang").to_pylist()], np.int32)
+                yield pa.record_batch([pa.array(keys), pa.array(lang), part.column("a"), part.column("b")], names=["key", "lang", "a", "b"])
+
+    return run
+
+
+def _moments(model: Model):
+    """Sums over training windows of what they cost in their own language, to tell its mean and spread."""
+    place = {lang: i for i, lang in enumerate(model.langs)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang = np.array([place[x] for x in batch.column("lang").to_pylist()], np.int64)
+            n = batch.column("n").to_numpy().astype(float)
+            bits = model.bits(characters(batch.column("gram").to_pylist(), ORDER))[np.arange(len(lang)), lang]
+            sums = [np.bincount(lang, n * x, len(place)) for x in (np.ones(len(n)), bits, bits * bits)]
+            yield pa.record_batch([pa.array(np.arange(len(place))), *map(pa.array, sums)], names=["lang", "n", "x", "xx"])
+
+    return run
 
 
-def train(docs: DataFrame, max_windows: int = MAX_WINDOWS) -> Model:
-    """A model from all (text, lang) rows with a language. The windows are counted by Spark."""
+def train(docs: DataFrame, scratch: Scratch | None = None) -> Model:
+    """A model from all (text, lang) rows with a language, made of all their windows."""
+    scratch = scratch or Scratch(docs.sparkSession)
     labelled = docs.select("text", "lang").filter("lang is not null and text is not null")
     langs = sorted(r.lang for r in labelled.select("lang").distinct().collect())
     counted = (
@@ -185,10 +247,37 @@ def train(docs: DataFrame, max_windows: int = MAX_WINDOWS) -> Model:
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
     )
-    kept = counted.orderBy(F.desc("n"), "lang", "gram").limit(max_windows).toArrow()
-    order = {lang: i for i, lang in enumerate(langs)}
-    lang_of = np.array([order[x] for x in kept["lang"].to_pylist()], np.int64)
-    return Model(langs, kept["gram"].to_pylist(), lang_of, kept["n"].to_numpy())
+    windows = scratch.save(counted, f"windows_{ORDER}")
+    letters, rows = 1, None
+    table = windows
+    for n in range(ORDER, 0, -1):  # from the windows down; below them a count is one per distinct window
+        if n < ORDER:
+            shorter = table.groupBy("lang", F.substring("gram", 2, n).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+            table = scratch.save(shorter, f"windows_{n}")
+        ones, twos = F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
+        share = F.when(ones > 0, ones / (ones + 2 * twos)).otherwise(0.5)
+        discounts = F.broadcast(table.groupBy("lang").agg(F.least(F.greatest(share, F.lit(0.1)), F.lit(0.9)).alias("d")))
+        total = F.sum("n").cast("double")
+        contexts = table.groupBy("lang", F.substring("gram", 1, n - 1).alias("gram")).agg(
+            total.alias("a"), F.count(F.lit(1)).alias("kinds")
+        )
+        counts = table.join(discounts, "lang").select(
+            F.lit(2 * n).alias("kind"), "lang", "gram", (F.col("n") - F.least("d", "n")).alias("a"), F.lit(0.0).alias("b")
+        )
+        contexts = contexts.join(discounts, "lang").select(
+            F.lit(2 * n + 1).alias("kind"), "lang", "gram", "a", (F.col("d") * F.col("kinds") / F.col("a")).alias("b")
+        )
+        rows = counts.union(contexts) if rows is None else rows.union(counts).union(contexts)
+        if n == 1:
+            letters += table.select("gram").distinct().count()
+    keyed = map_arrow(rows, _keyed(langs), "key long, lang int, a double, b double")
+    model = Model(langs, letters, *_written(scratch.save(keyed.sortWithinPartitions("key"), "model")))
+    sums = map_arrow(windows, _moments(model), "lang long, n double, x double, xx double")
+    for r in sums.groupBy("lang").agg(*[F.sum(c).alias(c) for c in ("n", "x", "xx")]).filter("n > 0").collect():
+        # rounded, as the order of addition changes the last digits
+        model.mean[r.lang] = round(r.x / r.n, 9)
+        model.spread[r.lang] = round(max(r.xx / r.n - (r.x / r.n) ** 2, 0.0) ** 0.5, 9)
+    return model
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
