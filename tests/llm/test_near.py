@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import types as T
 
+from upliftlens.llm import neighbours
 from upliftlens.llm.common import Scratch
 from upliftlens.llm.components import components, roots
 from upliftlens.llm.minhash import minhash_dedup
@@ -220,3 +221,18 @@ def test_contexts_find_what_patterns_miss(spark):
         assert span.value.endswith("_org")
     assert all(len(rows[i].spans) == 1 for i in range(40))
     assert not any(rows[i].spans for i in range(42, 51))
+
+
+def test_tight_groups_near_each_other(spark, monkeypatch):
+    """More vectors than a list holds at a cosine of 0.999, and 0.985 to those of another such group."""
+    monkeypatch.setattr(neighbours, "AUDIT", 0)  # by the lists alone
+    monkeypatch.setattr(neighbours, "EVERY", 10**9, raising=False)
+    rng = np.random.default_rng(2)
+    axes = np.eye(32)
+    rows = []
+    for label in range(3):
+        angle = np.arccos(0.985)
+        for centre in (axes[2 * label], np.cos(angle) * axes[2 * label] + np.sin(angle) * axes[2 * label + 1]):
+            rows += [(len(rows) + 1 + k, (centre + 0.002 * rng.normal(size=32)).tolist(), label % 2, "x") for k in range(60)]
+    found = near_vectors(spark.createDataFrame(rows, VECTORS)).collect()
+    assert {(r.component_id, r.n_links) for r in found} == {(1, 119), (121, 119), (241, 119)}

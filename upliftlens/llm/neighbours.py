@@ -3,8 +3,10 @@
 Every vector has a list of its most similar vectors so far. The first lists come from neighbours in a few
 random projections. In a round, the vectors on a vector's list and those that have it on theirs are
 compared with each other, which finds neighbours of neighbours; rounds end when hardly any list changes.
-Links are what passes the threshold. A list whose every entry passes is saturated: it is enlarged by all
-members of its component, which are compared exactly, in blocks. A sample of vectors is compared with all
+Links are what passes the threshold. All members of a component are compared exactly, in blocks. A list
+whose every entry passes is saturated, and may lack members that no list holds. A link that is missing for
+this reason has saturated lists at both ends, so the saturated vectors of a group are covered by leaders and
+the leaders are compared with each other, in blocks, by a bound that no link escapes. A sample of vectors is compared with all
 rows to audit the recall; while it is too low, lists are widened and the descent goes on.
 
 Vectors are compared only within a group (equal label and length). Equal vectors are one class.
@@ -31,6 +33,8 @@ STILL = 0.002
 #: The descent works on half-precision copies; what it finds this far below the threshold is checked.
 MARGIN = 0.005
 BLOCK = 512
+#: The cosine of a leader to the vectors that it stands for.
+NEAR = 0.999
 #: Vectors that are compared with all rows to audit the recall.
 AUDIT, RECALL, WIDER = 256, 0.995, 3
 #: Groups that are compared side by side.
@@ -73,14 +77,17 @@ def near_vectors(vectors: DataFrame, scratch: Scratch | None = None, threshold:
         if audit is not None:
             links = links.union(audit)
         checked, exact = _enlarged(classes, links, scratch, threshold)
+        bridges = _bridges(classes, lists, exact, scratch, threshold, width)
+        if bridges.take(1):
+            links = links.union(bridges)
+            checked, exact = _enlarged(classes, links, scratch, threshold)
         hits, recall = _audit(classes, checked, scratch, threshold, attempt)
         audit = hits if audit is None else audit.union(hits)
         if recall >= RECALL:
             break
         width *= 2
     if recall < 1:  # what the audit saw counts as found
-        links = lists.filter(F.col("sim") >= threshold - MARGIN).select("a", "b").union(audit)
-        checked, exact = _enlarged(classes, links, scratch, threshold)
+        checked, exact = _enlarged(classes, links.union(audit), scratch, threshold)
 
     part = components(exact, scratch, "parts")
     found = classes.join(checked, "id", "left").join(part, "id", "left")
@@ -267,17 +274,12 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _pairs(ids[r, i], ids[r, top[r, i, k]], value[r, i, k])
 
 
-def _enlarged(classes: DataFrame, links: DataFrame, scratch: Scratch, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Exact links inside the components of `links`: (id, links), and edges that span them.
-
-    A component is dealt into blocks of about BLOCK classes, and each pair of blocks is one piece of work.
-    """
-    part = components(links, scratch, "rough")
+def _dealt(part: DataFrame, members: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Members (component, id, v, n) as pieces of work: each pair of blocks of each component of `part`."""
     sized = part.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    sized = scratch.save(sized, "rough_sizes")
-    members = part.join(sized, "component").join(classes.select("id", "v", "n"), "id")
+    sized = scratch.save(sized, f"{name}_sizes")
     block = F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int")
-    dealt = members.withColumn("block", block).select(
+    dealt = members.join(sized, "component").withColumn("block", block).select(
         "component", "id", "v", "n", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     )
     dealt = dealt.select(
@@ -290,28 +292,94 @@ def _enlarged(classes: DataFrame, links: DataFrame, scratch: Scratch, threshold:
         "v",
         "n",
     )
+    return dealt.repartition("work").sortWithinPartitions("work", "component", "x", "y")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _pieces(table: pa.Table) -> Iterator[tuple]:
+    """The vectors, ids and n of each piece of work, and the places of its two blocks, which may be one."""
+    keys = np.stack([table[c].to_numpy() for c in ("work", "component", "x", "y")], axis=1)
+    begins = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1])
+    for first, last in zip(begins, [*begins[1:], len(keys)], strict=True):
+        part = table.slice(first, last - first)
+        block, (_, _, low, high) = part["block"].to_numpy(), keys[first]
+        one = np.flatnonzero(block == low)
+        two = one if low == high else np.flatnonzero(block == high)
+        yield _units(part["v"].combine_chunks()), part["id"].to_numpy(), part["n"].to_numpy(), one, two
+
+
+def _bridges(
+    classes: DataFrame, lists: DataFrame, exact: DataFrame, scratch: Scratch, threshold: float, width: int
+) -> DataFrame:
+    """Pairs (a, b) that connect components which may have a link between saturated vectors.
+
+    In blocks of each component, leaders are taken until each saturated vector has one at a cosine of NEAR.
+    Two linked vectors have leaders at no more than the angle of the threshold and twice that of NEAR.
+    """
+    full = lists.groupBy("a").agg(F.count(F.lit(1)).alias("size"), F.min("sim").alias("low"))
+    full = full.filter((F.col("size") >= width) & (F.col("low") >= threshold - MARGIN)).select(F.col("a").alias("id"))
+    part = full.join(components(exact, scratch, "tight"), "id", "left")
+    part = scratch.save(part.select("id", F.coalesce("component", "id").alias("component")), "saturated")
+    rows = part.join(classes.select("id", "g", "v"), "id")
+    several = rows.groupBy("g").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    rows = rows.join(several.filter("least < most").select("g"), "g", "left_semi")
+    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / BLOCK)).cast("int")
+    sized = part.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+    rows = rows.join(sized, "component").withColumn("work", F.xxhash64("component", block))
+
+    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, "work", 2000):
-            keys = np.stack([table[c].to_numpy() for c in ("work", "component", "x", "y")], axis=1)
+            keys = np.stack([table[c].to_numpy() for c in ("work", "component")], axis=1)
             begins = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1])
             for first, last in zip(begins, [*begins[1:], len(keys)], strict=True):
-                part = table.slice(first, last - first)
-                x, ids, n = _units(part["v"].combine_chunks()), part["id"].to_numpy(), part["n"].to_numpy()
-                block, (_, _, low, high) = part["block"].to_numpy(), keys[first]
-                one, two = np.flatnonzero(block == low), np.flatnonzero(block == high)
+                piece = table.slice(first, last - first).combine_chunks()
+                x = _units(piece["v"].combine_chunks())
+                close = x @ x.T >= NEAR
+                alone, chosen = np.ones(len(x), bool), []
+                while alone.any():
+                    chosen.append(int(alone.argmax()))
+                    alone &= ~close[chosen[-1]]
+                    alone[chosen[-1]] = False
+                yield from piece.select(["g", "component", "id", "v"]).take(chosen).to_batches()
+
+    kind = classes.schema["v"].dataType.simpleString()
+    chosen = rows.select("work", "component", "g", "id", "v").repartition("work").sortWithinPartitions("work", "component")
+    leaders = scratch.save(map_arrow(chosen, lead, f"g long, component long, id long, v {kind}"), "leaders")
+    low = float(np.cos(np.arccos(threshold) + 2 * np.arccos(NEAR))) - 1e-9
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, "work", 2000):
+            for x, ids, own, one, two in _pieces(table):
+                linked = (x[one] @ x[two].T >= low) & (own[one][:, None] != own[two][None])
+                i, j = _spanning(linked, one, two, len(ids))
+                yield pa.record_batch([pa.array(ids[i]), pa.array(ids[j])], names=["a", "b"])
+
+    own = leaders.select(F.col("g").alias("component"), "id", "v", F.col("component").alias("n"))
+    dealt = _dealt(own.select("component"), own, scratch, "leaders")
+    return scratch.save(map_arrow(dealt, run, "a long, b long"), "bridges")
+
+
+def _enlarged(classes: DataFrame, links: DataFrame, scratch: Scratch, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Exact links inside the components of `links`: (id, links), and edges that span them.
+
+    A component is dealt into blocks of about BLOCK classes, and each pair of blocks is one piece of work.
+    """
+    part = components(links, scratch, "rough")
+    dealt = _dealt(part, part.join(classes.select("id", "v", "n"), "id"), scratch, "rough")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, "work", 2000):
+            for x, ids, n, one, two in _pieces(table):
                 linked = x[one] @ x[two].T >= threshold
                 linked &= ids[one][:, None] != ids[two][None]
                 count = np.zeros(len(ids), np.int64)
                 count[one] += linked @ n[two]
-                if low != high:
+                if one is not two:
                     count[two] += linked.T @ n[one]
                 i, j = _spanning(linked, one, two, len(ids))
                 yield _counted(ids, count, ids)
                 yield _counted(ids[i], np.zeros(len(i), np.int64), ids[j])
 
-    sorted_work = dealt.repartition("work").sortWithinPartitions("work", "component", "x", "y")
-    done = map_arrow(sorted_work, run, "id long, links long, other long")
+    done = map_arrow(dealt, run, "id long, links long, other long")
     done = scratch.save(done, "enlarged")
     counts = scratch.save(done.groupBy("id").agg(F.sum("links").alias("links")), "links")
     edges = done.filter("id != other").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
