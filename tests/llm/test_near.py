@@ -236,3 +236,18 @@ def test_tight_groups_near_each_other(spark, monkeypatch):
             rows += [(len(rows) + 1 + k, (centre + 0.002 * rng.normal(size=32)).tolist(), label % 2, "x") for k in range(60)]
     found = near_vectors(spark.createDataFrame(rows, VECTORS)).collect()
     assert {(r.component_id, r.n_links) for r in found} == {(1, 119), (121, 119), (241, 119)}
+
+
+def test_lost_pairs_beside_a_large_group(spark, monkeypatch):
+    """The descent finds the large group and none of the pairs, which are few of all links."""
+    descend = neighbours._descend
+    monkeypatch.setattr(neighbours, "_descend", lambda *a: descend(*a).filter("a <= 400 and b <= 400"))
+    rng = np.random.default_rng(3)
+    hot = rng.normal(size=32)
+    rows = [(i, (hot + 0.05 * rng.normal(size=32)).tolist(), 0, "x") for i in range(1, 401)]
+    for _ in range(300):
+        v = rng.normal(size=32)
+        rows += [(len(rows) + k, (v + 0.01 * k * rng.normal(size=32)).tolist(), 0, "x") for k in (1, 2)]
+    found = {r.vec_id: r for r in near_vectors(spark.createDataFrame(rows, VECTORS)).collect()}
+    assert all((found[i].component_id, found[i].n_links) == (1, 399) for i in range(1, 401))
+    assert all((found[i].component_id, found[i].n_links) == (i - (i + 1) % 2, 1) for i in range(401, 1001))

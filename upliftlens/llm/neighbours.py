@@ -6,8 +6,10 @@ compared with each other, which finds neighbours of neighbours; rounds end when
 Links are what passes the threshold. All members of a component are compared exactly, in blocks. A list
 whose every entry passes is saturated, and may lack members that no list holds. A link that is missing for
 this reason has saturated lists at both ends, so the saturated vectors of a group are covered by leaders and
-the leaders are compared with each other, in blocks, by a bound that no link escapes. A sample of vectors is compared with all
-rows to audit the recall; while it is too low, lists are widened and the descent goes on.
+the leaders are compared with each other, in blocks, by a bound that no link escapes. One in
+EVERY vectors is compared with all rows of its group, in blocks, to audit the recall: on average over the
+vectors with few and with many links, in each group. While it is too low, lists are widened and the descent
+goes on; groups where it stays too low are compared whole, in blocks.
 
 Vectors are compared only within a group (equal label and length). Equal vectors are one class.
 """
@@ -35,8 +37,9 @@ MARGIN = 0.005
 BLOCK = 512
 #: The cosine of a leader to the vectors that it stands for.
 NEAR = 0.999
-#: Vectors that are compared with all rows to audit the recall.
-AUDIT, RECALL, WIDER = 256, 0.995, 3
+#: One in so many vectors, and at least about so many, are compared with all rows to audit the recall.
+EVERY, AUDIT = 50, 256
+RECALL, WIDER = 0.995, 3
 #: Groups that are compared side by side.
 SIDE = 1024
 
@@ -81,13 +84,14 @@ def near_vectors(vectors: DataFrame, scratch: Scratch | None = None, threshold:
         if bridges.take(1):
             links = links.union(bridges)
             checked, exact = _enlarged(classes, links, scratch, threshold)
-        hits, recall = _audit(classes, checked, scratch, threshold, attempt)
+        hits, judged = _audit(classes, checked, scratch, threshold, attempt, total)
         audit = hits if audit is None else audit.union(hits)
-        if recall >= RECALL:
+        low = judged.filter(F.col("recall") < RECALL).select("g").distinct()
+        if not low.take(1):
             break
         width *= 2
-    if recall < 1:  # what the audit saw counts as found
-        checked, exact = _enlarged(classes, links.union(audit), scratch, threshold)
+    if judged.filter("recall < 1").take(1):  # what the audit saw counts as found, and groups that failed are compared whole
+        checked, exact = _enlarged(classes, links.union(audit), scratch, threshold, low)
 
     part = components(exact, scratch, "parts")
     found = classes.join(checked, "id", "left").join(part, "id", "left")
@@ -358,12 +362,20 @@ def _bridges(
     return scratch.save(map_arrow(dealt, run, "a long, b long"), "bridges")
 
 
-def _enlarged(classes: DataFrame, links: DataFrame, scratch: Scratch, threshold: float) -> tuple[DataFrame, DataFrame]:
+def _enlarged(
+    classes: DataFrame, links: DataFrame, scratch: Scratch, threshold: float, whole: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Exact links inside the components of `links`: (id, links), and edges that span them.
 
+    A group that is in `whole` (g) counts as one component.
+
     A component is dealt into blocks of about BLOCK classes, and each pair of blocks is one piece of work.
     """
     part = components(links, scratch, "rough")
+    if whole is not None:
+        own = classes.select("g", "id").join(whole, "g")
+        one = own.join(own.groupBy("g").agg(F.min("id").alias("component")), "g").select("id", "component")
+        part = scratch.save(part.join(one, "id", "left_anti").unionByName(one), "rough_whole")
     dealt = _dealt(part, part.join(classes.select("id", "v", "n"), "id"), scratch, "rough")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -417,31 +429,52 @@ def _spanning(linked: np.ndarray, one: np.ndarray, two: np.ndarray, n: int) -> t
     return rows, columns
 
 
-def _audit(classes: DataFrame, checked: DataFrame, scratch: Scratch, threshold: float, turn: int) -> tuple[DataFrame, float]:
-    """Compare a sample of classes with all; the links seen, and the share of them that was found."""
-    sample = classes.orderBy(F.xxhash64("id", F.lit(turn)), "id").limit(AUDIT).select("g", "id", "v").toArrow()
-    sizes = sample["v"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False) if len(sample) else np.zeros(0)
-    queries = {}
-    for length in np.unique(sizes):
-        own = sample.filter(pa.array(sizes == length))
-        queries[int(length)] = (own["g"].to_numpy(), own["id"].to_numpy(), _units(own["v"].combine_chunks()))
+def _audit(
+    classes: DataFrame, checked: DataFrame, scratch: Scratch, threshold: float, turn: int, total: int
+) -> tuple[DataFrame, DataFrame]:
+    """Compare a sample of classes with all of their groups: links that span what was seen, and the recall.
+
+    The recall (g, large, recall) is the mean, over the sampled classes of a group with at most and with
+    more than LIST links, of the share of their links that was found. Each turn has another sample, as what
+    an earlier one saw is among the links.
+    """
+    few = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(max(1, total // max(1, AUDIT)))) == 0 if AUDIT else F.lit(False)
+    chosen = (F.pmod("id", F.lit(EVERY)) == turn) | few
+    marked = classes.select("g", "id", "v", "n", chosen.alias("chosen"))
+    block = F.ceil(F.count(F.lit(1)) / BLOCK).cast("int")
+    sizes = marked.groupBy("g").agg(block.alias("blocks"), F.ceil(F.count_if("chosen") / BLOCK).cast("int").alias("samples"))
+    sizes = scratch.save(sizes.filter("samples > 0"), f"audit_sizes_{turn}")
+
+    def dealt(rows: DataFrame, own: str, other: str, sampled: bool) -> DataFrame:
+        place = F.pmod(F.xxhash64("id"), F.col(own).cast("long")).cast("int").alias(own)
+        rows = rows.join(sizes, "g").select(
+            "g", "id", "v", "n", place, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other)
+        )
+        return rows.select(
+            F.xxhash64("g", "blocks", "samples").alias("work"), "g", "blocks", "samples", "id", "v", "n", F.lit(sampled).alias("sampled")
+        )
+
+    work = dealt(marked, "blocks", "samples", False).union(dealt(marked.filter("chosen"), "samples", "blocks", True))
+    work = work.repartition("work").sortWithinPartitions("work", "g", "blocks", "samples")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size = np.diff(np.asarray(batch.column("v").offsets))
-            for length in np.unique(size):
-                if int(length) not in queries:
-                    continue
-                g, ids, x = queries[int(length)]
-                part = batch.filter(pa.array(size == length))
-                own, n = part.column("id").to_numpy(), part.column("n").to_numpy()
-                close = (x @ _units(part.column("v")).T >= threshold) & (g[:, None] == part.column("g").to_numpy()[None])
-                i, j = np.nonzero(close & (ids[:, None] != own[None]))
-                yield pa.record_batch([pa.array(ids[i]), pa.array(own[j]), pa.array(n[j])], names=["a", "b", "n"])
-
-    hits = scratch.save(map_arrow(classes, run, "a long, b long, n long"), f"audit_{turn}")
-    true = hits.groupBy("a").agg(F.sum("n").alias("n"))
-    both = true.join(checked, F.col("a") == F.col("id"), "left").agg(
-        F.sum("n").alias("n"), F.sum(F.least("n", F.coalesce("links", F.lit(0)))).alias("found")
-    ).first()
-    return hits.select("a", "b"), 1.0 if not both.n else both.found / both.n
+        for table in _groups(batches, "work", 2000):
+            keys = np.stack([table[c].to_numpy() for c in ("work", "g", "blocks", "samples")], axis=1)
+            begins = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1])
+            for first, last in zip(begins, [*begins[1:], len(keys)], strict=True):
+                part = table.slice(first, last - first)
+                x, ids, n = _units(part["v"].combine_chunks()), part["id"].to_numpy(), part["n"].to_numpy()
+                sampled = part["sampled"].to_numpy()
+                one, two = np.flatnonzero(sampled), np.flatnonzero(~sampled)
+                linked = (x[one] @ x[two].T >= threshold) & (ids[one][:, None] != ids[two][None])
+                i, j = _spanning(linked, one, two, len(ids))
+                yield _counted(ids[one], linked @ n[two], ids[one])
+                yield _counted(ids[i], np.zeros(len(i), np.int64), ids[j])
+
+    seen = scratch.save(map_arrow(work, run, "id long, links long, other long"), f"audit_{turn}")
+    true = seen.filter("id = other").groupBy("id").agg(F.sum("links").alias("n")).filter("n > 0")
+    found = F.least("n", F.coalesce("links", F.lit(0))) / F.col("n")
+    judged = true.join(checked, "id", "left").join(classes.select("id", "g"), "id")
+    judged = judged.groupBy("g", (F.col("n") > LIST).alias("large")).agg(F.avg(found).alias("recall"))
+    hits = seen.filter("id != other").select(F.col("id").alias("a"), F.col("other").alias("b"))
+    return hits, scratch.save(judged, f"judged_{turn}")
