@@ -16,7 +16,7 @@ def normal(names, records):
 def test_query_equals_sql(spark, sf_dir, name):
     df = QUERIES[name](spark, sf_dir)
     connection = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "benchmark", "labels"):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     cursor = connection.execute(ORACLE[name])
     names = [d[0] for d in cursor.description]
@@ -24,4 +24,4 @@ def test_query_equals_sql(spark, sf_dir, name):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))

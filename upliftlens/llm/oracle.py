@@ -1,6 +1,25 @@
 """DuckDB SQL of the registered queries that SQL can express."""
 
 SPACE = r"\x20\x09-\x0D"
+MARKS = r"\x00-\x08\x0E-\x1F\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
+
+
+def _rounds(n: int) -> str:
+    """Of the centroid clustering: assignments a0, a1, ... and the centroids c1, c2, ... that follow from them."""
+    parts = []
+    for i in range(n + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (
+  SELECT r, vec_id, v, (m).c AS cluster, (m).d AS distance FROM (
+    SELECT r, vec_id, v.v, min(struct_pack(d := list_sum([(v.v[j] - c.v[j]) * (v.v[j] - c.v[j]) for j in range(1, 65)]), c := c.c)) AS m
+    FROM kept v, c{i} c GROUP BY ALL))""")
+        if i < n:
+            parts.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT c.c, coalesce(s.v, c.v) AS v FROM c{i} c LEFT JOIN (
+    SELECT cluster, list(floor_div ORDER BY j) AS v FROM (
+      SELECT cluster, j, (sum(v[j])::HUGEINT - (((sum(v[j])::HUGEINT % count(*)) + count(*)) % count(*))) // count(*) AS floor_div
+      FROM a{i}, range(1, 65) t(j) GROUP BY cluster, j) GROUP BY cluster) s ON s.cluster = c.c)""")
+    return ",\n".join(parts)
+
 
 ORACLE = {
     "op6_mix_sources": rf"""
@@ -96,4 +115,73 @@ c AS (SELECT id, min(root) AS component_id FROM r GROUP BY id),
 n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
 SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, e.vec_id = c.component_id AS kept
 FROM embeddings e JOIN c ON c.id = e.vec_id LEFT JOIN n ON n.x = e.vec_id""",
+    "op11_lexical_search": r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+c AS (SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS length FROM t WHERE len(w) > 0),
+f AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM t) GROUP BY ALL),
+i AS (SELECT row_number() OVER () AS q, item_id, regexp_extract_all(
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+o AS (SELECT q, term, count(*) AS times FROM (SELECT q, unnest(w) AS term FROM i) GROUP BY ALL),
+x AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS weight
+      FROM (SELECT term, count(*) AS df FROM f GROUP BY term), c),
+m AS (SELECT r, 100 - 25 + ((25 * len(w) * n_docs) // length) AS m FROM t, c WHERE len(w) > 0),
+s AS (SELECT o.q, f.r, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+      FROM o JOIN f USING (term) JOIN x USING (term) JOIN m ON m.r = f.r GROUP BY ALL),
+k AS (SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank
+      FROM s JOIN t ON t.r = s.r WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k JOIN i USING (q) WHERE rank <= 20""",
+    "op12_centroids": rf"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, [floor(64 * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, v) - 1 AS c, v FROM kept
+  QUALIFY c < 16),
+{_rounds(3)},
+s AS (SELECT cluster, sum(distance)::BIGINT AS cluster_inertia FROM a3 GROUP BY cluster)
+SELECT a.vec_id, a.cluster::INTEGER AS cluster, a.distance::BIGINT AS distance, s.cluster_inertia,
+       (SELECT sum(distance)::BIGINT FROM a3) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a3 a JOIN s USING (cluster) JOIN c3 c ON c.c = a.cluster""",
+    "op13_quality_rules": rf"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^{SPACE}]+') AS w,
+         [('0x' || left(md5(t), 8))::BIGINT for t in
+            regexp_extract_all(coalesce(text, ''), '[0-9A-Za-z\x{{80}}-\x{{10FFFF}}]+|[{MARKS}]+')] AS h
+  FROM documents),
+b AS (SELECT r, doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+             len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+             len([x for x in string_split(text, chr(10)) if regexp_matches(x, '[^{SPACE}]')])
+             - len(list_distinct([x for x in string_split(text, chr(10)) if regexp_matches(x, '[^{SPACE}]')])) AS n_dup_lines FROM d),
+g AS (SELECT r, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) AS three,
+             unnest(range(1, len(w) - 1)) AS i FROM d),
+e AS (SELECT r, count(DISTINCT place) AS n_repeat_words FROM (
+        SELECT r, unnest([i, i + 1, i + 2]) AS place FROM (
+          SELECT r, i, count(*) OVER (PARTITION BY r, three) AS times FROM g) WHERE times > 1) GROUP BY r),
+u AS MATERIALIZED (SELECT r, bucket, count(*) AS n FROM (
+        SELECT r, unnest(h) % 32768 AS bucket FROM d
+        UNION ALL SELECT r, unnest([(h[i] * 1000003 + h[i + 1]) % 32768 for i in range(1, len(h))]) FROM d) GROUP BY ALL),
+k AS (SELECT r FROM d WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+t AS (SELECT bucket, sum(n) AS t FROM u WHERE r IN (FROM k) GROUP BY bucket),
+a AS (SELECT bucket, sum(n) AS a FROM u GROUP BY bucket),
+z AS (SELECT coalesce((SELECT sum(t) FROM t), 0)::DOUBLE AS t_all, (SELECT sum(a) FROM a)::DOUBLE AS a_all),
+l AS (SELECT bucket, a, coalesce(t, 0) AS t,
+             round(1e6 * ((ln(coalesce(t, 0) + 1.0::DOUBLE) - ln(t_all + 32768)) - (ln(a + 1.0::DOUBLE) - ln(a_all + 32768))))::BIGINT AS llr
+      FROM a LEFT JOIN t USING (bucket), z),
+s AS (SELECT r, sum(n * llr)::DOUBLE / sum(n)::DOUBLE / 1e6 AS score FROM u JOIN l USING (bucket) GROUP BY r),
+n AS (SELECT r, sum(n) AS size FROM u WHERE r IN (FROM k) GROUP BY r),
+o AS (SELECT r, any_value(size)::HUGEINT * 1000000 AS under, 1000 * sum(n * round(1e6 * ((ln(t - n + 1.0::DOUBLE) - ln(t_all - size + 32768))
+                 - (ln(a + 1.0::DOUBLE) - ln(a_all + 32768))))::BIGINT)::HUGEINT AS over
+      FROM u JOIN n USING (r) JOIN l USING (bucket), z GROUP BY r),
+p AS (SELECT step, sum(count(*)) OVER (ORDER BY step) AS seen, sum(count(*)) OVER () AS total
+      FROM (SELECT (over - ((over % under) + under) % under) // under AS step FROM o) GROUP BY step),
+q AS (SELECT min(step) FILTER (WHERE 4 * seen >= total) AS low, min(step) FILTER (WHERE 4 * seen >= 3 * total) AS high FROM p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+       n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed,
+       NOT base_failed AND coalesce(score, 0) >= coalesce((low - 3 * (high - low))::DOUBLE / 1000, '-inf'::DOUBLE) AS kept,
+       coalesce(score, 0) AS score
+FROM b LEFT JOIN e USING (r) LEFT JOIN s USING (r), q""",
 }

@@ -9,11 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from upliftlens.llm import bpe, language, license_scan, pii, toxicity
+from upliftlens.llm.centroids import cluster_vectors
 from upliftlens.llm.exact_dedup import exact_dedup
 from upliftlens.llm.line_dedup import line_dedup
 from upliftlens.llm.minhash import minhash_dedup
 from upliftlens.llm.mixing import mix_sources
 from upliftlens.llm.neighbours import near_vectors
+from upliftlens.llm.quality import quality_rules
+from upliftlens.llm.search import lexical_search
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -103,6 +106,19 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), best=20)
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"), k=16, rounds=3)
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1")
+    return quality_rules(table(spark, sf_dir, "documents"), trusted, min_words=50, max_repeat=50)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -116,5 +132,8 @@ QUERIES: dict[str, Query] = {
         op8_license_scan,
         op9_language,
         op10_exact_dedup,
+        op11_lexical_search,
+        op12_centroids,
+        op13_quality_rules,
     )
 }
