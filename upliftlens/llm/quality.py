@@ -181,7 +181,8 @@ def quality_rules(
     texts = docs.select("doc_id", "text")
     ids = scratch.save(trusted.select("doc_id").filter("doc_id is not null").distinct(), "trusted_ids")
     maybe = texts.filter(hashed_members(ids, "doc_id")(F.col("doc_id")) & (F.col("text") != ""))
-    known = scratch.save(maybe.join(ids, "doc_id", "left_semi").select("text"), "trusted")
+    # by a shuffle at every size, as the ids grow with the table
+    known = scratch.save(maybe.join(ids.hint("merge"), "doc_id", "left_semi").select("text"), "trusted")
     good, raw = counts(known), counts(texts)
     limit = fence(map_arrow(known, _left_out(good, raw), "step long"))
     kind = docs.schema["doc_id"].dataType.simpleString()
