@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +22,9 @@ from upliftlens.operators import assignment, clean, kpis, quality, segments, ses
 from upliftlens.plans import pipeline  # noqa: E402
 from upliftlens.plans.reports import REPORTS  # noqa: E402
 from upliftlens.sources import storage  # noqa: E402
-from upliftlens.sources.adapters import SOURCES, TIE_BREAKERS  # noqa: E402
+from upliftlens.sources.adapters import INPUTS, SOURCES, TIE_BREAKERS  # noqa: E402
 from upliftlens.sources.events import load_raw  # noqa: E402
+from upliftlens.sources.sizing import sized_session  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,10 +44,14 @@ else:
 
 
 class Tables:
-    """The pipeline's relations over one source. Lazy: a query computes only what it asks for."""
+    """The pipeline's relations over one source. Lazy: a query computes only what it asks for.
+
+    Shuffles are as wide as the source's tables need; the caller's session is not changed.
+    """
 
     def __init__(self, source: str, spark: SparkSession, sf_dir: str) -> None:
-        self.source, self.spark, self.sf_dir = source, spark, sf_dir
+        self.source, self.sf_dir = source, sf_dir
+        self.spark = sized_session(spark, *[f"{sf_dir}/{name}.parquet" for name in INPUTS[source]])
 
     def raw(self) -> DataFrame:
         return SOURCES[self.source](self.spark, self.sf_dir)
@@ -91,6 +96,15 @@ class Tables:
             "profit_impact": self.profit(),
         }
 
+    def files(self) -> dict[str, DataFrame]:
+        """The four tables as stored files give them: names and types are read back, not declared."""
+        out = {}
+        for name, df in self.stored().items():
+            path = storage.scratch_dir(self.spark, f"{name}_files")
+            storage.write_parquet(df, path)
+            out[name] = self.spark.read.parquet(path)
+        return out
+
     def stored(self) -> dict[str, DataFrame]:
         """The four tables, computed from one pass over the events and stored."""
         treated = storage.materialise(self.full_treated(), "sessions")
@@ -126,6 +140,7 @@ def stage_reentry(t: Tables) -> DataFrame:
 
 
 def sink_roundtrip(t: Tables) -> DataFrame:
+    """Every table through both sinks; all columns are compared by a digest, names and types as the files have them."""
     rows = []
     for name, df in t.stored().items():
         schema = schemas.TABLES[name]
@@ -134,24 +149,34 @@ def sink_roundtrip(t: Tables) -> DataFrame:
         table = os.path.basename(table_path).replace("-", "_")
         storage.write_table(df, table, table_path)
         storage.drop_table(t.spark, table)  # the files stay, as they belong to the path
-        amount = "net_revenue_b" if name == "profit_impact" else "net_revenue"
-        for sink, back in (
-            ("csv", storage.read_csv(t.spark, csv_path, schema)),
-            ("table", t.spark.read.schema(schema).parquet(table_path)),
+        header = t.spark.read.option("header", True).csv(csv_path).columns
+        types = storage.stored_types(t.spark.read.parquet(table_path))
+        for sink, back, schema_ok in (
+            ("csv", storage.read_csv(t.spark, csv_path, schema), header == schema.names),
+            ("table", t.spark.read.parquet(table_path), types == storage.stored_types(t.spark.createDataFrame([], schema))),
         ):
-            rows.append(
-                back.agg(
-                    F.lit(name).alias("table_name"),
-                    F.lit(sink).alias("sink"),
-                    F.lit(len(back.columns)).alias("n_columns"),
-                    F.count(F.lit(1)).alias("n_rows"),
-                    money_value(money_sum(F.col(amount))).alias("total"),
-                )
-            )
-    result = rows[0]
-    for part in rows[1:]:
-        result = result.unionByName(part)
-    return result
+            rows.append(compared_sink(df, back, name, sink, schema_ok))
+    return reduce(DataFrame.unionByName, rows)
+
+
+def compared_sink(df: DataFrame, back: DataFrame, name: str, sink: str, schema_ok: bool) -> DataFrame:
+    """One row: whether what was read back has the rows of `df`, in any order, in all columns."""
+    amount = "net_revenue_b" if name == "profit_impact" else "net_revenue"
+    written = df.agg(storage.multiset_digest(df.columns).alias("digest")).scalar()
+    read = back.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        money_value(money_sum(F.col(amount))).alias("total"),
+        storage.multiset_digest(back.columns).alias("digest"),
+    )
+    return read.select(
+        F.lit(name).alias("table_name"),
+        F.lit(sink).alias("sink"),
+        F.lit(len(back.columns)).alias("n_columns"),
+        "n_rows",
+        "total",
+        F.lit(int(schema_ok)).alias("schema_ok"),
+        (F.col("digest") == written).cast("int").alias("same_rows"),
+    )
 
 
 def apply_defaults(t: Tables) -> DataFrame:
@@ -165,6 +190,115 @@ def _defaulted() -> dict:
     return {c: schemas.TREATED_SESSIONS[c] for c in schemas.DEFAULTS}
 
 
+def declared(t: Tables, df: DataFrame, schema, defaults: dict) -> DataFrame:
+    """`df` inserted by name into a new table that declares types and defaults, read back from it."""
+    path = storage.scratch_dir(t.spark, "declared")
+    name = os.path.basename(path).replace("-", "_")
+    storage.declare_table(t.spark, name, schema, defaults, path)
+    storage.insert_by_name(df, name)
+    back = t.spark.table(name)
+    types = storage.stored_types(t.spark.read.parquet(path))
+    storage.drop_table(t.spark, name)  # the files stay, as they belong to the path
+    if types != storage.stored_types(t.spark.createDataFrame([], schema)):
+        raise ValueError(f"the files of {name} have other types than it declares")
+    return back
+
+
+def declared_defaults(t: Tables) -> DataFrame:
+    """Rows without the eight columns that declare a default get it from the table."""
+    given = t.treated().drop(*schemas.DEFAULTS)
+    full = declared(t, given, schemas.TREATED_SESSIONS, schemas.DEFAULTS)
+    return full.select("user_session", "user_id", "brand", "ab_group", *schemas.DEFAULTS)
+
+
+def declared_profit(t: Tables) -> DataFrame:
+    narrow = t.profit().select(*schemas.PROFIT_IMPACT_DECLARED.names)
+    return declared(t, narrow, schemas.PROFIT_IMPACT_DECLARED, {})
+
+
+def text_log(t: Tables) -> DataFrame:
+    """The log with user ids of every form: numbers, numbers with decimals, texts, spaces around them, none."""
+    user = F.col("user_id").cast("string")
+    form = (
+        F.when(F.col("product_id") % 31 == 0, "")
+        .when(F.col("user_id") % 7 == 3, F.concat(F.when(F.col("product_id") % 2 == 0, "  ").otherwise(""), F.lit("u-"), user))
+        .when(F.col("product_id") % 5 == 1, F.concat(user, F.lit(".0")))
+        .otherwise(user)
+    )
+    path = storage.scratch_dir(t.spark, "text_log")
+    storage.write_csv(t.raw().select(*schemas.RAW_EVENTS.names).withColumn("user_id", form), path)
+    return load_raw(t.spark, path, ids="text")
+
+
+def text_id_events(t: Tables) -> DataFrame:
+    """Every event with its user's key; kept and rejected ones add up to the log."""
+    raw = text_log(t)
+    columns = ["user_session", "event_time", "event_type", "product_id", "user_id"]
+    kept = clean.clean_events(raw).select(*columns, F.lit(1).alias("kept"))
+    return kept.unionByName(clean.rejected_events(raw).select(*columns, F.lit(0).alias("kept")))
+
+
+def text_id_sessions(t: Tables) -> DataFrame:
+    treated = pipeline.treat(pipeline.run_etl(text_log(t), texts=False, stage=storage.materialise))
+    return treated.drop("hour", "is_weekend", "week_num")
+
+
+def damaged(t: Tables) -> dict[str, DataFrame]:
+    """The four tables with rows that break every declared rule, some rows two."""
+    n, none = F.col("user_id") % 29, F.lit(None)
+
+    def broken(column: str, value: Column, *when: int) -> Column:
+        return F.when(n.isin(*when), value).otherwise(F.col(column))
+
+    treated, segment_kind = t.treated(), F.col("segment_type")
+    changes = {
+        "user_session": broken("user_session", none, 1),
+        "user_id": broken("user_id", none, 2),
+        "is_weekend": broken("is_weekend", F.lit(7), 3),
+        "converted": broken("converted", F.lit(2), 4, 10),
+        "cart_abandon": broken("cart_abandon", F.lit(9), 5),
+        "is_new_user": broken("is_new_user", F.lit(-1), 6),
+        "coupon_triggered": broken("coupon_triggered", F.lit(3), 7),
+        "user_type": broken("user_type", F.lit("Lapsed"), 8),
+        "ab_group": broken("ab_group", F.lit("C"), 9, 10),
+    }
+    results, parts = kpis.ab_results(treated), t.segments()
+    group_a = F.col("ab_group") == "A"
+    return {
+        "sessions": treated.withColumns(changes),
+        "ab_results": results.withColumns(
+            {
+                "is_significant": F.when(group_a, 5).otherwise(F.col("is_significant")),
+                "profit_pass": F.when(~group_a, 7).otherwise(F.col("profit_pass")),
+            }
+        ),
+        "segment_results": parts.withColumn("ab_group", F.when(segment_kind == "user_type", "X").otherwise(F.col("ab_group"))),
+        "profit_impact": segments.profit_impact(parts).withColumn(
+            "verdict", F.when(segment_kind == "price_bucket", "Maybe").otherwise(F.col("verdict"))
+        ),
+    }
+
+
+def gated(t: Tables, names: tuple[str, ...]) -> dict[str, tuple]:
+    tables = damaged(t)
+    return {name: quality.gate(tables[name], name, storage.scratch_dir(t.spark, f"gate_{name}")) for name in names}
+
+
+def quality_gate(t: Tables) -> DataFrame:
+    """What the gate before the sinks counts and sets aside, over tables that break every rule."""
+    found = gated(t, tuple(schemas.TABLES))
+    stored = {name: (accepted.count(), broken.count()) for name, (accepted, broken, _) in found.items()}
+    for name, (_, _, counts) in found.items():
+        if stored[name] != (counts["accepted"], counts["checked"] - counts["accepted"]):
+            raise ValueError(f"the gate of {name} counted other rows than it stored")
+    return quality.gate_report({name: counts for name, (_, _, counts) in found.items()}, t.spark)
+
+
+def quarantined_rows(t: Tables) -> DataFrame:
+    broken = gated(t, ("sessions",))["sessions"][1]
+    return broken.select("user_session", "user_id", "broken_rules", "rules")
+
+
 def price_text() -> Column:
     """Prices with junk in them, chosen by product."""
     kind, price = F.col("product_id") % 8, F.col("price").cast("string")
@@ -256,7 +390,12 @@ OPERATORS: dict[str, tuple[str, Callable[[Tables], DataFrame]]] = {
     "load_raw_events": ("events", load_raw_events),
     "stage_reentry": ("orders", stage_reentry),
     "sink_roundtrip": ("orders", sink_roundtrip),
-    "table_schemas": ("events", lambda t: quality.table_schemas(t.all())),
+    "table_schemas": ("events", lambda t: quality.table_schemas(t.files())),
+    "declared_defaults": ("orders", declared_defaults),
+    "declared_profit": ("orders", declared_profit),
+    "text_id_events": ("dirty", text_id_events),
+    "text_id_metrics": ("dirty", lambda t: clean.clean_metrics(text_log(t))),
+    "text_id_sessions": ("orders", text_id_sessions),
     "apply_defaults": ("orders", apply_defaults),
     # cleaning
     "clean_events": ("dirty", lambda t: t.events().select(*EVENT_COLUMNS)),
@@ -325,6 +464,8 @@ OPERATORS: dict[str, tuple[str, Callable[[Tables], DataFrame]]] = {
     # quality
     "quality_audit": ("events", lambda t: quality.quality_audit(t.all())),
     "quality_duplicates": ("events", quality_duplicates),
+    "quality_gate": ("orders", quality_gate),
+    "quarantined_rows": ("orders", quarantined_rows),
 }
 
 REPORT_SOURCE = {

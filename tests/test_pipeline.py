@@ -1,4 +1,6 @@
+import hashlib
 import os
+import shutil
 
 import pytest
 from conftest import executed_plan, rows
@@ -6,12 +8,14 @@ from pyspark.sql import functions as F
 
 from upliftlens import schemas
 from upliftlens.__main__ import main
+from upliftlens.config import ExperimentConfig
 from upliftlens.operators import sessions
 from upliftlens.operators.segments import segment_results
 from upliftlens.plans import pipeline
 from upliftlens.plans.reports import REPORTS
-from upliftlens.sources import storage
+from upliftlens.sources import runs, sizing, storage
 from upliftlens.sources.adapters import from_events
+from upliftlens.sources.events import load_raw
 
 
 @pytest.fixture(scope="module")
@@ -28,11 +32,11 @@ def test_whole_run_restart_and_rerun(spark, raw_path, tmp_path):
     first = {name: rows(df) for name, df in tables.items()}
     for name, schema in schemas.TABLES.items():
         assert tables[name].schema.simpleString() == schema.simpleString()
-        back = storage.read_csv(spark, f"{out}/csv/{name}", schema)
+        back = storage.read_csv(spark, f"{runs.latest(spark, out).folder}/csv/{name}", schema)
         assert rows(back) == first[name]
 
     # a stage restarts from what is stored, and running it twice changes nothing
-    stored = storage.read_parquet(spark, f"{out}/tables/untreated_sessions", schemas.SESSIONS)
+    stored = runs.latest(spark, out).tables["untreated_sessions"].read(spark)
     for _ in range(2):
         treated, kpi = pipeline.run_experiment(stored)
         assert rows(treated) == first["sessions"]
@@ -62,7 +66,7 @@ def test_every_report_runs_on_stored_tables_and_as_views(spark, raw_path, tmp_pa
     for _ in range(2):
         pipeline.register_tables(spark, out)
     assert rows(spark.table("default.profit_impact")) == rows(tables["profit_impact"])
-    assert spark.table("default.sessions").schema == schemas.TREATED_SESSIONS
+    assert spark.table("default.sessions").schema.simpleString() == schemas.TREATED_SESSIONS.simpleString()
     for name in schemas.TABLES:
         storage.drop_table(spark, f"default.{name}")
     pipeline.register_views(tables)
@@ -85,7 +89,7 @@ def test_command_line(spark, raw_path, tmp_path, capsys):
     assert "Total Segments Analysed" in capsys.readouterr().out
     share = {r.ab_group: r.sessions for r in pipeline.load_tables(spark, out)["ab_results"].collect()}
     assert share["A"] < 0.5 * share["B"]
-    assert not os.path.exists(f"{out}/csv")
+    assert not os.path.exists(f"{runs.latest(spark, out).folder}/csv")
     main(["report", "--out", out, "report_weekend"])
     assert "Weekday" in capsys.readouterr().out
     before = rows(pipeline.load_tables(spark, out)["profit_impact"])
@@ -115,16 +119,161 @@ def test_a_run_keeps_what_it_removed(spark, tmp_path):
     assert counts["run_summary"].first().sessions == 1
 
 
-def test_shuffles_grow_with_the_input(spark, raw_path, monkeypatch):
-    raw = pipeline.load_raw(spark, raw_path)
-    setting = "spark.sql.shuffle.partitions"
-    with pipeline.sized_shuffles(spark, raw):
-        assert spark.conf.get(setting) == "4"
-    monkeypatch.setattr(pipeline, "INPUT_PER_PARTITION", 1000)
-    with pytest.raises(KeyError), pipeline.sized_shuffles(spark, raw):
-        assert int(spark.conf.get(setting)) == storage.input_bytes(raw) // 1000 > 4
-        raise KeyError
-    assert spark.conf.get(setting) == "4"
+def test_a_run_reads_the_log_once(spark, raw_path, tmp_path, monkeypatch):
+    """The log goes away as soon as its rows are stored: nothing later may read it."""
+    log = shutil.copytree(raw_path, str(tmp_path / "log"))
+    plain = runs.Run.store
+
+    def store(run, df, name, made_of=""):
+        stored = plain(run, df, name, made_of)
+        if name == "events":
+            shutil.rmtree(log)
+        return stored
+
+    monkeypatch.setattr(runs.Run, "store", store)
+    tables = pipeline.run_pipeline(spark, log, str(tmp_path / "out"), csv=False)
+    assert tables["profit_impact"].count() > 0
+    counts = pipeline.run_counts(spark, str(tmp_path / "out"))
+    assert counts["cleaning"].first().rows_before == load_raw(spark, raw_path).count()
+
+
+def test_a_killed_run_leaves_the_one_before_it(spark, raw_path, tmp_path, monkeypatch):
+    out = str(tmp_path / "out")
+    with pytest.raises(FileNotFoundError, match="no published run"):
+        pipeline.load_tables(spark, out)
+    first = {name: rows(df) for name, df in pipeline.run_pipeline(spark, raw_path, out, csv=False).items()}
+    other = ExperimentConfig(experiment_name="other", split_ratio=0.3)
+    plain = pipeline._gated
+
+    def dies(run, df, name, *rest):
+        if name == "segment_results":  # sessions and ab_results are written by then
+            raise KeyboardInterrupt
+        return plain(run, df, name, *rest)
+
+    monkeypatch.setattr(pipeline, "_gated", dies)
+    with pytest.raises(KeyboardInterrupt):
+        pipeline.run_pipeline(spark, raw_path, out, other, csv=False)
+    assert len(os.listdir(f"{out}/runs")) == 2
+    assert {name: rows(df) for name, df in pipeline.load_tables(spark, out).items()} == first
+    monkeypatch.undo()
+    held = pipeline.load_tables(spark, out)
+    second = pipeline.run_pipeline(spark, raw_path, out, other, csv=False)
+    assert rows(second["sessions"]) != first["sessions"]
+    assert rows(pipeline.load_tables(spark, out)["profit_impact"]) == rows(second["profit_impact"])
+    assert {name: rows(df) for name, df in held.items()} == first  # who holds the old run reads it whole
+
+
+def test_a_stage_knows_what_it_reads(spark, raw_path, tmp_path):
+    out, log = str(tmp_path / "out"), shutil.copytree(raw_path, str(tmp_path / "log"))
+    pipeline.run_pipeline(spark, log, out, csv=False)
+    # a parameter of the last stage only: nothing before it is stale
+    floor = ExperimentConfig(break_even_floor=-1e12)
+    verdicts = pipeline.run_stage(spark, out, "segments", floor)["profit_impact"].select("verdict").distinct()
+    assert "Loss" not in {r.verdict for r in verdicts.collect()} or verdicts.count() > 1
+    # a parameter of the stage before it
+    other = ExperimentConfig(split_ratio=0.2)
+    with pytest.raises(pipeline.StaleStage, match="'experiment'.*parameters have changed"):
+        pipeline.run_stage(spark, out, "segments", other)
+    rebuilt = pipeline.run_stage(spark, out, "segments", other, rebuild=True)
+    assert set(rebuilt) == {"sessions", "ab_results", "segment_results", "profit_impact"}
+    fresh = pipeline.run_pipeline(spark, log, str(tmp_path / "fresh"), other, csv=False)
+    assert {n: rows(t) for n, t in rebuilt.items()} == {n: rows(t) for n, t in fresh.items()}
+    # one stage alone: tables of the next one would mix two sets of parameters
+    pipeline.run_stage(spark, out, "experiment", ExperimentConfig(split_ratio=0.4))
+    with pytest.raises(pipeline.StaleStage, match="segments"):
+        pipeline.load_tables(spark, out)
+    # buckets are part of the first stage
+    with pytest.raises(pipeline.StaleStage, match="'etl'.*parameters have changed"):
+        pipeline.run_stage(spark, out, "experiment", ExperimentConfig(no_bucket_label="none"))
+    # the log itself
+    with open(f"{log}/more.csv", "w") as more:
+        more.write(",".join(schemas.RAW_EVENTS.names) + "\n2019-12-01 10:00:00,view,1,a.b,x,5.5,999999999,new-session\n")
+    with pytest.raises(pipeline.StaleStage, match="'etl'.*log has changed"):
+        pipeline.run_stage(spark, out, "experiment", other)
+    again = pipeline.run_stage(spark, out, "experiment", other, rebuild=True)
+    assert again["sessions"].filter("user_session = 'new-session'").count() == 1
+
+
+def test_text_ids_through_the_whole_run(spark, tmp_path):
+    log = tmp_path / "log.csv"
+    ids = ["12345.0", "12345", " 12345", "u-77", "u-77 ", "", "NaN", "0x1F", "9" * 30]
+    lines = [f"2019-12-01 10:0{i}:00 UTC,purchase,1,a.b,x,5.5,{u},s{i}" for i, u in enumerate(ids)]
+    log.write_text(",".join(schemas.RAW_EVENTS.names) + "\n" + "\n".join(lines) + "\n")
+    out = str(tmp_path / "out")
+    tables = pipeline.run_pipeline(spark, str(log), out, csv=True, ids="text")
+    got = {(r.user_id, r.user_session): r for r in tables["sessions"].collect()}
+    assert {u for u, _ in got} == {"12345", "u-77", "0x1F", "9" * 30}
+    assert got["12345", "s0"].total_sessions == 3 and got["u-77", "s4"].total_sessions == 2
+    for user in ("12345", "u-77", "0x1F", "9" * 30):
+        bucket = int(hashlib.md5(f"{user}_Coupon_Test_V1".encode()).hexdigest(), 16) % 100
+        assert {r.ab_group for (u, _), r in got.items() if u == user} == {"B" if bucket >= 50 else "A"}
+    seen = pipeline.run_counts(spark, out)["cleaning"].first()
+    assert (seen.rows_before, seen.rows_after, seen.rows_removed) == (9, 7, 2)
+    pipeline.register_tables(spark, out)
+    assert dict(spark.table("default.sessions").dtypes)["user_id"] == "string"
+    for name in schemas.TABLES:
+        storage.drop_table(spark, f"default.{name}")
+    with pytest.raises(ValueError, match="ids must be"):
+        load_raw(spark, str(log), ids="uuid")
+
+
+def test_two_ids_under_one_surrogate_end_the_query(spark, monkeypatch):
+    monkeypatch.setattr(sessions, "surrogate", lambda key: F.unhex(F.md5(F.substring(key, 1, 1))))
+    base = spark.createDataFrame([("s1", "ab"), ("s2", "ac"), ("s3", "b")], "user_session string, user_id string")
+    with pytest.raises(Exception, match="share 128 bits"):
+        sessions.user_session_counts(base).collect()
+
+
+def test_rows_that_break_rules_are_set_aside(spark, raw_path, tmp_path, monkeypatch):
+    plain = pipeline.treat
+
+    def damaged(df, cfg):
+        return plain(df, cfg).withColumn("user_type", F.when(F.col("user_id") % 3 == 0, "Lapsed").otherwise(F.col("user_type")))
+
+    monkeypatch.setattr(pipeline, "treat", damaged)
+    out = str(tmp_path / "out")
+    tables = pipeline.run_pipeline(spark, raw_path, out)
+    counts = pipeline.run_counts(spark, out)
+    aside = counts["quarantine_sessions"]
+    assert {r.rules for r in aside.select("rules").distinct().collect()} == {"user_type in (New,Returning)"}
+    assert aside.count() + tables["sessions"].count() == counts["run_summary"].first().sessions
+    assert tables["sessions"].filter("user_type = 'Lapsed'").count() == 0
+    gates = runs.latest(spark, out).about["gates"]
+    assert gates["sessions"]["user_type in (New,Returning)"] == aside.count() > 0
+    with pytest.raises(ValueError, match="user_type"):
+        pipeline.run_pipeline(spark, raw_path, out, on_violation="fail")
+
+
+def test_catalog_tables_declare_their_defaults(spark, raw_path, tmp_path):
+    out = str(tmp_path / "out")
+    pipeline.run_pipeline(spark, raw_path, out, csv=False)
+    pipeline.register_tables(spark, out)
+    before = spark.table("default.sessions").count()
+    new = spark.createDataFrame([("fresh", 5)], "user_session string, user_id bigint")
+    storage.insert_by_name(new, "default.sessions")
+    row = spark.table("default.sessions").filter("user_session = 'fresh'").first()
+    assert [row[c] for c in schemas.DEFAULTS] == [0, 0, 0, 0, 0.0, 0.0, 0.0, 0.0]
+    assert row.brand is None and spark.table("default.sessions").count() == before + 1
+    for name in schemas.TABLES:
+        storage.drop_table(spark, f"default.{name}")
+
+
+def test_sized_sessions_keep_the_callers_settings(spark, raw_path, monkeypatch):
+    assert sizing.sized_session(spark, raw_path) is spark
+    size = sizing.stored_bytes(spark, raw_path)
+    assert size == sum(os.path.getsize(f"{raw_path}/{p}") for p in os.listdir(raw_path) if not p.startswith((".", "_")))
+    monkeypatch.setattr(sizing, "INPUT_PER_PARTITION", 1000)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "12345")
+    try:
+        own = sizing.sized_session(spark, raw_path)
+        assert int(own.conf.get(sizing.WIDTH)) == size // 1000 > 4
+        assert own.conf.get("spark.sql.autoBroadcastJoinThreshold") == "12345b" or own.conf.get(
+            "spark.sql.autoBroadcastJoinThreshold"
+        ).startswith("12345")
+        assert own.conf.get("spark.sql.session.timeZone") == "UTC"
+        assert spark.conf.get(sizing.WIDTH) == "4"
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def hot_events(spark, n=60000):
@@ -184,10 +333,47 @@ def test_hot_user_partition_is_split_in_the_join(spark, tmp_path):
         spark.conf.set(k, v)
     try:
         events = hot_events(spark)
-        for built in (sessions.build_sessions(events), sessions.build_sessions(events, stage=spread)):
+        # lazily the partition is split at run time; over stored sessions the user is known and dealt out
+        for built, sign in ((sessions.build_sessions(events), "skew=true"), (sessions.build_sessions(events, stage=spread), "join_part")):
             for final in (built, segment_results(pipeline.treat(built))):
                 final.collect()
-                assert "skew=true" in executed_plan(final)
+                assert sign in executed_plan(final)
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_heavy_users_are_dealt_out_by_design(spark):
+    """At the default thresholds of adaptive execution: one user owns a third of the sessions."""
+    settings = {
+        "spark.sql.shuffle.partitions": "16",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    i = F.col("id")
+    for cast in ("bigint", "string"):
+        base = spark.range(0, 120000, 1, 6).select(
+            F.concat(F.lit("s"), i.cast("string")).alias("user_session"),
+            F.when(i % 3 == 0, 7).otherwise(i % 20000 + 100).cast(cast).alias("user_id"),
+        )
+        counts = sessions.user_session_counts(base)
+        heavy = sessions.heavy_users(base)
+        assert heavy == [7 if cast == "bigint" else "7"]
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        try:
+            joined = storage.materialise(sessions.with_user_type(base, counts, heavy), "joined")
+            sizes = sorted(r.n for r in sessions.with_user_type(base, counts, heavy)
+                           .groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect())
+            plain = sorted(r.n for r in sessions.with_user_type(base, counts)
+                           .groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect())
+        finally:
+            for k in settings:
+                spark.conf.unset(k)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert len(sizes) == 16 and sizes[-1] < 2 * sizes[8]
+        assert plain[-1] > 4 * plain[8]
+        assert rows(joined.groupBy("total_sessions", "user_type").count()) == rows(
+            sessions.with_user_type(base, counts).groupBy("total_sessions", "user_type").count()
+        )

@@ -40,7 +40,7 @@ def test_published_verdicts(impact):
     assert (lonely.net_revenue_a, lonely.conversion_rate_a, lonely.incremental_net_revenue) == (None,) * 3
     assert (lonely.conv_lift_pp, lonely.net_profit_impact, lonely.verdict) == (None, None, "Loss")
     assert impact.schema.simpleString() == schemas.PROFIT_IMPACT.simpleString()
-    assert set(schemas.PROFIT_IMPACT_DECLARED) <= set(impact.columns)
+    assert set(schemas.PROFIT_IMPACT_DECLARED.names) <= set(impact.columns)
 
 
 def test_published_segments_add_up_to_the_groups(published):

@@ -10,9 +10,10 @@ from upliftlens.operators.assignment import srm_check
 from upliftlens.operators.kpis import guardrail_report
 from upliftlens.operators.segments import verdict_counts
 from upliftlens.operators.treatment import treatment_summary
-from upliftlens.plans.pipeline import load_tables, run_counts, run_pipeline, run_report, run_stage
+from upliftlens.plans.pipeline import STAGES, load_tables, run_counts, run_pipeline, run_report, run_stage
 from upliftlens.plans.reports import REPORTS
 from upliftlens.session import build_session
+from upliftlens.sources.events import IDS
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -25,10 +26,13 @@ def main(argv: list[str] | None = None) -> None:
     run.add_argument("--config", type=Path, help="JSON file with parameters that differ from the defaults")
     run.add_argument("--no-csv", action="store_true", help="store Parquet tables only")
     run.add_argument("--multiline", action="store_true", help="quoted fields may span lines")
+    run.add_argument("--ids", choices=IDS, default="number", help="read user ids as numbers or as texts of any form")
+    run.add_argument("--strict", action="store_true", help="fail on rows that break a declared rule")
     stage = commands.add_parser("stage", help="run one stage again from the stored tables")
+    stage.add_argument("--rebuild", action="store_true", help="run stale stages before it again, too")
     stage.add_argument("--out", required=True, help="output folder of an earlier run")
     stage.add_argument("--config", type=Path, help="JSON file with parameters that differ from the defaults")
-    stage.add_argument("name", choices=("experiment", "segments"))
+    stage.add_argument("name", choices=sorted(STAGES))
     show = commands.add_parser("report", help="print one report from stored tables")
     show.add_argument("--out", required=True, help="output folder of an earlier run")
     show.add_argument("name", choices=sorted(REPORTS))
@@ -38,7 +42,8 @@ def main(argv: list[str] | None = None) -> None:
     config = getattr(args, "config", None)
     cfg = ExperimentConfig.from_json(config.read_text()) if config else DEFAULT
     if args.command == "run":
-        tables = run_pipeline(spark, args.raw, args.out, cfg, not args.no_csv, args.multiline)
+        policy = "fail" if args.strict else "quarantine"
+        tables = run_pipeline(spark, args.raw, args.out, cfg, not args.no_csv, args.multiline, args.ids, policy)
         counts = run_counts(spark, args.out)
         for result in (
             counts["cleaning"],
@@ -52,7 +57,7 @@ def main(argv: list[str] | None = None) -> None:
         ):
             result.show(truncate=False)
     elif args.command == "stage":
-        for name, table in run_stage(spark, args.out, args.name, cfg).items():
+        for name, table in run_stage(spark, args.out, args.name, cfg, args.rebuild).items():
             print(f"{name}: {table.count()} rows")
     else:
         report = run_report(load_tables(spark, args.out), args.name)

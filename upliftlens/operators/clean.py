@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from upliftlens.functions.clock import hour_of_day, is_weekend, iso_week, weekday_name
@@ -41,25 +41,30 @@ def clean_events(raw: DataFrame) -> DataFrame:
     )
 
 
-def observe_cleaning(raw: DataFrame, name: str = "cleaning") -> tuple[DataFrame, Observation]:
-    """Clean events plus row counts that fill in while the events are first used, without a second pass."""
-    seen = Observation(name)
-    counted = raw.observe(
-        seen,
+def _counts() -> list[Column]:
+    return [
         F.count(F.lit(1)).alias("rows_before"),
         F.count_if(_valid()).alias("rows_after"),
-    )
-    return clean_events(counted), seen
+        F.count_if(~_valid()).alias("rows_removed"),
+        *[F.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in REQUIRED],
+    ]
+
+
+def observe_cleaning(raw: DataFrame, name: str = "cleaning") -> tuple[DataFrame, Observation]:
+    """The events with a flag `valid`, and counts that fill in while they are first used, without a second pass."""
+    seen = Observation(name)
+    return raw.observe(seen, *_counts()).withColumn("valid", _valid()), seen
 
 
 def clean_metrics(raw: DataFrame) -> DataFrame:
     """One row: events before and after cleaning, and the events that lack each required column."""
-    return raw.agg(
-        F.count(F.lit(1)).alias("rows_before"),
-        F.count_if(_valid()).alias("rows_after"),
-        F.count_if(~_valid()).alias("rows_removed"),
-        *[F.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in REQUIRED],
-    )
+    return raw.agg(*_counts())
+
+
+def observed_metrics(seen: Observation, spark: SparkSession) -> DataFrame:
+    """The row of `clean_metrics`, from counts that have been filled in."""
+    got = seen.get
+    return spark.createDataFrame([tuple(got.values())], ", ".join(f"{name} bigint" for name in got))
 
 
 def rejected_events(raw: DataFrame) -> DataFrame:

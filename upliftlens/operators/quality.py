@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from upliftlens.schemas import TABLES
@@ -38,6 +38,61 @@ def _rules(table: str) -> dict[str, Column]:
     return rules
 
 
+def rule_names(table: str) -> list[str]:
+    """The rules of a table; a rule's place here is its bit in `broken_rules`."""
+    return list(_rules(table))
+
+
+def broken_rules(table: str) -> Column:
+    """A bit for each rule that the row breaks, as a BIGINT."""
+    bits = [F.when(violated, F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i, violated in enumerate(_rules(table).values())]
+    return reduce(Column.__add__, bits, F.lit(0).cast("bigint"))
+
+
+def rules_in(mask: Column, table: str) -> Column:
+    """The names of the rules in a mask, joined by commas."""
+    return F.concat_ws(", ", *[F.when(mask.bitwiseAND(F.lit(1 << i)) != 0, F.lit(n)) for i, n in enumerate(rule_names(table))])
+
+
+def gate(df: DataFrame, table: str, path: str) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Store the rows that keep all rules of `table` apart from those that break one, in one pass.
+
+    Returns the accepted rows, the quarantined ones with `broken_rules` and `rules`, and the counts that filled in
+    during the write: `checked`, `accepted`, and the violations of each rule.
+    """
+    spark, mask, seen = df.sparkSession, F.col("broken_rules"), Observation(f"gate of {table}")
+    ok = mask == 0
+    counts = [F.count_if(mask.bitwiseAND(F.lit(1 << i)) != 0).alias(f"rule_{i}") for i in range(len(rule_names(table)))]
+    checked = df.withColumn("broken_rules", broken_rules(table)).observe(
+        seen, F.count(F.lit(1)).alias("checked"), F.count_if(ok).alias("accepted"), *counts
+    )
+    # both kinds of row in one write: the mask moves into the files of the broken ones only
+    kept = F.when(~ok, F.struct("broken_rules", rules_in(mask, table).alias("rules"))).alias("broken")
+    split = checked.select(*df.columns, kept, F.when(ok, "accepted").otherwise("quarantine").alias("part"))
+    split.write.mode("overwrite").partitionBy("part").parquet(path)
+    got = seen.get
+    parts = []
+    for part, n in (("accepted", got["accepted"]), ("quarantine", got["checked"] - got["accepted"])):
+        if not n:  # Spark makes no folder for a part without rows
+            split.drop("part").limit(0).write.mode("overwrite").parquet(f"{path}/part={part}")
+        schema = split.drop("part").schema if part == "quarantine" else df.schema
+        parts.append(spark.read.schema(schema).parquet(f"{path}/part={part}"))
+    broken = parts[1].select(*df.columns, "broken.broken_rules", "broken.rules")
+    named = {name: got[f"rule_{i}"] for i, name in enumerate(rule_names(table))}
+    return parts[0], broken, {"checked": got["checked"], "accepted": got["accepted"], **named}
+
+
+def gate_report(counts: dict[str, dict[str, int]], spark: SparkSession) -> DataFrame:
+    """Rows (table_name, rule, checked, violations, accepted, quarantined) from the counts of each table's gate."""
+    rows = [
+        (table, rule, c["checked"], c[rule], c["accepted"], c["checked"] - c["accepted"])
+        for table, c in counts.items()
+        for rule in rule_names(table)
+    ]
+    schema = "table_name string, rule string, checked bigint, violations bigint, accepted bigint, quarantined bigint"
+    return spark.createDataFrame(rows, schema)
+
+
 def quality_audit(tables: dict[str, DataFrame]) -> DataFrame:
     """Rows (table_name, rule, checked, violations): one pass per table for all its rules."""
     parts = []

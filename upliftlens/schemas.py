@@ -83,19 +83,10 @@ TABLES: dict[str, StructType] = {
 }
 
 # The narrow 12-column form of the profit table, as declared rather than as produced.
-PROFIT_IMPACT_DECLARED = (
-    "segment_type",
-    "category_top",
-    "price_bucket",
-    "user_type",
-    "sessions",
-    "net_revenue_b",
-    "net_revenue_a",
-    "discount_cost",
-    "incremental_net_revenue",
-    "conv_lift_pp",
-    "net_profit_impact",
-    "verdict",
+PROFIT_IMPACT_DECLARED = _schema(
+    "segment_type string, category_top string, price_bucket string, user_type string, sessions bigint, "
+    "net_revenue_b double, net_revenue_a double, discount_cost double, incremental_net_revenue double, "
+    "conv_lift_pp double, net_profit_impact double, verdict string"
 )
 
 # Columns with a declared default.
@@ -111,9 +102,15 @@ DEFAULTS: dict[str, float] = {
 }
 
 
+def for_ids(schema: StructType, df: DataFrame) -> StructType:
+    """The schema with the user ids of `df`: whole numbers as declared, or texts."""
+    text = "user_id" in df.columns and isinstance(df.schema["user_id"].dataType, StringType)
+    return StructType([StructField(f.name, StringType()) if text and f.name == "user_id" else f for f in schema.fields])
+
+
 def conform(df: DataFrame, schema: StructType, optional: Sequence[str] = ()) -> DataFrame:
-    """Project `df` to the columns, order and types of `schema`; `optional` columns may be absent."""
-    fields = [f for f in schema.fields if f.name in df.columns or f.name not in optional]
+    """Project `df` to the columns, order and types of `schema`; `optional` columns may be absent. Text ids stay."""
+    fields = [f for f in for_ids(schema, df).fields if f.name in df.columns or f.name not in optional]
     return df.selectExpr(*[f"CAST({f.name} AS {f.dataType.simpleString()}) AS {f.name}" for f in fields])
 
 

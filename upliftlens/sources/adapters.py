@@ -18,6 +18,10 @@ TIE_BREAKERS = {
 }
 
 
+# Source -> the tables that it reads
+INPUTS = {"events": ("events",), "orders": ("lineitem", "orders", "part"), "dirty": ("events",)}
+
+
 # The columns read, with their types; a fixed schema saves a look into the files while planning.
 SCHEMAS = {
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",

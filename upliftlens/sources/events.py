@@ -3,26 +3,32 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
 from upliftlens import schemas
+from upliftlens.functions.identity import user_key, whole_number
 from upliftlens.functions.text import missing_to_null
 
 # Position of a row in its file, whatever the split sizes: breaks ties between equal times. Files have
 # no order of their own, so a hash stands for the path, which every event carries to its session.
 INPUT_ORDER = "input_order"
 USER_TEXT = "user_id_text"
+# How user ids are read: as whole numbers, or as texts of any form
+IDS = ("number", "text")
 
 
-def load_raw(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+def load_raw(spark: SparkSession, path: str, multiline: bool = False, ids: str = "number") -> DataFrame:
     """The eight event columns, picked by header name; other columns of the file are not parsed.
 
     `price` stays text so that cleaning can tell numbers from junk. A time keeps its wall clock:
     a zone suffix such as 'UTC' is accepted and not applied. Quoted fields that span lines need
-    `multiline`, which makes a file unsplittable.
+    `multiline`, which makes a file unsplittable. With `ids="text"` the user id is a text, see `user_key`;
+    otherwise an id that is no whole number counts as missing.
     """
+    if ids not in IDS:
+        raise ValueError(f"ids must be one of {', '.join(IDS)}")
     reader = (
         spark.read.option("header", True)
         .option("enforceSchema", False)
@@ -45,7 +51,9 @@ def load_raw(spark: SparkSession, path: str, multiline: bool = False) -> DataFra
     columns = []
     for field in schemas.RAW_EVENTS.fields:
         text_column = F.col(field.name)
-        if isinstance(field.dataType, StringType):
+        if field.name == "user_id" and ids == "text":
+            value = user_key(text_column)
+        elif isinstance(field.dataType, StringType):
             value = missing_to_null(text_column)
         elif isinstance(field.dataType, LongType):
             value = whole_number(text_column)
@@ -61,7 +69,3 @@ def load_raw(spark: SparkSession, path: str, multiline: bool = False) -> DataFra
     columns.append(F.col("user_id").alias(USER_TEXT))
     return text.select(*columns, position.alias(INPUT_ORDER))
 
-
-def whole_number(text: Column) -> Column:
-    """A BIGINT, also from a form with decimal places that are all zero, such as 12345.0."""
-    return F.regexp_replace(F.trim(text), r"\.0*$", "").try_cast("bigint")

@@ -6,9 +6,11 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Mapping, Sequence
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 CSV_OPTIONS = {
@@ -66,13 +68,6 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return read_parquet(df.sparkSession, path, df.schema)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Size of the files below `df`, from file listings; nothing is read."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = (leaves.apply(i).stats().sizeInBytes() for i in range(leaves.size()))
-    return sum(int(str(size)) for size in sizes)
-
-
 def write_csv(df: DataFrame, path: str) -> None:
     """One file per partition; nothing is gathered into a single task."""
     df.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
@@ -100,3 +95,38 @@ def create_table(spark: SparkSession, name: str, schema: StructType, path: str |
 
 def drop_table(spark: SparkSession, name: str) -> None:
     spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def declare_table(
+    spark: SparkSession, name: str, schema: StructType, defaults: Mapping[str, float], path: str
+) -> None:
+    """Drop and create a table whose columns declare their types and defaults; files below `path` are its rows."""
+    drop_table(spark, name)
+    columns = [
+        f"{f.name} {f.dataType.simpleString()}" + (f" DEFAULT {defaults[f.name]}" if f.name in defaults else "")
+        for f in schema.fields
+    ]
+    spark.sql(f"CREATE TABLE {name} ({', '.join(columns)}) USING PARQUET LOCATION '{path}'")
+
+
+def insert_by_name(df: DataFrame, name: str) -> None:
+    """Append to a declared table by column name; columns that `df` lacks get their defaults, or NULL."""
+    columns = ", ".join(df.columns)
+    df.sparkSession.sql(f"INSERT INTO {name} ({columns}) SELECT {columns} FROM {{rows}}", rows=df)
+
+
+def multiset_digest(columns: Sequence[str]) -> Column:
+    """Aggregate: row count and two sums of row hashes over all columns; the order of rows does not matter.
+
+    A column's place and whether it is NULL are hashed with its value, so values can't change places unseen.
+    """
+
+    def row_hash(seed: int) -> Column:
+        cells = [F.xxhash64(F.lit(seed + i), F.col(c).isNull(), F.col(c)) for i, c in enumerate(columns)]
+        return F.sum(F.xxhash64(F.lit(seed), *cells).cast("decimal(38,0)"))
+
+    return F.struct(F.count(F.lit(1)).alias("rows"), row_hash(0).alias("a"), row_hash(1 << 20).alias("b"))
+
+
+def stored_types(df: DataFrame) -> list[tuple[str, str]]:
+    return [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
