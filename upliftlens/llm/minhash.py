@@ -1,54 +1,54 @@
 """Near-duplicate documents by a multi-index Hamming join of b-bit min-hash signatures.
 
 A document is the set of its word shingles; documents with equal sets are one class. A class has a
-signature of CHUNKS * WIDTH symbols of 16 bits. Two signatures that differ in at most 2 * CHUNKS - 1
+signature of CHUNKS * WIDTH symbols of 16 bits. Two signatures that differ in at most LIMIT = 2 * CHUNKS - 1
 symbols differ in at most one symbol in some chunk (pigeonhole). So every chunk is indexed once for each
 position in which it may be wrong, with that symbol left out: the pairs that meet under such a key include
-all pairs up to that distance. Pairs that are too far apart for their similarity, by the binomial tail,
-are left out where they meet; every link is confirmed on the words themselves.
-
-Only the components matter, so pairs inside a component need no check. Each class first meets the
-smallest class among its keys; links found there join the members of large groups of near copies. Then,
-under each key, the classes outside the key's largest component meet all others.
+all pairs up to that distance, and pairs beyond it are left out where they meet. So are pairs whose sizes, or
+whose parity sketches of all shingles, show that they can't be linked; both tests are exact, and no text moves
+for them. What is left is confirmed on the words themselves.
+
+Only the components matter, so pairs inside a component need no check. In a few rounds each class is tried
+against the nearest of the pivots of its keys, a member for each key and round, and what links is merged. That
+joins the members of large groups of near copies by a few pairs each. Then, under each key, the classes outside
+the key's largest component meet all others, and the pairs of two components are confirmed from the
+nearest on, until the components are one or all their pairs are done.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from math import comb
 from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from upliftlens.llm.common import hashed_members, lower_ascii, map_arrow, mix64, Scratch, slices, word_codes
-from upliftlens.llm.components import components, roots
+from upliftlens.llm.common import Scratch, hashed_members, map_arrow, mix64, slices, word_codes
+from upliftlens.llm.components import components
 
-CHUNKS, WIDTH = 7, 5
+CHUNKS, WIDTH = 9, 4
+#: Pairs whose signatures differ in at most so many symbols are candidates, all of them.
+LIMIT = 2 * CHUNKS - 1
 #: Signatures are held as longs of four symbols.
 LONGS = -(-CHUNKS * WIDTH // 4)
 PARTS = [f"s{i}" for i in range(LONGS)]
-#: A pair at the threshold has more differing symbols than a confirmed pair may have once in this many.
-RARELY = 10**6
+#: The parity of the shingles in each of 256 buckets, as longs.
+SKETCH = [f"p{i}" for i in range(4)]
+ABOUT = ["n", *SKETCH, *PARTS]
+#: Rounds of pivots, and how many of the nearest pivots a class is tried against in each.
+ROUNDS, TRIES = 2, 2
+#: Members of a key that meet the others at once, and comparisons that one task is to make, about.
+PIECE, WORK = 2048, 20_000_000
+#: Comparisons made at once by a task.
+CELLS = 500_000
 PERMUTATIONS = np.random.default_rng(20240607).integers(1, 2**63, size=(2, CHUNKS * WIDTH), dtype=np.uint64) | np.uint64(1)
 BLOCK = 1 << 18
 
-SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, " + ", ".join(f"{p} long" for p in PARTS)
-
-
-def most_different(percent: int) -> int:
-    """Differing symbols that a linked pair exceeds once in `RARELY` pairs at most."""
-    n, p = CHUNKS * WIDTH, 1 - percent / 100
-    chance = 1.0
-    for k in range(n + 1):
-        chance -= comb(n, k) * p**k * (1 - p) ** (n - k)
-        if chance < 1 / RARELY:
-            return max(k, 2 * CHUNKS - 1)
-    return n
+SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, " + ", ".join(f"{p} long" for p in SKETCH + PARTS)
 
 
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,15 +109,19 @@ def _sign(shingle: int):
             packed = np.zeros((len(n), 4 * LONGS), np.uint16)
             packed[full, : CHUNKS * WIDTH] = sig
             longs = packed.view(np.int64)
+            place = np.repeat(np.arange(len(n)) * 256, n) + (hashes >> np.uint64(7)).astype(np.uint8)
+            odd = (np.bincount(place, minlength=256 * len(n)) & 1).astype(np.uint8).reshape(len(n), 256)
+            parity = np.packbits(odd, axis=1).view(np.int64)
             yield pa.record_batch(
                 [
                     batch.column("doc_id").cast(pa.int64()),
                     pa.array(n.astype(np.int64)),
                     pa.array(a.view(np.int64)),
                     pa.array(b.view(np.int64)),
+                    *[pa.array(np.ascontiguousarray(parity[:, i])) for i in range(len(SKETCH))],
                     *[pa.array(np.ascontiguousarray(longs[:, i])) for i in range(LONGS)],
                 ],
-                names=["doc_id", "n_shingles", "set_a", "set_b", *PARTS],
+                names=["doc_id", "n_shingles", "set_a", "set_b", *SKETCH, *PARTS],
             )
 
     return run
@@ -193,21 +197,114 @@ def confirmed(
     return scratch.save(map_arrow(both, _similar(shingle, percent), "a long, b long"), name)
 
 
-def side(df: DataFrame, name: str) -> DataFrame:
-    """The id under a name, with the signature's columns named after it."""
-    return df.select(F.col("id").alias(name), *[F.col(p).alias(f"{name}_{p}") for p in PARTS])
+def side(df: DataFrame, name: str, *more: str) -> DataFrame:
+    """The id under a name, with what is known of the class named after it."""
+    return df.select(*more, F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ABOUT])
 
 
 def distance() -> Column:
-    """Symbols in which the signatures of a and b differ: any bit of a symbol is folded into its lowest."""
+    """Symbols in which the signatures of a and b differ.
 
-    def differing(part: str) -> Column:
+    Every other symbol of a long has room above it: adding all ones carries into that room unless it is zero.
+    Few operations, as a long expression would not be compiled.
+    """
+    ones, carries = F.lit(0x0000FFFF0000FFFF), F.lit(0x0001000000010000)
+
+    def differing(part: str) -> list[Column]:
         x = F.col(f"a_{part}").bitwiseXOR(F.col(f"b_{part}"))
-        for shift in (8, 4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        return F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001)))
+        halves = (x.bitwiseAND(ones), F.shiftrightunsigned(x, 16).bitwiseAND(ones))
+        return [F.bit_count((half + ones).bitwiseAND(carries)) for half in halves]
+
+    return reduce(add, [n for part in PARTS for n in differing(part)])
+
+
+def possible(percent: int) -> Column:
+    """Whether sizes and sketches allow a link. The sketches differ in no more bits than the sets in members."""
+    low, high, both = F.least("a_n", "b_n"), F.greatest("a_n", "b_n"), F.col("a_n") + F.col("b_n")
+    shared = F.floor((both * percent + (99 + percent)) / (100 + percent))  # the least that links, rounded up
+    odd = reduce(add, [F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in SKETCH])
+    return (low * 100 >= high * percent) & (odd <= both - shared * 2)
+
+
+def _meet(percent: int):
+    """Pairs of a key's members in different components that may be linked, one of them outside the largest.
+
+    Rows come by key and piece, members before those outside; the members of a piece stay while the others pass by.
+    """
+
+    def pairs(outside: dict, members: dict) -> Iterator[pa.RecordBatch]:
+        step = max(1, CELLS // len(members["id"]))
+        for start in range(0, len(outside["id"]), step):
+            x = {k: v[start : start + step] for k, v in outside.items()}
+            both = x["n"][:, None] + members["n"][None]
+            low, high = np.minimum(x["n"][:, None], members["n"][None]), np.maximum(x["n"][:, None], members["n"][None])
+            ok = (x["component"][:, None] != members["component"][None]) & (low * 100 >= high * percent)
+            ok &= members["inside"][None] | (x["id"][:, None] < members["id"][None])
+            odd = np.zeros(ok.shape, np.int64)
+            for w in range(len(SKETCH)):
+                odd += np.bitwise_count(x["sketch"][:, w][:, None] ^ members["sketch"][:, w][None])
+            ok &= odd <= both - 2 * -(-both * percent // (100 + percent))
+            i, j = np.nonzero(ok)
+            different = (x["signature"][i] != members["signature"][j]).sum(axis=1)
+            near = different <= LIMIT
+            i, j = x["id"][i[near]], members["id"][j[near]]
+            columns = [np.maximum(i, j), np.minimum(i, j), different[near].astype(np.int32)]
+            yield pa.record_batch([pa.array(c) for c in columns], names=["a", "b", "distance"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members: list[dict] = []
+        at = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "piece", "role", "id", "component", "n", "inside")}
+            sketch = np.stack([batch.column(c).to_numpy() for c in SKETCH], axis=1)
+            longs = np.stack([batch.column(c).to_numpy() for c in PARTS], axis=1)
+            about = {c: column[c] for c in ("id", "component", "n", "inside")}
+            about |= {"sketch": sketch, "signature": longs.view(np.uint16)[:, : CHUNKS * WIDTH]}
+            change = (np.diff(column["key"]) != 0) | (np.diff(column["piece"]) != 0) | (np.diff(column["role"]) != 0)
+            edges = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+            for start, end in zip(edges[:-1], edges[1:], strict=True):
+                part = {k: v[start:end] for k, v in about.items()}
+                place = column["key"][start], column["piece"][start]
+                if place != at:
+                    at, members = place, []
+                if column["role"][start] == 0:
+                    members.append(part)
+                elif members:
+                    members = [{k: np.concatenate([m[k] for m in members]) for k in part}] if len(members) > 1 else members
+                    yield from pairs(part, members[0])
+
+    return run
 
-    return reduce(add, map(differing, PARTS))
+
+class Parts:
+    """Components of the classes, as far as links are known."""
+
+    def __init__(self, scratch: Scratch) -> None:
+        self.scratch, self.step = scratch, 0
+        self.table: DataFrame | None = None  # id, component of the classes on a link
+
+    def of(self, df: DataFrame, column: str, name: str) -> DataFrame:
+        """`df` with the component of the id in `column`."""
+        if self.table is None:
+            return df.withColumn(name, F.col(column))
+        own = self.table.select(F.col("id").alias(column), F.col("component").alias(name))
+        return df.join(own, column, "left").withColumn(name, F.coalesce(name, column))
+
+    def merge(self, links: DataFrame) -> None:
+        """Join the components at the ends of the links (a, b)."""
+        if not links.take(1):
+            return
+        self.step += 1
+        ends = self.of(self.of(links.select("a", "b"), "a", "a_part"), "b", "b_part")
+        joined = components(ends.select(F.col("a_part").alias("a"), F.col("b_part").alias("b")), self.scratch, f"merge_{self.step}")
+        if self.table is not None:
+            moved = joined.select(F.col("id").alias("component"), F.col("component").alias("smallest"))
+            kept = self.table.join(moved, "component", "left").select("id", F.coalesce("smallest", "component").alias("component"))
+            fresh = joined.join(self.table.select("id"), "id", "left_anti")
+            joined = kept.unionByName(fresh)
+        self.table = self.scratch.save(joined, f"parts_{self.step}")
 
 
 def minhash_dedup(docs: DataFrame, scratch: Scratch | None = None, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -225,57 +322,66 @@ def minhash_dedup(docs: DataFrame, scratch: Scratch | None = None, shingle: int
     linkable = signed.filter("n_shingles > 0 and doc_id is not null")
     key = ["set_a", "set_b", "n_shingles"]
     classes = scratch.save(
-        linkable.groupBy(*key).agg(F.min("doc_id").alias("id"), *[F.first(p).alias(p) for p in PARTS]), "classes"
+        linkable.groupBy(*key)
+        .agg(F.min("doc_id").alias("id"), *[F.first(p).alias(p) for p in SKETCH + PARTS])
+        .withColumn("n", F.col("n_shingles")),
+        "classes",
     )
-    near = distance() <= most_different(percent)
+    near = possible(percent) & (distance() <= LIMIT)
     index = scratch.save(map_arrow(classes.select("id", *PARTS), _index, "key long, id long"), "index")
-    shared = index.groupBy("key").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    index = scratch.save(index.join(shared.select("key", "low"), "key"), "shared")
-
-    star = index.filter("id != low").groupBy("id").agg(F.min("low").alias("b")).select(F.col("id").alias("a"), "b")
-    star = scratch.save(star, "star_pairs")
-    hopeful = star.join(side(classes, "a"), "a").join(side(classes, "b"), "b").filter(near)
-    links = confirmed(hopeful, docs, shingle, percent, scratch, "star")
-    part = roots(links, scratch, "star_parts")
-
-    placed = index.join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    placed = scratch.save(placed.select("key", "id", "component"), "placed")
-    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    shared = index.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    index = scratch.save(index.join(shared, "key"), "shared")
+    parts = Parts(scratch)
+
+    for r in range(ROUNDS):
+        # another member of each key in each round; keys differ, so a class has many pivots to choose from
+        pivot = F.min(F.struct(F.xxhash64("key", "id", F.lit(r)).alias("order"), "id"))
+        pivots = index.groupBy("key").agg(pivot.alias("p")).select("key", F.col("p.id").alias("b"))
+        pairs = index.join(pivots, "key").filter("id != b").select(F.col("id").alias("a"), "b").distinct()
+        pairs = parts.of(parts.of(pairs, "a", "a_part"), "b", "b_part").filter("a_part != b_part").select("a", "b")
+        hopeful = pairs.join(side(classes, "a"), "a").join(side(classes, "b"), "b").filter(near)
+        best = Window.partitionBy("a").orderBy("distance", "b")
+        hopeful = hopeful.select("a", "b", distance().alias("distance"))
+        hopeful = hopeful.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= TRIES).select("a", "b")
+        parts.merge(confirmed(hopeful, docs, shingle, percent, scratch, f"round_{r}"))
+
+    placed = scratch.save(parts.of(index, "id", "component"), "placed")
+    sizes = placed.groupBy("key", "members", "component").agg(F.count(F.lit(1)).alias("n"))
     open_keys = (
-        sizes.groupBy("key")
+        sizes.groupBy("key", "members")
         .agg(F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("parts"))
         .filter("parts > 1")
-        .select("key", F.col("most.component").alias("largest"))
-    )
-    spread = scratch.save(placed.join(open_keys, "key").join(classes.select("id", *PARTS), "id"), "spread")
-
-    def named(name: str) -> list[Column]:
-        return [F.col("key"), F.col("component").alias(f"{name}_part"), F.col("id").alias(name)] + [
-            F.col(p).alias(f"{name}_{p}") for p in PARTS
-        ]
-
-    few = spread.filter("component != largest").select(*named("a"))
-    every = spread.select(*named("b"), "largest")
-    meet = few.join(every, "key").filter(
-        (F.col("a_part") != F.col("b_part"))
-        & ((F.col("b_part") == F.col("largest")) | (F.col("a") < F.col("b")))
-        & near
+        .select("key", "members", (F.col("members") - F.col("most.n")).alias("outside"), F.col("most.component").alias("largest"))
     )
-    rest = meet.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).join(star, ["a", "b"], "left_anti")
-    more = confirmed(rest, docs, shingle, percent, scratch, "rest")
-
-    # the links found last join whole components
-    ends = [part.select(F.col("id").alias(s), F.col("component").alias(f"{s}_part")) for s in "ab"]
-    joined = more.join(ends[0], "a", "left").join(ends[1], "b", "left")
-    joined = joined.select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b"))
-    whole = components(joined, scratch, "parts").select(F.col("id").alias("component"), F.col("component").alias("smallest"))
-    owner = (
-        classes.select(*key, "id")
-        .join(part, "id", "left")
-        .withColumn("component", F.coalesce("component", "id"))
-        .join(whole, "component", "left")
+    open_keys = scratch.save(open_keys, "open_keys")
+    work = open_keys.agg(F.sum(F.col("members").cast("double") * F.col("outside"))).first()[0] or 0.0
+    width = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(work / WORK))
+    # a key with very many members is met piece by piece; its members come first in a piece, then those outside
+    pieces = F.ceil(F.col("members") / PIECE).cast("int")
+    spread = placed.drop("members").join(open_keys, "key").join(classes.select("id", *ABOUT), "id")
+    spread = spread.select("key", "id", "component", (F.col("component") == F.col("largest")).alias("inside"), pieces.alias("pieces"), *ABOUT)
+    spread = scratch.save(spread, "spread")
+    own = F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")
+    every = spread.withColumns({"piece": own, "role": F.lit(0)})
+    few = spread.filter("not inside").withColumns(
+        {"piece": F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)), "role": F.lit(1)}
     )
-    owner = scratch.save(owner.select(*key, F.coalesce("smallest", "component").alias("component")), "owner")
+    dealt = every.unionByName(few).drop("pieces").repartition(width, "key", "piece").sortWithinPartitions("key", "piece", "role")
+    meet = map_arrow(dealt, _meet(percent), "a long, b long, distance int")
+    left = scratch.save(meet.groupBy("a", "b").agg(F.min("distance").alias("distance")), "left_0")
+    step, tries = 0, 4
+    while True:
+        open_pairs = parts.of(parts.of(left, "a", "a_part"), "b", "b_part").filter("a_part != b_part")
+        two = [F.least("a_part", "b_part"), F.greatest("a_part", "b_part")]
+        ranked = open_pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*two).orderBy("distance", "a", "b")))
+        ranked = scratch.save(ranked, "ranked")
+        if not ranked.take(1):
+            break
+        parts.merge(confirmed(ranked.filter(F.col("rank") <= tries), docs, shingle, percent, scratch, f"more_{step}"))
+        step, left = step + 1, ranked.filter(F.col("rank") > tries).select("a", "b", "distance")
+        left, tries = scratch.save(left, f"left_{step % 2 + 1}"), tries * 16
+
+    owner = scratch.save(parts.of(classes.select(*key, "id"), "id", "component").drop("id"), "owner")
     ids = linkable.select("doc_id", *key).join(owner, key)
     alone = signed.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
     found = ids.select("doc_id", "n_shingles", "component").unionByName(alone)
