@@ -155,6 +155,27 @@ def test_toxicity(spark):
     assert found[502] < 0.5 < found[503]
 
 
+def test_toxic_texts_that_are_all_long(spark):
+    """A class whose texts all exceed the preferred length is not lost."""
+    rng = random.Random(5)
+    docs, labels = [], []
+    for i in range(160):
+        text = speech(rng, "aa", 900 if i % 4 == 0 else rng.randint(20, 90)).split(" ")
+        if i % 4 == 0:
+            for _ in range(40):
+                text.insert(rng.randrange(len(text)), rng.choice(["vilex", "grubo", "nastik"]))
+        docs.append((i, " ".join(text)))
+        labels.append((i, int(i % 4 == 0)))
+    df = spark.createDataFrame(docs + [(0, "another text under the id")], "doc_id long, text string")
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    how = toxicity.Training(texts_per_class=100, steps=120, batch=16, max_chars=1000, long_chars=3000)
+    assert min(len(t) for i, t in docs if i % 4 == 0) > 1000
+    nets = [toxicity.train(df.repartition(n), marks, how) for n in (2, 5)]
+    assert all((nets[0].p[k] == nets[1].p[k]).all() for k in nets[0].p)
+    found = {r.doc_id: r.score for r in toxicity.score(df.filter("text not like 'another%'"), nets[0]).collect()}
+    assert sum((found[i] >= 0.5) == (i % 4 == 0) for i in range(160)) >= 150
+
+
 def test_a_rare_language_beside_a_million_windows(spark):
     """Each window of the common language is there twice, each of the rare one once."""
     rng = np.random.default_rng(1)

@@ -2,12 +2,14 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from upliftlens.llm import neighbours
+from upliftlens.llm import neighbours, pii
 from upliftlens.llm.common import Scratch
 from upliftlens.llm.components import components, roots
 from upliftlens.llm.minhash import minhash_dedup
@@ -206,6 +208,52 @@ def test_personal_data(spark):
         assert set(want) <= set(r.spans.split(",")) | {""}
 
 
+@pytest.mark.parametrize("run", [256, 3])
+def test_places_of_matches(spark, monkeypatch, run):
+    monkeypatch.setattr(pii, "RUN", run)
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["ab1", "é", "🙂", " ", "x", "12"]) for _ in range(rng.randint(0, 60))) for _ in range(80)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, None)], "id long, text string")
+    for r in df.select("id", pii.located(F.col("text"), "[0-9]+").alias("s")).collect():
+        text = texts[r.id] if r.id < 99 else ""
+        want = [(m.start(), m.end(), m.group()) for m in re.finditer("[0-9]+", text)]
+        assert [(x.start, x.end, x.value) for x in r.s] == want
+        for (start, end, _), x, before, after in zip(want, r.s, [None, *want], [*want[1:], None], strict=False):
+            assert x.before == text[before[1] if before else 0 : start][-pii.REACH :]
+            assert x.after == text[end : after[0] if after else len(text)][: pii.REACH]
+
+
+def test_a_text_with_very_many_identifiers(spark):
+    """Time grows with the number of matches, not with its square."""
+    texts = [" ".join(f"id{i}x9" for i in range(100_000)), "mail me: a@b.co"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    start = time.monotonic()
+    found = {r.doc_id: r for r in find_pii(df).collect()}
+    assert time.monotonic() - start < 90
+    assert (len(found[0].base), len(found[1].base)) == (0, 1)
+
+
+def test_identifiers_in_groups_and_in_chains(spark):
+    """Digit groups behind words that numbers follow; what they make known makes further contexts known."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    number = lambda: f"({rng.randint(200, 999)}) {rng.randint(100, 999)} {rng.randint(1000, 9999)}"
+    plain = lambda: f"+1 {rng.randint(200, 999)} {rng.randint(1000000, 9999999)}"
+    texts = [f"{word()} {word()} reach us at {plain()} {word()}" for _ in range(120)]
+    shared = [number() for _ in range(12)]
+    texts += [f"{word()} reach us at {n} {word()}" for n in shared]  # known after the first round
+    texts += [f"{word()} or dial then {n} {word()}" for n in shared]  # a context after the second
+    late = number()
+    texts += [f"{word()} or dial then {late} {word()}", f"{word()} {word()} 12 34567 {word()}"]
+    found = {r.doc_id: r for r in find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, n in enumerate(shared):
+        (span,) = found[120 + i].spans
+        assert (span.kind, texts[120 + i][span.start : span.end]) == ("phone", span.value)
+    (span,) = found[144].spans
+    assert span.kind == "phone" and span.value in late
+    assert not found[145].spans
+
+
 def test_contexts_find_what_patterns_miss(spark):
     """Addresses in another notation, behind words that addresses usually follow."""
     rng = random.Random(2)

@@ -8,6 +8,8 @@ score is high enough become known, and all their occurrences are spans.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +35,13 @@ NEEDS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-#: A token that looks like an identifier: a digit or an at sign inside, at least five characters long.
-TOKEN = r"(?<!\S)[\"'(\[<]*+(?=[^\s\"'()\[\]<>,;]*[0-9@])[^\s\"'()\[\]<>,;]{5,}+"
+#: What looks like an identifier: groups of digits with single marks or spaces between them, perhaps in
+#: brackets, or a token with a digit or an at sign inside; at least five characters long.
+GROUPS = r"\(?[0-9]++\)?(?:[\x20.-]{1,2}\(?[0-9]++\)?)++(?![0-9A-Za-z@])"
+SINGLE = r"[\"'(\[<]*+(?=[^\s\"'()\[\]<>,;]*[0-9@])[^\s\"'()\[\]<>,;]{5,}+"
+TOKEN = rf"(?<!\S)(?:{GROUPS}|{SINGLE})"
+#: Spans whose places are summed up at once, see `located`.
+RUN = 256
 #: Characters on either side of a span in which its context is looked for.
 REACH = 80
 
@@ -61,30 +68,64 @@ def valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def located(text: Column, pattern: str) -> Column:
     """All matches of a pattern: start and end in code points, value, and the text on both sides.
 
-    What lies between the matches gives their places.
+    What lies between the matches gives their places. Places are summed up in runs of matches, and the lengths
+    of the runs by themselves, so a text with very many matches takes time in proportion.
     """
-    matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<start:int,end:int,value:string,before:string,after:string>>")
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-    def step(acc: Column, i: Column) -> Column:
-        gap, value = F.get(gaps, i), F.get(matches, i)
-        start = acc["pos"] + F.length(gap)
-        end = start + F.length(value)
+    def step(acc: Column, piece: Column) -> Column:
+        start = acc["pos"] + F.length(piece["gap"])
+        end = start + F.length(piece["value"])
         found = F.struct(
             start.alias("start"),
             end.alias("end"),
-            value.alias("value"),
-            F.right(gap, F.lit(REACH)).alias("before"),
-            F.left(F.get(gaps, i + 1), F.lit(REACH)).alias("after"),
+            piece["value"].alias("value"),
+            F.right(piece["gap"], F.lit(REACH)).alias("before"),
+            F.left(piece["next"], F.lit(REACH)).alias("after"),
         )
         return F.struct(end.alias("pos"), F.concat(acc["spans"], F.array(found)).alias("spans"))
 
-    zero = F.struct(F.lit(0).alias("pos"), empty.alias("spans"))
-    walked = F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), zero, step, lambda acc: acc["spans"])
-    return F.when(F.size(matches) > 0, walked).otherwise(empty)
+    none = F.array().cast("array<struct<start:int,end:int,value:string,before:string,after:string>>")
+
+    def run(pieces: Column, start: Column) -> Column:
+        zero = F.struct(start.alias("pos"), none.alias("spans"))
+        return F.aggregate(pieces, zero, step, lambda acc: acc["spans"])
+
+    def places(pieces: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.size(pieces), F.lit(RUN))
+
+        def length(first: Column) -> Column:
+            own = F.slice(pieces, first, F.lit(RUN))
+            return F.aggregate(own, F.lit(0), lambda n, p: n + F.length(p["gap"]) + F.length(p["value"]))
+
+        def start(acc: Column, first: Column) -> Column:
+            entry = F.struct(first.alias("first"), acc["pos"].alias("pos"))
+            return F.struct((acc["pos"] + length(first)).alias("pos"), F.concat(acc["runs"], F.array(entry)).alias("runs"))
+
+        zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<first:int,pos:int>>").alias("runs"))
+        runs = F.aggregate(firsts, zero, start, lambda acc: acc["runs"])
+        return F.flatten(F.transform(runs, lambda r: run(F.slice(pieces, r["first"], F.lit(RUN)), r["pos"])))
+
+    def zipped(found: Column) -> Column:
+        gaps, n = found["gaps"], F.size(found["matches"])
+        both = F.zip_with(found["matches"], gaps, lambda m, g: F.struct(g.alias("gap"), m.alias("value")))
+        return F.zip_with(
+            F.slice(both, F.lit(1), n),
+            F.slice(gaps, F.lit(2), n),
+            lambda p, after: F.struct(p["gap"].alias("gap"), p["value"].alias("value"), after.alias("next")),
+        )
+
+    found = F.struct(matches.alias("matches"), F.split(text, pattern, -1).alias("gaps"))
+    some = let(let(found, zipped), lambda pieces: F.when(F.size(pieces) > 0, places(pieces)).otherwise(none))
+    return F.when(text.rlike(pattern), some).otherwise(none)
 
 
 def base_spans(text: Column) -> Column:
@@ -126,14 +167,19 @@ def contexts(value: Column, before: Column, after: Column) -> Column:
 
 
 def discover(
-    edges: DataFrame, scratch: Scratch, rounds: int, min_values: int, min_pattern: float, min_value: float
+    edges: DataFrame, scratch: Scratch, rounds: int | None, min_values: int, min_pattern: float, min_value: float
 ) -> DataFrame:
-    """(pattern, value, kind or NULL) -> (value, kind, score) of values that patterns make known."""
+    """(pattern, value, kind or NULL) -> (value, kind, score) of values that patterns make known.
+
+    Rounds go on until one adds no value, or until `rounds` are done.
+    """
     seeds = edges.filter("kind is not null").select("value", "kind").distinct()
     known = scratch.save(seeds.withColumn("score", F.lit(1.0)), "known_0")
     links = scratch.save(edges.select("pattern", "value").distinct(), "links")
     totals = scratch.save(links.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")), "totals")
-    for r in range(1, rounds + 1):
+    r, before = 0, seeds.count()
+    while rounds is None or r < rounds:
+        r += 1
         patterns = (
             links.join(known, "value")
             .groupBy("pattern", "kind")
@@ -151,7 +197,14 @@ def discover(
             .filter(F.col("score") >= min_value)
         )
         fresh = scored.join(seeds.select("value"), "value", "left_anti")
-        known = scratch.save(seeds.withColumn("score", F.lit(1.0)).unionByName(fresh), f"known_{r}")
+        # a value that has become known stays, so rounds come to an end
+        old = known.join(seeds.select("value"), "value", "left_anti").unionByName(fresh)
+        old = old.groupBy("value", "kind").agg(F.max("score").alias("score"))
+        known = scratch.save(seeds.withColumn("score", F.lit(1.0)).unionByName(old), f"known_{r}")
+        after = known.count()
+        if after == before:
+            break
+        before = after
     found = known.join(seeds.select("value"), "value", "left_anti")
     best = found.groupBy("value").agg(F.max(F.struct("score", "kind")).alias("b"))
     return best.select("value", F.col("b.kind").alias("kind"), F.col("b.score").alias("score"))
@@ -165,7 +218,7 @@ def span_text(spans: Column) -> Column:
 def find_pii(
     docs: DataFrame,
     scratch: Scratch | None = None,
-    rounds: int = 3,
+    rounds: int | None = None,
     min_values: int = 3,
     min_pattern: float = 0.8,
     min_value: float = 0.8,
@@ -174,7 +227,7 @@ def find_pii(
 
     A span has start, rank, end, kind and value, in code points, its end exclusive. NULL and empty texts
     have none. Discovered spans never overlap base spans. `min_values` known values and a share of
-    `min_pattern` make a pattern trusted. Rows that repeat an id are searched each. Other columns are ignored.
+    `min_pattern` make a pattern trusted; rounds end when none adds a value, or after `rounds`. Rows that repeat an id are searched each. Other columns are ignored.
     """
     scratch = scratch or Scratch(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))

@@ -36,6 +36,7 @@ class Training:
 
     texts_per_class: int = 1500
     max_chars: int = 4000
+    long_chars: int = 24000
     steps: int = 500
     batch: int = 24
     rate: float = 0.015
@@ -311,22 +312,30 @@ class Scorer:
 def train(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Network:
     """Train on labelled texts: (doc_id, text) and (doc_id, toxic), NULL labels and ids left out.
 
-    The sample has the first `texts_per_class` ids of each class in an order by hash, less those with more
-    than `max_chars` characters; the driver holds it. An id with several labels counts as toxic if one
+    The sample has the first `texts_per_class` texts of each class in an order by hash, those with at most
+    `max_chars` characters before longer ones; of a text beyond `long_chars` it has that many characters from its
+    beginning, middle and end. The driver holds the sample. An id with several labels counts as toxic if one
     says so. Without texts of both classes, every score is the share of label 1, or a half.
     """
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = marks.agg(F.avg("toxic")).first()[0]
-    order = [F.xxhash64("doc_id", F.lit(how.seed)), F.col("doc_id")]
-    picked = [marks.filter(F.col("toxic") == c).orderBy(*order).limit(how.texts_per_class) for c in (0, 1)]
+    long = F.length("text") > how.max_chars
+    # lengths and not texts meet the labels; a repeated id stands for the first of its texts
+    sized = docs.select("doc_id", long.alias("long"), F.xxhash64("text").alias("th")).filter(F.col("text").isNotNull())
+    sized = sized.join(marks, "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct("long", "th")).alias("t"))
+    order = [F.col("t.long"), F.xxhash64("doc_id", F.lit(how.seed)), F.col("doc_id")]
+    picked = [sized.filter(F.col("toxic") == c).orderBy(*order).limit(how.texts_per_class) for c in (0, 1)]
     # a few thousand ids at most
-    chosen = F.broadcast(picked[0].unionByName(picked[1]))
+    chosen = F.broadcast(picked[0].unionByName(picked[1]).select(F.col("doc_id").alias("picked"), "toxic", F.col("t.th").alias("th")))
+    third = how.long_chars // 3
+    middle = F.substring(F.col("text"), (F.length("text") / 2).cast("int") - third // 2, F.lit(third))
+    parts = F.concat_ws(" ", F.left("text", F.lit(third)), middle, F.right("text", F.lit(third)))
     sample = (
         docs.select("doc_id", "text")
-        .filter(F.length("text") <= how.max_chars)
-        .join(chosen, "doc_id")
-        .dropDuplicates(["doc_id"])
-        .orderBy("doc_id")
+        .join(chosen, (F.xxhash64("text") == F.col("th")) & (F.col("doc_id") == F.col("picked")))
+        .select("doc_id", F.when(F.length("text") > how.long_chars, parts).otherwise(F.col("text")).alias("text"), "toxic")
+        .dropDuplicates(["doc_id", "text"])
+        .orderBy("doc_id", "text")
         .toArrow()
     )
     return fit(sample["text"].to_pylist(), sample["toxic"].to_numpy(), 0.5 if share is None else float(share), how)
