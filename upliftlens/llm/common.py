@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -49,6 +50,19 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
+    def free(self, *names: str) -> None:
+        """Empty tables that nothing reads any more, neither a later step nor the result."""
+        for name in names:
+            path = f"{self.root}/{name}"
+            schema = self.spark.read.parquet(path).schema
+            self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+
+    def tidy(self) -> None:
+        """Let the driver drop what it no longer holds, so that Spark removes the shuffle files of steps that are done."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -22,6 +22,8 @@ from upliftlens.llm.common import SPACE, SPACE_CHARS, Scratch, fixed_array, hash
 RARITY_BUCKETS = 262144
 HASH_BITS = 48
 MASK = (1 << HASH_BITS) - 1
+#: Words of prefixes as they are joined: fewer bits only make more candidates.
+PREFIX_MASK = (1 << 31) - 1
 #: Two orders of the word hashes, whose minima are the min-hashes.
 ORDERS = (0x5DEECE66D3A1, 0x2545F4914F6C)
 
@@ -56,7 +58,10 @@ def _ceil_ratio(n: Column, over: int, under: int) -> Column:
 
 
 def line_classes(lines: DataFrame, levels: Column, percent: int, min_words: int) -> DataFrame:
-    """Lines of at least `min_words` distinct words with the key of their set and what the join needs."""
+    """Lines of at least `min_words` distinct words with the key of their set and what the join needs.
+
+    A set so small that no other can be similar has no prefix: it is only ever equal to another.
+    """
 
     def ordered(w: Column) -> Column:
         h = F.xxhash64(w)
@@ -88,7 +93,10 @@ def line_classes(lines: DataFrame, levels: Column, percent: int, min_words: int)
         n.alias("n"),
         F.xxhash64("set").alias("key"),
         F.aggregate("set", F.lit(0).cast("long"), parity).alias("bits"),
-        F.slice("set", F.lit(1), n - _ceil_ratio(n, percent, 100) + 1).alias("prefix"),
+        F.transform(
+            F.slice("set", F.lit(1), F.when(n * 100 >= (n + 1) * percent, n - _ceil_ratio(n, percent, 100) + 1).otherwise(0)),
+            lambda x: x.bitwiseAND(F.lit(PREFIX_MASK)).cast("int"),
+        ).alias("prefix"),
         *[least(o).alias(f"m{i}") for i, o in enumerate(ORDERS)],
     )
 
@@ -120,22 +128,24 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int
     shared = F.size(F.array_intersect("a_words", "b_words"))
     union = F.size("a_words") + F.size("b_words") - shared
     later = F.when(F.col("a_at") > F.col("b_at"), F.col("a")).otherwise(F.col("b"))
-    return scratch.save(both.filter(shared * 100 >= union * percent).select(later.alias("id")).distinct(), name)
+    found = scratch.save(both.filter(shared * 100 >= union * percent).select(later.alias("id")).distinct(), name)
+    scratch.free(f"{name}_pairs", f"{name}_wanted", f"{name}_contents")
+    return found
 
 
 def line_dedup(
-    docs: DataFrame, scratch: Scratch | None = None, percent: int = 80, min_words: int = 5
+    docs: DataFrame, scratch: Scratch | None = None, percent: int = 80, min_words: int = 1
 ) -> DataFrame:
     """The columns of `docs` with the later of similar lines taken out of `text`, and n_lines, n_removed.
 
     Lines are what newlines separate. Similar: the sets of words have a Jaccard index of at least
-    `percent` / 100. Lines with fewer than `min_words` distinct words stay. Rows that repeat both id and
+    `percent` / 100. Lines with fewer than `min_words` distinct words stay, so lines without words do. Rows that repeat both id and
     text count as one document and come out alike. NULL and empty texts are untouched and have 0 and 1
     lines. Extra columns are passed on; those called n_lines or n_removed are replaced.
     """
     scratch = scratch or Scratch(docs.sparkSession)
     texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
-    lines = lines_of(texts)
+    lines = lines_of(texts).filter(F.btrim("body", F.lit(SPACE_CHARS)) != "")
     tagged = scratch.save(line_classes(lines, rarity(lines), percent, min_words), "lines")
     key = ["key", "bits", "n"]
     carried = F.struct(*_order_columns(), "id", "lh", "prefix", "m0", "m1")
@@ -159,17 +169,18 @@ def line_dedup(
         firsts.append(own.join(pivot, (own[m] == pivot[m]) & (F.col("a") != F.col("b")) & close).select("a", "b"))
     settled = verified(firsts[0].union(firsts[1]), classes, texts, percent, scratch, "settled")
 
-    state = classes.join(settled.withColumn("done", F.lit(True)), "id", "left").select(
-        "id", "n", "bits", F.coalesce("done", F.lit(False)).alias("done"), "prefix"
-    )
-    state = scratch.save(state, "state")
+    scratch.tidy()
+    state = classes.filter(F.size("prefix") > 0).join(settled.withColumn("done", F.lit(True)), "id", "left")
+    state = state.select("n", "bits", "id", F.coalesce("done", F.lit(False)).alias("done"), F.posexplode("prefix").alias("pos", "w"))
+    # a word in the prefix of one set only brings nothing together
+    shared = state.groupBy("w").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1")
+    shared = scratch.save(shared.select("w"), "shared")
+    state = scratch.save(state.filter(hashed_members(shared, "w")(F.col("w"))), "state")
     n = F.col("n")
-    short = state.withColumn("prefix", F.slice("prefix", F.lit(1), n - _ceil_ratio(n, 2 * percent, 100 + percent) + 1))
+    short = state.filter(F.col("pos") < n - _ceil_ratio(n, 2 * percent, 100 + percent) + 1)
     a, b = (
-        side.select(F.posexplode("prefix").alias("pos", "w"), "id", "n", "bits", "done").select(
-            *[F.col(c).alias(f"{s}_{c}") for c in ("w", "pos", "id", "n", "bits", "done")]
-        )
-        for s, side in (("a", short), ("b", state))
+        df.select(*[F.col(c).alias(f"{s}_{c}") for c in ("w", "pos", "id", "n", "bits", "done")])
+        for s, df in (("a", short), ("b", state))
     )
     rest = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
     meet = (
@@ -181,12 +192,15 @@ def line_dedup(
     )
     pairs = a.join(b, meet).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
     similar = verified(pairs, classes, texts, percent, scratch, "similar").union(settled).distinct()
+    scratch.free("state", "shared")
+    scratch.tidy()
 
     place = [F.col(c).alias(f"first_{c}") for c in ("doc_id", "th", "line")]
     gone = classes.join(similar.withColumn("similar", F.lit(True)), "id", "left").select(
         *key, *place, F.coalesce("similar", F.lit(False)).alias("similar")
     )
     gone = scratch.save(gone, "gone")
+    scratch.free("classes", "settled", "similar")
     # by place and not by id, so that rows which repeat a document agree
     first = (
         F.col("doc_id").eqNullSafe(F.col("first_doc_id"))
@@ -201,6 +215,8 @@ def line_dedup(
         .agg(F.collect_set("line").alias("__removed"))
     )
     removed = scratch.save(removed, "removed")
+    scratch.free("lines", "gone")
+    scratch.tidy()
     return _without(docs, removed)
 
 

@@ -82,7 +82,7 @@ WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS line
   FROM documents WHERE text IS NOT NULL),
 k AS (SELECT doc_id, line, body, list_sort(list_distinct(regexp_extract_all(body, '[^{SPACE}]+'))) AS words FROM l),
-c AS (SELECT words, len(words) AS n, min((doc_id, line)) AS first FROM k WHERE len(words) >= 5 GROUP BY words),
+c AS (SELECT words, len(words) AS n, min((doc_id, line)) AS first FROM k WHERE len(words) >= 1 GROUP BY words),
 t AS (SELECT first, n, unnest(words) AS word FROM c),
 o AS (SELECT *, row_number() OVER (PARTITION BY first ORDER BY f, word) AS pos
       FROM (SELECT *, count(*) OVER (PARTITION BY word) AS f FROM t)),
