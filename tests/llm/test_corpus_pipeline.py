@@ -12,6 +12,7 @@ from llm.test_near import reached, shingles
 
 from upliftlens.llm import bpe
 from upliftlens.llm.common import Scratch
+from upliftlens.llm.mixing import mix_sources
 
 
 @pytest.fixture(scope="module")
@@ -43,7 +44,7 @@ def test_toxic_documents_go(steps):
 
 def test_repeated_lines_go(steps):
     before, after = steps[1:3]
-    want = without_later_lines(before, 80, 5)
+    want = without_later_lines(before, 80, 1)
     left = Counter()
     for r in before:
         text = r.text if r.text is None else want[r.doc_id or 0, r.text]
@@ -78,6 +79,32 @@ def test_sources_are_mixed(steps):
     assert abs(size(after) - size(before)) <= 4 * (longest / 2 + 1)
 
 
+def test_rows_that_share_an_id_are_mixed_to_the_word(spark):
+    """Each takes its part of what the mix takes, not the largest part of any of them."""
+    rows = [(7 if i % 2 else None, f"{'ab ' * 5}x{i}", "en", ("a", "b", None)[i % 3], 1) for i in range(60)]
+    rows += [(i, f"{'cd ' * (i % 9)}y{i}", "en", "c", 1) for i in range(100, 160)] + [(100, "cd y100", "en", "c", 1)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    size = lambda t: len(WORD.findall(t))
+    want = Counter()
+    for r in mix_sources(docs).collect():
+        want[r.doc_id, r.source, r["size"]] += r.copies
+    got = Counter((r.doc_id, r.source, size(r.text)) for r in corpus_pipeline.mixed(spark, docs, "").collect())
+    assert got == +want
+    taken = Counter((r.doc_id, r.text) for r in corpus_pipeline.mixed(spark, docs, "").collect())
+    assert max(taken.values()) <= 3 * 4
+
+
+def test_the_whole_pipeline(spark, steps, documents, no_documents, tmp_path):
+    """`run` gives what the stages give one by one; without documents it gives no rows."""
+    for name, docs in (("full", documents), ("empty", no_documents)):
+        docs.select(*corpus_pipeline.COLUMNS).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        marks = spark.createDataFrame([(i, 0, int(i in (10, 11, 12))) for i in range(10, 30)], "doc_id long, quality long, toxic long")
+        marks.selectExpr("doc_id", "int(quality) quality", "int(toxic) toxic").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    full = corpus_pipeline.run(spark, f"{tmp_path}/full")
+    assert Counter(map(tuple, full.collect())) == Counter(map(tuple, steps[-1]))
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+
+
 def test_tokens(steps):
     before, after = steps[4:6]
     path = public_tokenizers.path(corpus_pipeline.RANKS)
