@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from upliftlens.llm import bpe, toxicity
-from upliftlens.llm.common import Scratch
+from upliftlens.llm.common import Scratch, word_count
 from upliftlens.llm.line_dedup import line_dedup
 from upliftlens.llm.minhash import minhash_dedup
 from upliftlens.llm.mixing import mix_sources
@@ -45,10 +45,17 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: a document that is taken twice is two rows."""
-    copies = mix_sources(docs).select(F.col("doc_id").alias("id"), "copies").groupBy("id").agg(F.max("copies").alias("copies"))
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("id"))).filter("copies > 0")
-    return _columns(taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))))
+    """Sources at their target weights: a document that is taken twice is two rows.
+
+    Rows that agree in id, source and size share out what the mix takes of them, so it is taken to the word.
+    """
+    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("source").isNull(), "source", "size").alias("key")
+    taken = mix_sources(docs).groupBy(key).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    rows = docs.withColumn("size", word_count(F.col("text"))).select("*", key).join(taken.filter("copies > 0"), "key")
+    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("text")))
+    share = F.floor(F.col("copies") / F.col("rows")) + (nth <= F.col("copies") % F.col("rows")).cast("int")
+    rows = rows.withColumn("share", share.cast("int")).filter("share > 0")
+    return _columns(rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("share")))))
 
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
