@@ -143,7 +143,8 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         h = mix64(h * np.uint64(65599) + sig[:, c, i])
                 keys[:, c, gap] = h
         ids = np.repeat(batch.column("id").to_numpy(), CHUNKS * WIDTH)
-        yield pa.record_batch([pa.array(keys.ravel().view(np.int64)), pa.array(ids)], names=["key", "id"])
+        slots = np.tile(np.arange(CHUNKS * WIDTH, dtype=np.int32), len(sig))
+        yield pa.record_batch([pa.array(keys.ravel().view(np.int64)), pa.array(ids), pa.array(slots)], names=["key", "id", "slot"])
 
 
 def _similar(shingle: int, percent: int):
@@ -230,9 +231,16 @@ def _meet(percent: int):
     """Pairs of a key's members in different components that may be linked, one of them outside the largest.
 
     Rows come by key and piece, members before those outside; the members of a piece stay while the others pass by.
+    Components differ under every key at which two classes meet, so a pair is told under the first of these only.
     """
 
-    def pairs(outside: dict, members: dict) -> Iterator[pa.RecordBatch]:
+    def first_slot(same: np.ndarray) -> np.ndarray:
+        """The first key at which signatures meet, from the symbols that agree."""
+        wrong = ~same.reshape(-1, CHUNKS, WIDTH)
+        chunk = (wrong.sum(axis=2) <= 1).argmax(axis=1)
+        return chunk * WIDTH + wrong[np.arange(len(wrong)), chunk].argmax(axis=1)
+
+    def pairs(outside: dict, members: dict, slot: int) -> Iterator[pa.RecordBatch]:
         step = max(1, CELLS // len(members["id"]))
         for start in range(0, len(outside["id"]), step):
             x = {k: v[start : start + step] for k, v in outside.items()}
@@ -245,8 +253,9 @@ def _meet(percent: int):
                 odd += np.bitwise_count(x["sketch"][:, w][:, None] ^ members["sketch"][:, w][None])
             ok &= odd <= both - 2 * -(-both * percent // (100 + percent))
             i, j = np.nonzero(ok)
-            different = (x["signature"][i] != members["signature"][j]).sum(axis=1)
-            near = different <= LIMIT
+            same = x["signature"][i] == members["signature"][j]
+            different = (~same).sum(axis=1)
+            near = (different <= LIMIT) & (first_slot(same) == slot)
             i, j = x["id"][i[near]], members["id"][j[near]]
             columns = [np.maximum(i, j), np.minimum(i, j), different[near].astype(np.int32)]
             yield pa.record_batch([pa.array(c) for c in columns], names=["a", "b", "distance"])
@@ -257,7 +266,7 @@ def _meet(percent: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            column = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "piece", "role", "id", "component", "n", "inside")}
+            column = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "slot", "piece", "role", "id", "component", "n", "inside")}
             sketch = np.stack([batch.column(c).to_numpy() for c in SKETCH], axis=1)
             longs = np.stack([batch.column(c).to_numpy() for c in PARTS], axis=1)
             about = {c: column[c] for c in ("id", "component", "n", "inside")}
@@ -273,7 +282,7 @@ def _meet(percent: int):
                     members.append(part)
                 elif members:
                     members = [{k: np.concatenate([m[k] for m in members]) for k in part}] if len(members) > 1 else members
-                    yield from pairs(part, members[0])
+                    yield from pairs(part, members[0], column["slot"][start])
 
     return run
 
@@ -328,7 +337,7 @@ def minhash_dedup(docs: DataFrame, scratch: Scratch | None = None, shingle: int
         "classes",
     )
     near = possible(percent) & (distance() <= LIMIT)
-    index = scratch.save(map_arrow(classes.select("id", *PARTS), _index, "key long, id long"), "index")
+    index = scratch.save(map_arrow(classes.select("id", *PARTS), _index, "key long, id long, slot int"), "index")
     shared = index.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     index = scratch.save(index.join(shared, "key"), "shared")
     parts = Parts(scratch)
@@ -359,7 +368,7 @@ def minhash_dedup(docs: DataFrame, scratch: Scratch | None = None, shingle: int
     # a key with very many members is met piece by piece; its members come first in a piece, then those outside
     pieces = F.ceil(F.col("members") / PIECE).cast("int")
     spread = placed.drop("members").join(open_keys, "key").join(classes.select("id", *ABOUT), "id")
-    spread = spread.select("key", "id", "component", (F.col("component") == F.col("largest")).alias("inside"), pieces.alias("pieces"), *ABOUT)
+    spread = spread.select("key", "slot", "id", "component", (F.col("component") == F.col("largest")).alias("inside"), pieces.alias("pieces"), *ABOUT)
     spread = scratch.save(spread, "spread")
     own = F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")
     every = spread.withColumns({"piece": own, "role": F.lit(0)})
@@ -368,7 +377,7 @@ def minhash_dedup(docs: DataFrame, scratch: Scratch | None = None, shingle: int
     )
     dealt = every.unionByName(few).drop("pieces").repartition(width, "key", "piece").sortWithinPartitions("key", "piece", "role")
     meet = map_arrow(dealt, _meet(percent), "a long, b long, distance int")
-    left = scratch.save(meet.groupBy("a", "b").agg(F.min("distance").alias("distance")), "left_0")
+    left = scratch.save(meet.distinct(), "left_0")
     step, tries = 0, 4
     while True:
         open_pairs = parts.of(parts.of(left, "a", "a_part"), "b", "b_part").filter("a_part != b_part")
