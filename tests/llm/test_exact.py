@@ -3,11 +3,13 @@
 import hashlib
 import math
 import re
-from collections import defaultdict
+import textwrap
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
+from upliftlens.llm import license_scan as license_scan_module
 from upliftlens.llm.common import word_count
 from upliftlens.llm.exact_dedup import block_key, exact_dedup
 from upliftlens.llm.license_scan import license_scan
@@ -139,6 +141,57 @@ def test_lines(documents, percent):
             assert (r.row, r["size"], r.component) == (1, "x", "z")
 
 
+def wrapped(text, width, mark=""):
+    return "\n".join(mark + line for line in textwrap.wrap(text, width))
+
+
+def test_whole_licences_and_headers(spark):
+    """Full texts, notices in comments, sentences over several lines and SPDX lines; prose with single words of them."""
+    T = license_scan_module.TEMPLATES
+    mit, isc = T["MIT"][1], T["ISC"][0]
+    bsd2, bsd3, gpl, apache = T["BSD-2-Clause"][0], T["BSD-3-Clause"][1], T["GPL-3.0"][1], T["Apache-2.0"][1]
+    code = "import os\nprint(os.name)\n" * 20
+    mit_file = "MIT License\n\nCopyright (c) 2021 Some One\n\n" + wrapped(mit.removeprefix("MIT License Copyright (c) "), 78)
+    want = {
+        "/mit/LICENSE": (mit_file, "MIT", None),
+        "/mit/src/a.py": (code, "MIT", "/mit"),
+        "/isc/COPYING": (wrapped("Copyright 2020 Some One. " + isc, 60), "ISC", None),
+        "/bsd2/LICENSE.txt": (wrapped("Copyright (c) 2019, Some One. All rights reserved. " + bsd2, 72), "BSD-2-Clause", None),
+        "/bsd3/LICENSE.txt": (wrapped("Copyright (c) 2019, Some One. " + bsd3, 72), "BSD-3-Clause", None),
+        "/x/gpl.c": ("/*\n" + wrapped(gpl, 66, " * ") + "\n */\n\n" + code, "GPL-3.0", None),
+        "/x/apache.sh": ("#!/bin/sh\n\n" + wrapped(apache, 70, "# ") + "\n\n" + code, "Apache-2.0", None),
+        "/x/spdx.rs": ("// SPDX-License-Identifier: MPL-2.0\n" + code, "MPL-2.0", None),
+        "/x/broken.txt": ("words\nLicensed under the Apache\nLicense, Version 2.0.\nmore words", "Apache-2.0", None),
+        "/x/prose.txt": ("A licence to print money, with copyright on every word.\n" * 9, None, None),
+        "/x/long.txt": ("plain words without any of it " * 20000 + "\nReleased under the MIT License.", "MIT", None),
+        "/y/z/none.py": (code, None, None),
+    }
+    files = spark.createDataFrame([(p, t, "x") for p, (t, _, _) in want.items()], "path string, text string, license string")
+    found = {r.path: (r.license, r.inherited_from) for r in license_scan(files).collect()}
+    assert found == {p: (name, up) for p, (_, name, up) in want.items()}
+
+
+def test_licence_scores_against_plain_python(spark):
+    """Cosine of log-weighted term counts, by hand; of equal scores the licence first by name wins."""
+    templates = {"B": ("permission alpha beta",), "A": ("permission alpha beta",), "C": ("permission gamma gamma delta",)}
+    texts = {"/1": "permission alpha beta", "/2": "Permission gamma delta gamma!", "/3": "permission alpha", "/4": "permission other words"}
+    df = spark.createDataFrame(list(texts.items()), "path string, text string")
+    found = {r.path: r for r in license_scan(df, templates=templates, min_score=0.1).collect()}
+    lines = [re.findall("[a-z]+", t.lower()) for t in texts.values()]
+    n = len(lines)
+    idf = lambda t: math.log((n + 1) / (sum(t in x for x in lines) + 1)) + 1
+    weigh = lambda ws: {t: (1 + math.log(k)) * idf(t) for t, k in Counter(ws).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    for path, line in zip(texts, lines, strict=True):
+        v, best = weigh(line), []
+        for name, (text,) in templates.items():
+            for words in (text.split(),):
+                u = weigh(words)
+                best.append((-round(sum(v[t] * u.get(t, 0) for t in v) / norm(v) / norm(u), 6), name))
+        score, name = min(best)
+        assert (found[path].license, pytest.approx(found[path].own_score, abs=2e-6)) == (name, -score)
+
+
 def test_licences(spark):
     files = spark.createDataFrame(
         [

@@ -1,7 +1,10 @@
-"""Licences of files: TF-IDF cosine of licence lines to templates, inherited from ancestor directories.
+"""Licences of files: TF-IDF cosine of headers and licence files to templates, inherited from ancestor directories.
 
-Lines with a licence word in them are compared, once for each distinct line. A file takes the licence of
-its best line; a file without one takes that of the nearest directory above it that has a licence file.
+Blocks of a file are compared with templates: the whole text of a licence file, the header (what stands before the
+first empty line), paragraphs, and runs of one to three lines. Templates are full texts, the notices by which files
+name their licences, and SPDX lines. Comment marks and line ends don't count. A block is compared once, however
+many files have it. A file takes the licence of its best block; a file without one takes that of the nearest
+directory above it that has a licence file.
 """
 
 from __future__ import annotations
@@ -11,24 +14,145 @@ from pyspark.sql import functions as F
 
 from upliftlens.llm.common import Scratch
 
-# The sentences by which files name their licences.
+# Texts and notices of public licences, each as one line.
+GRANT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+    "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
+    "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
+    "permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+)
+CONDITIONS = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list "
+    "of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright "
+    "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided "
+    "with the distribution. "
+)
+NAMES = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+    "products derived from this software without specific prior written permission. "
+)
+DISCLAIMER = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+    "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+    "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+    "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+    "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE "
+    "OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+GNU = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as "
+    "published by the Free Software Foundation, either version {version} of the License, or (at your option) any later "
+    "version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+    "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details. You "
+    "should have received a copy of the GNU {name} along with this program."
+)
+GENERAL, LESSER, AFFERO = "General Public License", "Lesser General Public License", "Affero General Public License"
 TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "MIT": "Released under the MIT License.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-2.0": "This program is licensed under the GNU General Public License, version 2.",
-    "LGPL-3.0": "Licensed under the GNU Lesser General Public License, version 3.",
-    "AGPL-3.0": "Licensed under the GNU Affero General Public License, version 3.",
-    "MPL-2.0": "This file is subject to the terms of the Mozilla Public License, version 2.0.",
-    "BSD-3-Clause": "Use of this source code is governed by a BSD-style license.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC0-1.0": "This work is dedicated to the public domain under CC0 1.0.",
-    "LicenseRef-All-Rights-Reserved": "All rights reserved.",
+    "Apache-2.0": (
+        "Licensed under the Apache License, Version 2.0.",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance "
+        "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless "
+        "required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
+        "\"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the "
+        "specific language governing permissions and limitations under the License.",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+    ),
+    "MIT": (
+        "Released under the MIT License.",
+        "MIT License Copyright (c) " + GRANT + "The above copyright notice and this permission notice shall be included in "
+        "all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, "
+        "EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR "
+        "PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR "
+        "OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH "
+        "THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS "
+        "PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED "
+        "WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, "
+        "OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION "
+        "OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF "
+        "THIS SOFTWARE.",
+    ),
+    "BSD-2-Clause": (CONDITIONS + DISCLAIMER,),
+    "BSD-3-Clause": ("Use of this source code is governed by a BSD-style license.", CONDITIONS + NAMES + DISCLAIMER),
+    "GPL-3.0": (
+        "This work is licensed under the GNU General Public License, version 3.",
+        GNU.format(name=GENERAL, version=3),
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    ),
+    "GPL-2.0": (
+        "This program is licensed under the GNU General Public License, version 2.",
+        GNU.format(name=GENERAL, version=2),
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    ),
+    "LGPL-3.0": (
+        "Licensed under the GNU Lesser General Public License, version 3.",
+        GNU.format(name=LESSER, version=3),
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    ),
+    "AGPL-3.0": (
+        "Licensed under the GNU Affero General Public License, version 3.",
+        GNU.format(name=AFFERO, version=3),
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    ),
+    "MPL-2.0": (
+        "This file is subject to the terms of the Mozilla Public License, version 2.0.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, "
+        "use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
+        "purpose, commercial or non-commercial, and by any means.",
+    ),
+    "CC-BY-4.0": ("Licensed under CC BY 4.0.",),
+    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.",),
+    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.",),
+    "CC0-1.0": ("This work is dedicated to the public domain under CC0 1.0.",),
+    "LicenseRef-All-Rights-Reserved": ("All rights reserved.",),
 }
-LICENCE_WORDS = r"(?i)licen[sc]|copyright|copyleft|spdx|all rights reserved|public domain|\bCC[ 0-]"
-LICENCE_FILES = r"(?i)/(licen[sc]e|copying|notice)[^/]*$"
+#: A licence that a file names by its identifier only.
+SPDX = "SPDX-License-Identifier: {name}"
+#: Every template has one of these; a block without any of them shares too few terms with each to reach the score.
+LICENCE_WORDS = (
+    r"(?i)licen[sc]|copyright|copyleft|spdx|all rights reserved|public domain|\bCC[ 0-]|permission|redistribut|warrant|unencumbered"
+)
+LICENCE_FILES = r"(?i)/(licen[sc]e|copying|notice|copyright)[^/]*$"
+#: Marks around the lines of a comment.
+COMMENT = r"(?m)^[\s/*#;%!<>|\"'-]+|[\s/*#|\"'-]+$"
+#: The most lines that are compared as one block, besides headers, paragraphs and licence files.
+RUN = 3
+
+
+def plain(block: Column) -> Column:
+    """A block as one line, without comment marks and repeated white space."""
+    return F.trim(F.regexp_replace(F.regexp_replace(block, COMMENT, ""), r"\s+", " "))
+
+
+def blocks(files: DataFrame) -> DataFrame:
+    """(path, block): what is compared of each file, each block of a file once. Only those with a licence word stay."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    marked = files.filter(text.rlike(LICENCE_WORDS))
+    whole = F.when(F.col("path").rlike(LICENCE_FILES), F.array(text)).otherwise(F.array().cast("array<string>"))
+
+    def runs(lines: Column) -> Column:
+        """For each line the run of lines that begins there; a sentence may be broken anywhere."""
+        every = F.transform(lines, lambda _, i: F.slice(lines, i + 1, F.lit(RUN)))
+        return F.filter(every, lambda run: F.array_join(run, "\n").rlike(LICENCE_WORDS))
+
+    # the array of an array names the lines once for all runs
+    runs_of = F.flatten(F.transform(F.array(F.split(text, "\r?\n")), runs))
+    parts = [F.concat(whole, F.split(text, r"\n\s*\n")).alias("parts"), runs_of.alias("runs")]
+    listed = marked.select("path", *parts)
+    run = [F.array_join(F.slice("run", 1, n), "\n") for n in range(1, RUN + 1)]
+    short = listed.select("path", F.explode("runs").alias("run")).select("path", F.explode(F.array(*run)).alias("block"))
+    found = listed.select("path", F.explode("parts").alias("block")).unionByName(short)
+    found = found.filter(F.col("block").rlike(LICENCE_WORDS))
+    return found.select("path", plain(F.col("block")).alias("block")).filter("block != ''").distinct()
 
 
 def terms(line: Column) -> Column:
@@ -40,40 +164,39 @@ def terms(line: Column) -> Column:
 def license_scan(
     files: DataFrame,
     scratch: Scratch | None = None,
-    templates: dict[str, str] | None = None,
+    templates: dict[str, tuple[str, ...]] | None = None,
     min_score: float = 0.75,
 ) -> DataFrame:
     """(path, text) -> path, own_license, own_score, license, inherited_from; one row per row.
 
-    own_score is 0 and own_license NULL without a line that reaches `min_score`; of equal scores the
+    own_score is 0 and own_license NULL without a block that reaches `min_score`; of equal scores the
     licence first by name wins. Licence files are those whose names say so (LICENSE, COPYING, NOTICE);
     of several in a directory the best score, then the first path, speaks for it. inherited_from is the
     directory, NULL where the file has a licence of its own or finds none. A NULL path inherits nothing;
-    a NULL or empty text has no lines. Other columns are ignored.
+    a NULL or empty text has no blocks. Rows that repeat a path share the best licence of all of them. Other
+    columns are ignored.
     """
     spark = files.sparkSession
     scratch = scratch or Scratch(spark)
     chosen = TEMPLATES if templates is None else templates
-    lines = files.select(F.col("path"), F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
-    lines = lines.filter(F.col("line").rlike(LICENCE_WORDS)).select(
-        "path", F.regexp_replace(F.trim("line"), r"\s+", " ").alias("line")
-    )
-    lines = scratch.save(lines, "lines")
+    lines = scratch.save(blocks(files.select("path", "text")).withColumnRenamed("block", "line"), "blocks")
     counted = lines.groupBy("line").agg(F.count(F.lit(1)).alias("times"))
     tf = (
         counted.select("line", "times", F.explode(terms(F.col("line"))).alias("term"))
         .groupBy("line", "term")
-        .agg(F.count(F.lit(1)).alias("tf"), F.first("times").alias("times"))
+        .agg((1 + F.log(F.count(F.lit(1)))).alias("tf"), F.first("times").alias("times"))
     )
     tf = scratch.save(tf, "tf")
     total = counted.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("n")).scalar()
     idf = tf.groupBy("term").agg((F.log((total + 1.0) / (F.sum("times") + 1.0)) + 1.0).alias("idf"))
     idf = scratch.save(idf, "idf")
-    patterns = spark.createDataFrame(sorted(chosen.items()), "license string, line string")
+    known = [(name, i, plain_text) for name, texts in sorted(chosen.items())
+             for i, plain_text in enumerate((*texts, SPDX.format(name=name)))]
+    patterns = spark.createDataFrame(known, "license string, form int, line string")
     pattern_tf = (
-        patterns.select("license", F.explode(terms(F.col("line"))).alias("term"))
-        .groupBy("license", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
+        patterns.select(F.struct("license", "form").alias("template"), F.explode(terms(F.col("line"))).alias("term"))
+        .groupBy("template", "term")
+        .agg((1 + F.log(F.count(F.lit(1)))).alias("tf"))
     )
 
     def weighted(df: DataFrame, by: str) -> DataFrame:
@@ -84,9 +207,10 @@ def license_scan(
         return w.join(norm, by)
 
     left = weighted(tf, "line")
-    right = weighted(pattern_tf, "license").select("license", "term", F.col("w").alias("v"), F.col("norm").alias("vnorm"))
+    right = weighted(pattern_tf, "template").select("template", "term", F.col("w").alias("v"), F.col("norm").alias("vnorm"))
     cosine = F.round(F.sum(F.col("w") * F.col("v")) / (F.max("norm") * F.max("vnorm")), 6)
-    scores = left.join(right, "term").groupBy("line", "license").agg(cosine.alias("score")).filter(F.col("score") >= min_score)
+    scores = left.join(right, "term").groupBy("line", "template").agg(cosine.alias("score")).filter(F.col("score") >= min_score)
+    scores = scores.select("line", F.col("template.license").alias("license"), "score")
     best = scores.groupBy("line").agg(F.min(F.struct((-F.col("score")).alias("less"), "license")).alias("b"))
     best = scratch.save(best.select("line", F.col("b.license").alias("license"), (-F.col("b.less")).alias("score")), "best")
     own = (
