@@ -27,6 +27,8 @@ from upliftlens.llm.common import map_arrow, slices
 KEPT = 400_000
 #: Longer stretches are not kept.
 KEPT_CHARS = 64
+#: Merged pre-tokens kept in a worker, likewise: the same word stands before a space, a comma or a full stop.
+KEPT_PIECES = 200_000
 #: Two white-space characters in a row; texts with such runs are cut by the pattern as a whole.
 RUNS = r"[\t-\r\x85\p{Z}][\t-\r\x85\p{Z}]"
 
@@ -121,6 +123,9 @@ class Codec:
         self.ranks = ranks
         self.whole = PerfectHash(ranks)
         self.tokens = {rank: token for token, rank in ranks.items()}
+        self.decimal = {rank: str(rank) for rank in ranks.values()}
+        self.pieces: dict[bytes, list[int]] = {}
+        self.older_pieces: dict[bytes, list[int]] = {}
         self.split = regex.compile(pattern).findall
         self.recent: dict[str, tuple[list[int], str, bytes]] = {}
         self.older: dict[str, tuple[list[int], str, bytes]] = {}
@@ -133,9 +138,22 @@ class Codec:
             if rank >= 0:
                 ids.append(rank)
             else:
-                ids += merged(body, self.ranks)
+                ids += self.missed(body)
         return ids
 
+    def missed(self, body: bytes) -> list[int]:
+        """The ids of a pre-token that is not in the vocabulary."""
+        found = self.pieces.get(body)
+        if found is None:
+            found = self.older_pieces.get(body)
+            if found is None:
+                found = merged(body, self.ranks)
+            if len(body) <= KEPT_CHARS:
+                if len(self.pieces) >= KEPT_PIECES:
+                    self.older_pieces, self.pieces = self.pieces, {}
+                self.pieces[body] = found
+        return found
+
     def decode(self, ids) -> bytes:
         return b"".join([self.tokens[i] for i in ids])
 
@@ -146,7 +164,7 @@ class Codec:
             found = self.older.get(text)
             if found is None:
                 ids = self.encode(text)
-                found = ids, ",".join(map(str, ids)), self.decode(ids)
+                found = ids, ",".join([self.decimal[i] for i in ids]), self.decode(ids)
             if len(text) <= KEPT_CHARS:
                 if len(self.recent) >= KEPT:
                     self.older, self.recent = self.recent, {}
