@@ -67,6 +67,24 @@ def test_the_gate_sees_every_rule_broken(spark, sf_dir):
     assert any(m.bit_count() > 1 for m in masks) and all(masks)
 
 
+def test_the_gate_reads_the_events_once(spark, sf_dir, monkeypatch):
+    """However many tables the gate checks, the events behind them are joined and aggregated once."""
+    source, seen = entry.SOURCES["orders"], spark.sparkContext.accumulator(0)
+
+    def counted(session, path):
+        def run(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        raw = source(session, path)
+        return raw.mapInArrow(run, raw.schema)
+
+    monkeypatch.setitem(entry.SOURCES, "orders", counted)
+    entry.queries()["quality_gate"](spark, sf_dir).collect()
+    assert seen.value == source(spark, sf_dir).count() > 0
+
+
 def test_a_sink_that_alters_any_one_column_is_seen(spark, sf_dir):
     t = entry.Tables("orders", spark, sf_dir)
     df = storage.materialise(t.full_treated().limit(300), "some")
