@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from upliftlens.llm import license_scan as license_scan_module
-from upliftlens.llm.common import word_count
+from upliftlens.llm.common import Scratch, word_count
 from upliftlens.llm.exact_dedup import block_key, exact_dedup
 from upliftlens.llm.license_scan import license_scan
 from upliftlens.llm.line_dedup import line_dedup
@@ -221,3 +221,14 @@ def test_licences(spark):
         (None, "LicenseRef-All-Rights-Reserved", "LicenseRef-All-Rights-Reserved", None),
     }
     assert license_scan(files).count() == 10
+
+
+def test_terms_of_a_long_licence_file_are_kept_under_a_digest(spark):
+    """A block of n terms must not be stored and shuffled n times over."""
+    text = "All rights reserved. " + " ".join(f"word{i}" for i in range(3000))
+    files = spark.createDataFrame([("/a/LICENSE", text), ("/a/b.py", "x")], "path string, text string")
+    scratch = Scratch(spark)
+    found = {r.path: r.license for r in license_scan(files, scratch).collect()}
+    tf = spark.read.parquet(f"{scratch.root}/tf")
+    assert tf.count() > 3000 and tf.filter("octet_length(line) > 32").count() == 0
+    assert set(found) == {"/a/LICENSE", "/a/b.py"}

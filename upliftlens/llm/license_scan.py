@@ -179,10 +179,13 @@ def license_scan(
     spark = files.sparkSession
     scratch = scratch or Scratch(spark)
     chosen = TEMPLATES if templates is None else templates
-    lines = scratch.save(blocks(files.select("path", "text")).withColumnRenamed("block", "line"), "blocks")
+    found = blocks(files.select("path", "text")).withColumnRenamed("block", "text")
+    # a block is long, so its terms are shuffled with a digest of it and not with the block
+    lines = scratch.save(found.select("path", F.unhex(F.sha2("text", 256)).alias("line"), "text"), "blocks")
     counted = lines.groupBy("line").agg(F.count(F.lit(1)).alias("times"))
+    bodies = lines.groupBy("line").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("times"))
     tf = (
-        counted.select("line", "times", F.explode(terms(F.col("line"))).alias("term"))
+        bodies.select("line", "times", F.explode(terms(F.col("text"))).alias("term"))
         .groupBy("line", "term")
         .agg((1 + F.log(F.count(F.lit(1)))).alias("tf"), F.first("times").alias("times"))
     )
@@ -214,7 +217,7 @@ def license_scan(
     best = scores.groupBy("line").agg(F.min(F.struct((-F.col("score")).alias("less"), "license")).alias("b"))
     best = scratch.save(best.select("line", F.col("b.license").alias("license"), (-F.col("b.less")).alias("score")), "best")
     own = (
-        lines.join(best, "line")
+        lines.select("path", "line").join(best, "line")
         .groupBy("path")
         .agg(F.min(F.struct((-F.col("score")).alias("less"), "license")).alias("b"))
         .select(F.col("path").alias("own_path"), F.col("b.license").alias("own_license"), (-F.col("b.less")).alias("own_score"))
