@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from upliftlens.llm import license_scan as license_scan_module
+from upliftlens.llm import line_dedup as line_dedup_module
 from upliftlens.llm.common import Scratch, word_count
 from upliftlens.llm.exact_dedup import block_key, exact_dedup
 from upliftlens.llm.license_scan import license_scan
@@ -232,3 +233,17 @@ def test_terms_of_a_long_licence_file_are_kept_under_a_digest(spark):
     tf = spark.read.parquet(f"{scratch.root}/tf")
     assert tf.count() > 3000 and tf.filter("octet_length(line) > 32").count() == 0
     assert set(found) == {"/a/LICENSE", "/a/b.py"}
+
+
+def test_a_part_of_the_line_join_is_stored_before_the_next_begins(spark):
+    scratch = Scratch(spark)
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long")
+    begun = []
+
+    def part_of(part):
+        begun.append([spark.read.parquet(f"{scratch.root}/some_{i}").count() for i in range(part)])
+        return pairs.filter(line_dedup_module._in_part("a", 3, part))
+
+    whole = line_dedup_module.in_parts(scratch, "some", 3, part_of)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, pairs.collect()))
+    assert [len(x) for x in begun] == [0, 1, 2] and all(n > 0 for n in begun[2])

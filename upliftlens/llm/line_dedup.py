@@ -12,6 +12,9 @@ members of large groups of near copies, and only pairs with an unsettled class e
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +27,10 @@ HASH_BITS = 48
 MASK = (1 << HASH_BITS) - 1
 #: Words of prefixes as they are joined: fewer bits only make more candidates.
 PREFIX_MASK = (1 << 31) - 1
+#: Prefixes are joined in so many parts by word. Pairs are verified in parts by class, in which the words of the pairs
+#: are at most one in PART_SHARE of the words of all lines, so that disk grows as the input if pairs grow faster.
+JOIN_PARTS = 4
+PART_SHARE = 8
 #: Two orders of the word hashes, whose minima are the min-hashes.
 ORDERS = (0x5DEECE66D3A1, 0x2545F4914F6C)
 
@@ -106,9 +113,29 @@ def _order(side: str = "") -> Column:
     return F.struct(c[0].isNull().alias("unknown"), *c)
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """The ids of classes that are similar to an earlier class, of the pairs (a, b) of ids."""
+def in_parts(scratch: Scratch, name: str, parts: int, make: Callable[[int], DataFrame]) -> DataFrame:
+    """The rows of `make(part)` for all parts, stored one after the other; a part's shuffle files go before the next."""
+    saved = []
+    for part in range(parts):
+        saved.append(scratch.save(make(part), f"{name}_{part}"))
+        scratch.tidy()
+    return reduce(DataFrame.union, saved)
+
+
+def _in_part(key: str, parts: int, part: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(parts)) == part
+
+
+def verified(
+    pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, scratch: Scratch, name: str, words: int, free: tuple[str, ...] = ()
+) -> DataFrame:
+    """The ids of classes that are similar to an earlier class, of the pairs (a, b) of ids.
+
+    `words` is the number of words of all lines; the tables in `free` go once the pairs are stored.
+    """
     pairs = scratch.save(pairs.distinct(), f"{name}_pairs")
+    scratch.free(*free)
+    scratch.tidy()
     place = classes.select("id", "doc_id", "th", "line", "lh")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     wanted = scratch.save(place.join(ids, "id"), f"{name}_wanted")
@@ -123,12 +150,20 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int
         wanted.join(found, place).select("id", F.array_distinct(line_words(F.col("body"))).alias("words"), _order().alias("at")),
         f"{name}_contents",
     )
+    scratch.tidy()
+    size = contents.agg(F.coalesce(F.avg(F.size("words")), F.lit(0.0))).first()[0]
+    parts = 1 + int(PART_SHARE * size * pairs.count() // max(1, words))
     a, b = (contents.select([F.col(c).alias(f"{s}_{c}") for c in contents.columns]) for s in "ab")
-    both = pairs.join(a, F.col("a") == F.col("a_id")).join(b, F.col("b") == F.col("b_id"))
     shared = F.size(F.array_intersect("a_words", "b_words"))
     union = F.size("a_words") + F.size("b_words") - shared
     later = F.when(F.col("a_at") > F.col("b_at"), F.col("a")).otherwise(F.col("b"))
-    found = scratch.save(both.filter(shared * 100 >= union * percent).select(later.alias("id")).distinct(), name)
+
+    def similar(part: int) -> DataFrame:
+        some, own = pairs.filter(_in_part("a", parts, part)), a.filter(_in_part("a_id", parts, part))
+        both = some.join(own, F.col("a") == F.col("a_id")).join(b, F.col("b") == F.col("b_id"))
+        return both.filter(shared * 100 >= union * percent).select(later.alias("id")).distinct()
+
+    found = scratch.save(in_parts(scratch, f"{name}_part", parts, similar).distinct(), name)
     scratch.free(f"{name}_pairs", f"{name}_wanted", f"{name}_contents")
     return found
 
@@ -147,6 +182,8 @@ def line_dedup(
     texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
     lines = lines_of(texts).filter(F.btrim("body", F.lit(SPACE_CHARS)) != "")
     tagged = scratch.save(line_classes(lines, rarity(lines), percent, min_words), "lines")
+    words = tagged.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    scratch.tidy()
     key = ["key", "bits", "n"]
     carried = F.struct(*_order_columns(), "id", "lh", "prefix", "m0", "m1")
     classes = scratch.save(
@@ -167,7 +204,7 @@ def line_dedup(
         )
         own = classes.select(m, F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("bits").alias("a_bits"))
         firsts.append(own.join(pivot, (own[m] == pivot[m]) & (F.col("a") != F.col("b")) & close).select("a", "b"))
-    settled = verified(firsts[0].union(firsts[1]), classes, texts, percent, scratch, "settled")
+    settled = verified(firsts[0].union(firsts[1]), classes, texts, percent, scratch, "settled", words)
 
     scratch.tidy()
     state = classes.filter(F.size("prefix") > 0).join(settled.withColumn("done", F.lit(True)), "id", "left")
@@ -190,9 +227,15 @@ def line_dedup(
         & close
         & ~(F.col("a_done") & F.col("b_done"))
     )
-    pairs = a.join(b, meet).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    similar = verified(pairs, classes, texts, percent, scratch, "similar").union(settled).distinct()
-    scratch.free("state", "shared")
+
+    def met(part: int) -> DataFrame:
+        pairs = a.filter(_in_part("a_w", JOIN_PARTS, part)).join(b.filter(_in_part("b_w", JOIN_PARTS, part)), meet)
+        return pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+
+    scratch.tidy()
+    pairs = in_parts(scratch, "met", JOIN_PARTS, met)
+    done = ("state", "shared", *[f"met_{part}" for part in range(JOIN_PARTS)])
+    similar = verified(pairs, classes, texts, percent, scratch, "similar", words, done).union(settled).distinct()
     scratch.tidy()
 
     place = [F.col(c).alias(f"first_{c}") for c in ("doc_id", "th", "line")]
