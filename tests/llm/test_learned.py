@@ -34,6 +34,18 @@ def test_perfect_hash(ranks):
     assert bpe.PerfectHash({}).get(b"a") == -1
 
 
+def test_short_and_long_merges_agree(monkeypatch):
+    rng = random.Random(4)
+    ranks = {bytes([b]): b for b in b"abcd"}
+    while len(ranks) < 300:
+        key = rng.choice(list(ranks)) + rng.choice(list(ranks))
+        ranks.setdefault(key[:9], 1000 + len(ranks))
+    pieces = [bytes(rng.choice(b"abcd") for _ in range(rng.randint(1, bpe.SHORT))) for _ in range(500)]
+    short = [bpe.merged(p, ranks) for p in pieces]
+    monkeypatch.setattr(bpe, "SHORT", 0)
+    assert short == [bpe.merged(p, ranks) for p in pieces]
+
+
 def test_ids_equal_the_library(ranks, library):
     rng = random.Random(1)
     letters = list("abcdefgTHE the  \n\t'sre'1234567890.,;:!?éß漢字  　\x85\x1c🙂\r\n")

@@ -9,9 +9,11 @@ once for each slice of a batch, and recent ones are kept in the worker.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -27,8 +29,11 @@ from upliftlens.llm.common import map_arrow, slices
 KEPT = 400_000
 #: Longer stretches are not kept.
 KEPT_CHARS = 64
-#: Merged pre-tokens kept in a worker, likewise: the same word stands before a space, a comma or a full stop.
+#: Pre-tokens kept in a worker, likewise: the same word stands before a space, a comma or a full stop.
 KEPT_PIECES = 200_000
+#: Pre-tokens of at most so many bytes are merged without a heap, and what stands for a pair that is no token there.
+SHORT = 32
+NO_RANK = 1 << 62
 #: Two white-space characters in a row; texts with such runs are cut by the pattern as a whole.
 RUNS = r"[\t-\r\x85\p{Z}][\t-\r\x85\p{Z}]"
 
@@ -84,6 +89,8 @@ class PerfectHash:
 def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of a pre-token: the lowest rank merges first, of equal ones the leftmost."""
     n = len(piece)
+    if n <= SHORT:
+        return merged_short(piece, ranks)
     follow, before, ends = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
     heap = []
     for i in range(n - 1):
@@ -116,6 +123,24 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def merged_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """As `merged`, for a few bytes: a look over the ranks of all neighbours takes less time than a heap and its links."""
+    get = ranks.get
+    cuts = list(range(len(piece) + 1))
+    pairs = [get(piece[i : i + 2], NO_RANK) for i in range(len(piece) - 1)]
+    while pairs:
+        least = min(pairs)
+        if least == NO_RANK:
+            break
+        i = pairs.index(least)
+        del cuts[i + 1], pairs[i]
+        if i < len(pairs):
+            pairs[i] = get(piece[cuts[i] : cuts[i + 2]], NO_RANK)
+        if i:
+            pairs[i - 1] = get(piece[cuts[i - 1] : cuts[i + 1]], NO_RANK)
+    return [ranks[piece[a:b]] for a, b in zip(cuts, cuts[1:])]
+
+
 class Codec:
     """Encoder and decoder of one vocabulary, with what a worker keeps."""
 
@@ -124,8 +149,8 @@ class Codec:
         self.whole = PerfectHash(ranks)
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.decimal = {rank: str(rank) for rank in ranks.values()}
-        self.pieces: dict[bytes, list[int]] = {}
-        self.older_pieces: dict[bytes, list[int]] = {}
+        self.pieces: dict[str, list[int]] = {}
+        self.older_pieces: dict[str, list[int]] = {}
         self.split = regex.compile(pattern).findall
         self.recent: dict[str, tuple[list[int], str, bytes]] = {}
         self.older: dict[str, tuple[list[int], str, bytes]] = {}
@@ -133,25 +158,21 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []
         for piece in self.split(text):
-            body = piece.encode()
-            rank = self.whole.get(body)
-            if rank >= 0:
-                ids.append(rank)
-            else:
-                ids += self.missed(body)
+            found = self.pieces.get(piece)
+            ids += self.missed(piece) if found is None else found
         return ids
 
-    def missed(self, body: bytes) -> list[int]:
-        """The ids of a pre-token that is not in the vocabulary."""
-        found = self.pieces.get(body)
+    def missed(self, piece: str) -> list[int]:
+        """The ids of a pre-token that the worker has not met lately."""
+        found = self.older_pieces.get(piece)
         if found is None:
-            found = self.older_pieces.get(body)
-            if found is None:
-                found = merged(body, self.ranks)
-            if len(body) <= KEPT_CHARS:
-                if len(self.pieces) >= KEPT_PIECES:
-                    self.older_pieces, self.pieces = self.pieces, {}
-                self.pieces[body] = found
+            body = piece.encode()
+            rank = self.whole.get(body)
+            found = [rank] if rank >= 0 else merged(body, self.ranks)
+        if len(piece) <= KEPT_CHARS:
+            if len(self.pieces) >= KEPT_PIECES:
+                self.older_pieces, self.pieces = self.pieces, {}
+            self.pieces[piece] = found
         return found
 
     def decode(self, ids) -> bytes:
@@ -188,11 +209,9 @@ class Codec:
             own = codes[offsets[row] : offsets[row + 1]].tolist()
             out = [self.stretch(words[own[0]])] if words[own[0]] else []
             for code in own[1:]:
-                part = spaced[code]
-                if part is None:
-                    part = spaced[code] = self.stretch(" " + words[code])
-                out.append(part)
-            yield out
+                if spaced[code] is None:
+                    spaced[code] = self.stretch(" " + words[code])
+            yield out + [spaced[code] for code in own[1:]]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -216,6 +235,16 @@ def _packed(path: str) -> bytes:
         return lines.read().strip()
 
 
+@contextmanager
+def _no_cycle_search():
+    """What a worker keeps holds no cycles, and the search for them would go through all of it again and again."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def _id_type(docs: DataFrame) -> str:
     return docs.schema["doc_id"].dataType.simpleString()
 
@@ -256,16 +285,17 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(packed, pattern)
-        for batch in slices(batches):
-            counts, ids, bodies = [], [], []
-            for parts in codec.texts(batch.column("text")):
-                counts.append(sum([len(part[0]) for part in parts]))
-                ids.append(hashlib.sha256(",".join([part[1] for part in parts]).encode()).hexdigest())
-                bodies.append(hashlib.sha256(b"".join([part[2] for part in parts])).hexdigest())
-            yield pa.record_batch(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(bodies, pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+        with _no_cycle_search():
+            for batch in slices(batches):
+                counts, ids, bodies = [], [], []
+                for parts in codec.texts(batch.column("text")):
+                    counts.append(sum([len(part[0]) for part in parts]))
+                    ids.append(hashlib.sha256(",".join([part[1] for part in parts]).encode()).hexdigest())
+                    bodies.append(hashlib.sha256(b"".join([part[2] for part in parts])).hexdigest())
+                yield pa.record_batch(
+                    [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(bodies, pa.string())],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
 
     schema = f"doc_id {_id_type(docs)}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return map_arrow(docs.select("doc_id", "text"), run, schema)
