@@ -2,7 +2,7 @@
 
 A text is cut into pre-tokens by the tokenizer's pattern. A pre-token that is in the vocabulary is found
 by a minimal perfect hash; any other is merged byte by byte, with the next merge on top of a heap and the
-bytes in a linked list, so a pre-token of n bytes takes n log n steps. Equal stretches of text are encoded
+bytes in a linked list, so a pre-token of n bytes takes n log n steps; a few bytes need no heap. Equal stretches of text are encoded
 once for each slice of a batch, and recent ones are kept in the worker.
 """
 
