@@ -203,3 +203,14 @@ def test_a_rare_language_beside_a_million_windows(spark):
     # windows seen once or twice tell the discounts: every window of the rare language counts 1
     seen = np.array([[ord(c) for c in f"\x02\x02\x02{rare[0]}"]], np.uint32)
     assert model.bits(seen)[0, 0] < model.bits(seen)[0, 1]
+
+
+def test_what_a_tokenizer_keeps_goes_with_its_task():
+    """A worker lives on through later stages, which need its memory."""
+    batch = pa.record_batch([pa.array([1, 2]), pa.array(["one two, three", "vier unbekannte Wörter"])], names=["doc_id", "text"])
+    codec = bpe.Codec(bpe.read_ranks(PATH), P.PATTERN)
+    tasks = bpe._digests(codec, iter([batch, batch]))
+    next(tasks)
+    assert codec.recent and codec.pieces
+    assert len(list(tasks)) == 1
+    assert not (codec.recent or codec.older or codec.pieces or codec.older_pieces)

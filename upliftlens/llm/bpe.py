@@ -3,7 +3,7 @@
 A text is cut into pre-tokens by the tokenizer's pattern. A pre-token that is in the vocabulary is found
 by a minimal perfect hash; any other is merged byte by byte, with the next merge on top of a heap and the
 bytes in a linked list, so a pre-token of n bytes takes n log n steps; a few bytes need no heap. Equal stretches of text are encoded
-once for each slice of a batch, and recent ones are kept in the worker.
+once for each slice of a batch, and recent ones are kept in the worker until its task ends.
 """
 
 from __future__ import annotations
@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame
 from upliftlens.llm.common import map_arrow, slices
 
 #: Stretches kept in a worker; when there are as many again, the older ones go.
-KEPT = 400_000
+KEPT = 250_000
 #: Longer stretches are not kept.
 KEPT_CHARS = 64
 #: Pre-tokens kept in a worker, likewise: the same word stands before a space, a comma or a full stop.
-KEPT_PIECES = 200_000
+KEPT_PIECES = 150_000
 #: Pre-tokens of at most so many bytes are merged without a heap, and what stands for a pair that is no token there.
 SHORT = 32
 NO_RANK = 1 << 62
@@ -175,6 +175,11 @@ class Codec:
             self.pieces[piece] = found
         return found
 
+    def forget(self) -> None:
+        """Let go of what was kept."""
+        for kept in (self.pieces, self.older_pieces, self.recent, self.older):
+            kept.clear()
+
     def decode(self, ids) -> bytes:
         return b"".join([self.tokens[i] for i in ids])
 
@@ -236,12 +241,16 @@ def _packed(path: str) -> bytes:
 
 
 @contextmanager
-def _no_cycle_search():
-    """What a worker keeps holds no cycles, and the search for them would go through all of it again and again."""
+def _one_task(codec: Codec):
+    """What a worker keeps holds no cycles, and the search for them would go through all of it again and again.
+
+    It goes with the task: workers live on through the stages that follow, beside a heap that has grown.
+    """
     gc.disable()
     try:
         yield
     finally:
+        codec.forget()
         gc.enable()
 
 
@@ -255,9 +264,10 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(packed, pattern)
-        for batch in slices(batches):
-            lists = [[i for part in parts for i in part[0]] for parts in codec.texts(batch.column("text"))]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(lists, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        with _one_task(codec):
+            for batch in slices(batches):
+                lists = [[i for part in parts for i in part[0]] for parts in codec.texts(batch.column("text"))]
+                yield pa.record_batch([batch.column("doc_id"), pa.array(lists, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {_id_type(docs)}, ids array<int>")
 
@@ -275,6 +285,20 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
     return map_arrow(tokens.select("doc_id", "ids"), run, f"doc_id {_id_type(tokens)}, body binary")
 
 
+def _digests(codec: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    with _one_task(codec):
+        for batch in slices(batches):
+            counts, ids, bodies = [], [], []
+            for parts in codec.texts(batch.column("text")):
+                counts.append(sum([len(part[0]) for part in parts]))
+                ids.append(hashlib.sha256(",".join([part[1] for part in parts]).encode()).hexdigest())
+                bodies.append(hashlib.sha256(b"".join([part[2] for part in parts])).hexdigest())
+            yield pa.record_batch(
+                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(bodies, pa.string())],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+
+
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """One row per row of `docs`: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
@@ -284,18 +308,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     packed = _packed(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(packed, pattern)
-        with _no_cycle_search():
-            for batch in slices(batches):
-                counts, ids, bodies = [], [], []
-                for parts in codec.texts(batch.column("text")):
-                    counts.append(sum([len(part[0]) for part in parts]))
-                    ids.append(hashlib.sha256(",".join([part[1] for part in parts]).encode()).hexdigest())
-                    bodies.append(hashlib.sha256(b"".join([part[2] for part in parts])).hexdigest())
-                yield pa.record_batch(
-                    [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(bodies, pa.string())],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+        return _digests(_codec(packed, pattern), batches)
 
     schema = f"doc_id {_id_type(docs)}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return map_arrow(docs.select("doc_id", "text"), run, schema)
