@@ -247,3 +247,37 @@ def test_a_part_of_the_line_join_is_stored_before_the_next_begins(spark):
     whole = line_dedup_module.in_parts(scratch, "some", 3, part_of)
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, pairs.collect()))
     assert [len(x) for x in begun] == [0, 1, 2] and all(n > 0 for n in begun[2])
+
+
+def test_lines_of_a_large_group_meet_few_others(spark, monkeypatch):
+    """A line needs one earlier partner, so pairs whose words are compared grow as the lines, not as their square."""
+    common = " ".join(f"common{i}" for i in range(40))
+    texts = [f"{common} own{i}" for i in range(60)] + [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    compared, compare = [], line_dedup_module.similar_to_earlier
+
+    def counted(pairs, contents, percent):
+        compared.append(pairs.count())
+        return compare(pairs, contents, percent)
+
+    monkeypatch.setattr(line_dedup_module, "similar_to_earlier", counted)
+    found = {r.doc_id: r.n_removed for r in line_dedup(docs).collect()}
+    assert found == {i: int(0 < i < 60) for i in range(120)}
+    assert sum(compared) <= 4 * len(texts)
+
+
+def test_words_of_a_line_are_split_at_any_white_space(spark):
+    lines = ["a  b", " a\tb ", "a\x0bb\x0c", "\r a \r b", "a b", "ab"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i long, body string")
+    found = {r.i: r.w for r in df.select("i", line_dedup_module.line_words(F.col("body")).alias("w")).collect()}
+    assert [found[i] for i in range(len(lines))] == [WORD.findall(x) for x in lines]
+
+
+def test_halves_of_the_sketch_hold_for_sets_on_either_side_of_short(spark):
+    """Sets of up to SHORT words have one half of the sketch, longer ones two; similar ones still meet."""
+    n = line_dedup_module.SHORT
+    texts = [" ".join(f"k{i}" for i in range(n + d)) for d in (6, -4, 3, 0, 1)]
+    texts += [" ".join(f"q{i}v{j}" for j in range(n + i)) for i in range(4)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: r.n_removed for r in line_dedup(docs).collect()}
+    assert found == {i: int(0 < i < 5) for i in range(9)}

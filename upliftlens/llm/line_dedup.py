@@ -2,12 +2,14 @@
 
 A line is the set of its words. Words are ordered by rarity, so two similar sets share one of their first
 few words (prefix filter). Pairs that meet on a word are thinned by length, by position in the prefix and
-by a 64-bit parity sketch whose difference can't exceed the difference of the sets; what is left is
+by a 128-bit parity sketch whose difference can't exceed the difference of the sets; what is left is
 verified on the words themselves. Equal sets are one class from the start.
 
 A line goes if an earlier line is similar, by (doc_id, position). So a class needs just one earlier
-partner: each class is first tried against the earliest class with the same min-hash, which settles the
-members of large groups of near copies, and only pairs with an unsettled class enter the join.
+partner: each class is first tried against the earliest class with the same min-hashes of its rarer words, which
+settles the members of large groups of near copies, and only pairs with an unsettled class enter the join. Of the
+pairs that it finds, a class tries the earlier one with the least difference of sketches first, so the pairs whose
+words are compared grow as the classes and not as the square of a group.
 """
 
 from __future__ import annotations
@@ -27,12 +29,14 @@ HASH_BITS = 48
 MASK = (1 << HASH_BITS) - 1
 #: Words of prefixes as they are joined: fewer bits only make more candidates.
 PREFIX_MASK = (1 << 31) - 1
-#: Prefixes are joined in so many parts by word. Pairs are verified in parts by class, in which the words of the pairs
-#: are at most one in PART_SHARE of the words of all lines, so that disk grows as the input if pairs grow faster.
-JOIN_PARTS = 4
-PART_SHARE = 8
-#: Two orders of the word hashes, whose minima are the min-hashes.
-ORDERS = (0x5DEECE66D3A1, 0x2545F4914F6C)
+#: Prefixes are joined in so many parts by word.
+JOIN_PARTS = 2
+#: A bit of a word's hash that tells in which half of the sketch it counts. Sets of up to SHORT words use the first half only.
+HALF = 1 << 26
+SHORT = 64
+#: Orders of the word hashes, whose minima are min-hashes; two of them together are a key of a class.
+ORDERS = (0x5DEECE66D3A1, 0x2545F4914F6C, 0x9E3779B97F4A, 0xC2B2AE3D27D4, 0x165667B19E37, 0x27D4EB2F1656)
+PAIRS = ((0, 1), (2, 3), (4, 5))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -43,17 +47,21 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def line_words(body: Column) -> Column:
-    return F.split(F.btrim(body, F.lit(SPACE_CHARS)), f"[{SPACE}]+")
+    """The words in order; a single space splits without a pattern, so other white space becomes one first."""
+    others = SPACE_CHARS.replace(" ", "")
+    rare = reduce(Column.__or__, [F.contains(body, F.lit(c)) for c in others])
+    spaced = F.when(rare, F.translate(body, others, " " * len(others))).otherwise(body)
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def _bucket(h: Column) -> Column:
     return F.shiftrightunsigned(h, 46).cast("int")
 
 
-def rarity(lines: DataFrame) -> Column:
+def rarity(texts: DataFrame) -> Column:
     """For each bucket of words, the logarithm of its count, as a scalar array."""
     counted = (
-        lines.select(F.explode(line_words(F.col("body"))).alias("w"))
+        texts.select(F.explode(F.split("text", f"[{SPACE}]+")).alias("w"))
         .groupBy(_bucket(F.xxhash64("w")).alias("bucket"))
         .agg(F.floor(F.log2(F.count(F.lit(1)) + 1) * 256).cast("int").alias("level"))
     )
@@ -70,17 +78,23 @@ def line_classes(lines: DataFrame, levels: Column, percent: int, min_words: int)
     A set so small that no other can be similar has no prefix: it is only ever equal to another.
     """
 
-    def ordered(w: Column) -> Column:
-        h = F.xxhash64(w)
-        level = F.element_at("levels", _bucket(h) + 1).cast("long")
+    def ordered(h: Column) -> Column:
+        # without a null among them, numbers are sorted as such
+        level = F.coalesce(F.element_at("levels", _bucket(h) + 1), F.lit(0)).cast("long")
         return F.shiftleft(level, HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit(MASK)))
 
     def parity(acc: Column, x: Column) -> Column:
         return acc.bitwiseXOR(one_bit(F.shiftright(x, 20).bitwiseAND(F.lit(63)).cast("int")))
 
+    def sketch(half: int) -> Column:
+        own = F.filter("set", lambda x: x.bitwiseAND(F.lit(HALF)) == half)
+        return F.aggregate(own, F.lit(0).cast("long"), parity)
+
     def least(order: int) -> Column:
-        return F.array_min(F.transform("set", lambda x: x.bitwiseAND(F.lit(MASK)).bitwiseXOR(F.lit(order))))
+        rarer = F.slice("set", F.lit(1), F.ceil(F.size("set") / 2).cast("int"))
+        return F.array_min(F.transform(rarer, lambda x: x.bitwiseAND(F.lit(MASK)).bitwiseXOR(F.lit(order))))
 
+    hashes = F.array_distinct(F.transform(line_words(F.col("body")), lambda w: F.xxhash64(w)))
     # The id keeps the filter behind this step, where the sets are made, instead of making them twice.
     sets = lines.select("*", levels.alias("levels")).select(
         "doc_id",
@@ -88,7 +102,7 @@ def line_classes(lines: DataFrame, levels: Column, percent: int, min_words: int)
         "line",
         F.monotonically_increasing_id().alias("id"),
         F.xxhash64("body").alias("lh"),
-        F.sort_array(F.array_distinct(F.transform(line_words(F.col("body")), ordered))).alias("set"),
+        F.sort_array(F.transform(hashes, ordered)).alias("set"),
     ).filter(F.size("set") >= min_words)
     n = F.size("set")
     return sets.select(
@@ -99,12 +113,13 @@ def line_classes(lines: DataFrame, levels: Column, percent: int, min_words: int)
         "id",
         n.alias("n"),
         F.xxhash64("set").alias("key"),
-        F.aggregate("set", F.lit(0).cast("long"), parity).alias("bits"),
+        sketch(0).alias("bits"),
+        F.when(n > SHORT, sketch(HALF)).otherwise(F.lit(0).cast("long")).alias("more"),
         F.transform(
             F.slice("set", F.lit(1), F.when(n * 100 >= (n + 1) * percent, n - _ceil_ratio(n, percent, 100) + 1).otherwise(0)),
             lambda x: x.bitwiseAND(F.lit(PREFIX_MASK)).cast("int"),
         ).alias("prefix"),
-        *[least(o).alias(f"m{i}") for i, o in enumerate(ORDERS)],
+        F.array(*[F.xxhash64(least(ORDERS[i]), least(ORDERS[j])) for i, j in PAIRS]).alias("hashes"),
     )
 
 
@@ -126,19 +141,10 @@ def _in_part(key: str, parts: int, part: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(parts)) == part
 
 
-def verified(
-    pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, scratch: Scratch, name: str, words: int, free: tuple[str, ...] = ()
-) -> DataFrame:
-    """The ids of classes that are similar to an earlier class, of the pairs (a, b) of ids.
-
-    `words` is the number of words of all lines; the tables in `free` go once the pairs are stored.
-    """
-    pairs = scratch.save(pairs.distinct(), f"{name}_pairs")
-    scratch.free(*free)
-    scratch.tidy()
-    place = classes.select("id", "doc_id", "th", "line", "lh")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = scratch.save(place.join(ids, "id"), f"{name}_wanted")
+def contents_of(ids: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(id, body, at) of the classes in `ids`: their first lines, read from the texts, and their order."""
+    wanted = classes.select("id", "doc_id", "th", "line", "lh").filter(hashed_members(ids, "id")(F.col("id")))
+    wanted = scratch.save(wanted.join(ids, "id"), f"{name}_wanted")
     has_text, is_line = hashed_members(wanted, "th"), hashed_members(wanted, "lh")
     text = F.coalesce(F.col("text"), F.lit(""))
     found = lines_of(docs.filter(has_text(F.xxhash64(text)))).withColumn("lh", F.xxhash64("body"))
@@ -146,28 +152,27 @@ def verified(
     # equal texts give equal lines, so one of each is enough
     found = found.filter(is_line(F.col("lh"))).join(wanted.select(*place).distinct(), place, "left_semi")
     found = found.select(*place, "body").dropDuplicates(place)
-    contents = scratch.save(
-        wanted.join(found, place).select("id", F.array_distinct(line_words(F.col("body"))).alias("words"), _order().alias("at")),
-        f"{name}_contents",
-    )
+    found = wanted.join(found, place).select("id", "body", _order().alias("at"))
+    found = scratch.save(found, f"{name}_contents")
+    scratch.free(f"{name}_wanted")
     scratch.tidy()
-    size = contents.agg(F.coalesce(F.avg(F.size("words")), F.lit(0.0))).first()[0]
-    parts = 1 + int(PART_SHARE * size * pairs.count() // max(1, words))
-    a, b = (contents.select([F.col(c).alias(f"{s}_{c}") for c in contents.columns]) for s in "ab")
-    shared = F.size(F.array_intersect("a_words", "b_words"))
-    union = F.size("a_words") + F.size("b_words") - shared
-    later = F.when(F.col("a_at") > F.col("b_at"), F.col("a")).otherwise(F.col("b"))
-
-    def similar(part: int) -> DataFrame:
-        some, own = pairs.filter(_in_part("a", parts, part)), a.filter(_in_part("a_id", parts, part))
-        both = some.join(own, F.col("a") == F.col("a_id")).join(b, F.col("b") == F.col("b_id"))
-        return both.filter(shared * 100 >= union * percent).select(later.alias("id")).distinct()
-
-    found = scratch.save(in_parts(scratch, f"{name}_part", parts, similar).distinct(), name)
-    scratch.free(f"{name}_pairs", f"{name}_wanted", f"{name}_contents")
     return found
 
 
+def similar_to_earlier(pairs: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
+    """The ids `late` of those pairs (late, early) whose words are similar."""
+    late, early = (contents.select(F.col("id").alias(s), F.col("body").alias(f"{s}_body")) for s in ("late", "early"))
+    both = pairs.select("late", "early").join(early, "early").join(late, "late")
+    both = both.select("late", *[F.array_distinct(line_words(F.col(f"{s}_body"))).alias(f"{s}_words") for s in ("late", "early")])
+    shared = F.size(F.array_intersect("late_words", "early_words"))
+    union = F.size("late_words") + F.size("early_words") - shared
+    return both.filter(shared * 100 >= union * percent).select(F.col("late").alias("id")).distinct()
+
+
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("late", "early")).alias("id")).distinct()
+
+
 def line_dedup(
     docs: DataFrame, scratch: Scratch | None = None, percent: int = 80, min_words: int = 1
 ) -> DataFrame:
@@ -181,69 +186,105 @@ def line_dedup(
     scratch = scratch or Scratch(docs.sparkSession)
     texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
     lines = lines_of(texts).filter(F.btrim("body", F.lit(SPACE_CHARS)) != "")
-    tagged = scratch.save(line_classes(lines, rarity(lines), percent, min_words), "lines")
-    words = tagged.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    tagged = scratch.save(line_classes(lines, rarity(texts), percent, min_words), "lines")
     scratch.tidy()
     key = ["key", "bits", "n"]
-    carried = F.struct(*_order_columns(), "id", "lh", "prefix", "m0", "m1")
-    classes = scratch.save(
-        tagged.groupBy(*key).agg(F.min(carried).alias("c")).select(*key, "c.*").drop("unknown"), "classes"
-    )
+    carried = ["doc_id", "th", "line", "id", "lh", "more", "prefix", "hashes"]
+    # only lines that may be alike are dealt out; a line that no other equals is a class as it stands
+    alike = scratch.save(tagged.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"), "alike")
+    marked = tagged.withColumn("alike", hashed_members(alike, "key")(F.col("key")))
+    whole = marked.filter(~F.col("alike")).select(*key, F.lit(1).cast("long").alias("members"), *carried)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), *carried)).alias("c")
+    classes = marked.filter("alike").groupBy(*key).agg(first, F.count(F.lit(1)).alias("members"))
+    classes = scratch.save(whole.union(classes.select(*key, "members", *[f"c.{c}" for c in carried])), "classes")
+    scratch.free("alike")
+    scratch.tidy()
 
     need = _ceil_ratio(F.col("a_n") + F.col("b_n"), percent, 100 + percent)
-    close = (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent) & (
-        F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits"))) <= F.col("a_n") + F.col("b_n") - need * 2
-    )
-    firsts = []
-    for m in ("m0", "m1"):
-        pivot = (
-            classes.groupBy(m)
-            .agg(F.min(F.struct(*_order_columns(), "id", "n", "bits")).alias("p"), F.count(F.lit(1)).alias("members"))
-            .filter("members > 1")
-            .select(m, F.col("p.id").alias("b"), F.col("p.n").alias("b_n"), F.col("p.bits").alias("b_bits"))
-        )
-        own = classes.select(m, F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("bits").alias("a_bits"))
-        firsts.append(own.join(pivot, (own[m] == pivot[m]) & (F.col("a") != F.col("b")) & close).select("a", "b"))
-    settled = verified(firsts[0].union(firsts[1]), classes, texts, percent, scratch, "settled", words)
+    sketch = ["n", "bits", "more"]
+    both = (F.col("a_more") != 0) & (F.col("b_more") != 0)
+    apart = F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits"))) + F.when(
+        both, F.bit_count(F.col("a_more").bitwiseXOR(F.col("b_more")))
+    ).otherwise(0)
+    close = (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent) & (apart <= F.col("a_n") + F.col("b_n") - need * 2)
+
+    # a key of one class only brings nothing together
+    hashed = classes.select(F.explode("hashes").alias("m"), "doc_id", "th", "line", "id", *sketch)
+    common = scratch.save(hashed.groupBy("m").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("m"), "common")
+    hashed = hashed.filter(hashed_members(common, "m")(F.col("m")))
+    pivot = hashed.groupBy("m").agg(F.min(F.struct(*_order_columns(), "id", *sketch)).alias("p"), F.min("id").alias("x"), F.max("id").alias("y"))
+    pivot = pivot.filter("x != y").select("m", F.col("p.id").alias("early"), *[F.col(f"p.{c}").alias(f"b_{c}") for c in sketch])
+    own = hashed.select("m", F.col("id").alias("late"), *[F.col(c).alias(f"a_{c}") for c in sketch])
+    first = own.join(pivot, "m").filter((F.col("late") != F.col("early")) & close)
+    first = scratch.save(first.select("late", "early").distinct(), "first")
+    settled = scratch.save(similar_to_earlier(first, contents_of(_ids(first), classes, texts, scratch, "first"), percent), "settled")
+    scratch.free("common", "first", "first_contents")
+    scratch.tidy()
 
+    # only classes that may be settled are looked up
+    some = classes.select("id", *sketch, "prefix").filter(F.size("prefix") > 0).withColumn("may", hashed_members(settled, "id")(F.col("id")))
+    found = some.filter("may").join(settled.withColumn("done", F.lit(True)), "id", "left")
+    some = some.filter(~F.col("may")).withColumn("done", F.lit(False)).unionByName(found.withColumn("done", F.coalesce("done", F.lit(False))))
+    some = scratch.save(some.drop("may"), "state")
     scratch.tidy()
-    state = classes.filter(F.size("prefix") > 0).join(settled.withColumn("done", F.lit(True)), "id", "left")
-    state = state.select("n", "bits", "id", F.coalesce("done", F.lit(False)).alias("done"), F.posexplode("prefix").alias("pos", "w"))
-    # a word in the prefix of one set only brings nothing together
-    shared = state.groupBy("w").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1")
-    shared = scratch.save(shared.select("w"), "shared")
-    state = scratch.save(state.filter(hashed_members(shared, "w")(F.col("w"))), "state")
-    n = F.col("n")
-    short = state.filter(F.col("pos") < n - _ceil_ratio(n, 2 * percent, 100 + percent) + 1)
-    a, b = (
-        df.select(*[F.col(c).alias(f"{s}_{c}") for c in ("w", "pos", "id", "n", "bits", "done")])
-        for s, df in (("a", short), ("b", state))
-    )
-    rest = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
+    # length, position and state of a word in one number keep its row short
+    marks = F.shiftleft(F.col("n").cast("long"), 25).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 1)).bitwiseOR(F.col("done").cast("long"))
+    state = some.select("id", *sketch, "done", F.posexplode("prefix").alias("pos", "w"))
+    state = state.select("w", "bits", "more", "id", marks.alias("marks"))
+
+    def read(side: str) -> DataFrame:
+        # all columns of both sides agree, so that the rows are dealt out once
+        return state.select(*[F.col(c).alias(f"{side}_{c}") for c in state.columns])
+
+    def n_of(side: str) -> Column:
+        return F.shiftright(f"{side}_marks", 25).cast("int")
+
+    def rest_of(side: str) -> Column:
+        return n_of(side) - F.shiftright(F.col(f"{side}_marks").bitwiseAND(F.lit((1 << 25) - 1)), 1).cast("int")
+
+    needed = _ceil_ratio(n_of("a") + n_of("b"), percent, 100 + percent)
     meet = (
         (F.col("a_w") == F.col("b_w"))
-        & ((F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_id") < F.col("b_id"))))
-        & (rest >= need)
-        & close
-        & ~(F.col("a_done") & F.col("b_done"))
+        & ((n_of("a") < n_of("b")) | ((n_of("a") == n_of("b")) & (F.col("a_id") < F.col("b_id"))))
+        & (n_of("a") * 100 >= n_of("b") * percent)
+        & (F.least(rest_of("a"), rest_of("b")) >= needed)
+        & (apart <= n_of("a") + n_of("b") - needed * 2)
+        & (F.col("a_marks").bitwiseAND(F.col("b_marks")).bitwiseAND(F.lit(1)) == 0)
     )
 
     def met(part: int) -> DataFrame:
-        pairs = a.filter(_in_part("a_w", JOIN_PARTS, part)).join(b.filter(_in_part("b_w", JOIN_PARTS, part)), meet)
-        return pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+        pairs = read("a").filter(_in_part("a_w", JOIN_PARTS, part)).join(read("b").filter(_in_part("b_w", JOIN_PARTS, part)), meet)
+        return pairs.select(F.col("a_id").alias("late"), F.col("b_id").alias("early"), apart.alias("apart")).distinct()
 
+    pairs = scratch.save(in_parts(scratch, "met", JOIN_PARTS, met).distinct(), "pairs")
+    scratch.free("state", *[f"met_{part}" for part in range(JOIN_PARTS)])
     scratch.tidy()
-    pairs = in_parts(scratch, "met", JOIN_PARTS, met)
-    done = ("state", "shared", *[f"met_{part}" for part in range(JOIN_PARTS)])
-    similar = verified(pairs, classes, texts, percent, scratch, "similar", words, done).union(settled).distinct()
+    contents = contents_of(_ids(pairs), classes, texts, scratch, "met")
+    at = contents.select("id", "at")
+    pairs = pairs.join(at.withColumnsRenamed({"id": "late", "at": "x"}), "late").join(at.withColumnsRenamed({"id": "early", "at": "y"}), "early")
+    ahead = F.col("x") > F.col("y")
+    pairs = pairs.select(
+        F.when(ahead, F.col("late")).otherwise(F.col("early")).alias("late"),
+        F.when(ahead, F.col("early")).otherwise(F.col("late")).alias("early"),
+        "apart",
+    )
+    pairs = scratch.save(pairs.join(settled.withColumnRenamed("id", "late"), "late", "left_anti"), "directed")
+    nearest = pairs.groupBy("late").agg(F.min(F.struct("apart", "early")).alias("p")).select("late", F.col("p.early").alias("early"))
+    nearest = scratch.save(similar_to_earlier(nearest, contents, percent), "nearest")
+    others = scratch.save(pairs.join(nearest.withColumnRenamed("id", "late"), "late", "left_anti"), "rest")
+    some = contents.filter(hashed_members(_ids(others), "id")(F.col("id")))
+    others = scratch.save(similar_to_earlier(others, some, percent), "others")
+    similar = scratch.save(settled.union(nearest).union(others).distinct(), "similar")
+    scratch.free("settled", "nearest", "others", "rest", "pairs", "directed", "met_contents")
     scratch.tidy()
 
     place = [F.col(c).alias(f"first_{c}") for c in ("doc_id", "th", "line")]
-    gone = classes.join(similar.withColumn("similar", F.lit(True)), "id", "left").select(
-        *key, *place, F.coalesce("similar", F.lit(False)).alias("similar")
+    gone = classes.filter((F.col("members") > 1) | hashed_members(similar, "id")(F.col("id")))
+    gone = gone.join(similar.withColumn("similar", F.lit(True)), "id", "left").select(
+        *key, "members", *place, F.coalesce("similar", F.lit(False)).alias("similar")
     )
-    gone = scratch.save(gone, "gone")
-    scratch.free("classes", "settled", "similar")
+    gone = scratch.save(gone.filter("similar or members > 1").drop("members"), "gone")
+    scratch.free("classes", "similar")
     # by place and not by id, so that rows which repeat a document agree
     first = (
         F.col("doc_id").eqNullSafe(F.col("first_doc_id"))
@@ -252,6 +293,7 @@ def line_dedup(
     )
     removed = (
         tagged.select("doc_id", "th", "line", *key)
+        .filter(hashed_members(gone, "key")(F.col("key")))
         .join(gone, key)
         .filter(F.col("similar") | ~first)
         .groupBy(F.col("doc_id").alias("__doc_id"), F.col("th").alias("__th"))
