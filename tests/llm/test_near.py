@@ -299,3 +299,57 @@ def test_lost_pairs_beside_a_large_group(spark, monkeypatch):
     found = {r.vec_id: r for r in near_vectors(spark.createDataFrame(rows, VECTORS)).collect()}
     assert all((found[i].component_id, found[i].n_links) == (1, 399) for i in range(1, 401))
     assert all((found[i].component_id, found[i].n_links) == (i - (i + 1) % 2, 1) for i in range(401, 1001))
+
+
+def brute(rows):
+    """Components and numbers of links of (id, vector, label, ...) rows, all compared."""
+    links = []
+    for label in {r[2] for r in rows}:
+        own = [r for r in rows if r[2] == label]
+        x = np.array([r[1] for r in own])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        for s in range(0, len(own), 1000):
+            i, j = np.nonzero(x[s : s + 1000] @ x.T >= 0.98)
+            links += [(own[a + s][0], own[b][0]) for a, b in zip(i.tolist(), j.tolist(), strict=True) if a + s < b]
+    degree = {r[0]: 0 for r in rows}
+    for a, b in links:
+        degree[a], degree[b] = degree[a] + 1, degree[b] + 1
+    part = reached(list(degree), links)
+    return {i: (part[i], degree[i]) for i in degree}
+
+
+def test_vectors_near_nothing_stay_out_of_the_descent(spark, monkeypatch):
+    """What has no vector within twice the angle of a link leads to none, and costs no round."""
+    seen, descend = [], neighbours._descend
+    monkeypatch.setattr(neighbours, "_descend", lambda *a: (seen.append(a[1].count()), descend(*a))[1])
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=32).tolist(), i % 2, "x") for i in range(2000)]
+    rows += [(2000 + i, (np.array(rows[i][1]) + 0.05 * rng.normal(size=32)).tolist(), i % 2, "x") for i in range(20)]
+    found = near_vectors(spark.createDataFrame(rows, VECTORS)).collect()
+    assert {r.vec_id: (r.component_id, r.n_links) for r in found} == brute(rows)
+    assert max(seen) <= 40
+
+
+def test_groups_that_trees_cut(spark, monkeypatch):
+    """More vectors than a bucket and a leaf hold, off the origin; by the lists alone."""
+    monkeypatch.setattr(neighbours, "AUDIT", 0)
+    monkeypatch.setattr(neighbours, "EVERY", 10**9)
+    rng = np.random.default_rng(6)
+    assert neighbours.BUCKET < 9000 and 1500 > neighbours.LEAF
+    shift = 0.8 * rng.normal(size=24)
+    rows = [(i, (shift + rng.normal(size=24)).tolist(), int(i >= 9000), "x") for i in range(10_500)]
+    rows += [(20_000 + i, (np.array(rows[i][1]) + 0.1 * rng.normal(size=24)).tolist(), rows[i][2], "x") for i in range(0, 10_500, 30)]
+    hot = rng.normal(size=24)
+    rows += [(30_000 + i, (hot + 0.05 * rng.normal(size=24)).tolist(), 0, "x") for i in range(60)]
+    found = near_vectors(spark.createDataFrame(rows, VECTORS)).collect()
+    want = brute(rows)
+    assert sum(n > 0 for _, n in want.values()) > 300
+    assert {r.vec_id: (r.component_id, r.n_links) for r in found} == want
+
+
+def test_equal_vectors_of_single_precision(spark):
+    """Zeros of either sign are equal; rows that share an id and differ stay two."""
+    rows = [(1, [0.0, 1.0], 0), (2, [-0.0, 1.0], 0), (3, [1.0, 0.0], 0), (3, [0.0, 1.0], 0), (4, [0.0, float("-inf")], 0), (5, [1.0, None], 0)]
+    kind = "vec_id long, embedding array<float>, label int"
+    found = sorted((r.vec_id, r.n_links, r.component_id) for r in near_vectors(spark.createDataFrame(rows, kind)).collect())
+    assert found == [(1, 2, 1), (2, 2, 1), (3, 0, 3), (3, 2, 1), (4, 0, 4), (5, 0, 5)]
