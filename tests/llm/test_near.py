@@ -5,11 +5,12 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from upliftlens.llm import neighbours, pii
+from upliftlens.llm import minhash, neighbours, pii
 from upliftlens.llm.common import Scratch
 from upliftlens.llm.components import components, roots
 from upliftlens.llm.minhash import minhash_dedup
@@ -105,6 +106,37 @@ def test_a_large_group_of_near_copies(spark):
     assert found == reached(list(sets), links)
 
 
+def test_sketches_that_differ_in_two_bits():
+    """Where classes of different components meet, two bits of a sketch count as two, the highest among them too."""
+    names = ["key", "slot", "piece", "role", "id", "component", "n", "inside", *minhash.SKETCH, *minhash.PARTS]
+    for bit in range(256):
+        sketch = np.zeros(4, np.uint64)
+        sketch[bit // 64] = np.uint64(1) << np.uint64(bit % 64) | np.uint64(1) << np.uint64((bit + 1) % 64)
+        there = [1, 0, 0, 0, 7, 7, 100, True, *[0] * 4, *[0] * minhash.LONGS]
+        here = [1, 0, 0, 1, 9, 9, 101, False, *sketch.view(np.int64).tolist(), *[0] * minhash.LONGS]
+        batch = pa.record_batch([pa.array(c) for c in zip(there, here, strict=True)], names=names)
+        told = [r for b in minhash._meet(85)([batch]) for r in b.to_pylist()]
+        assert told == [{"a": 9, "b": 7, "distance": 0}], bit
+
+
+def test_far_members_of_large_groups(spark):
+    """Copies of a few texts with up to an eighth of the words changed: some have one link, just over the threshold."""
+    rng = random.Random(12)
+    docs = []
+    for _ in range(2):
+        text = [f"w{rng.randint(0, 300)}" for _ in range(300)]
+        for k in range(260):
+            copy = list(text)
+            for _ in range(k // 7):
+                copy[rng.randrange(300)] = f"v{rng.randint(0, 300)}"
+            docs.append((len(docs), " ".join(copy)))
+    sets = {i: shingles(t, 3) for i, t in docs}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in minhash_dedup(df, shingle=3, percent=85).collect()}
+    assert found == reached(list(sets), links)
+
+
 def test_no_documents(no_documents, spark):
     assert minhash_dedup(no_documents).count() == 0
     assert find_pii(no_documents).count() == 0

@@ -267,7 +267,7 @@ def _meet(percent: int):
             if not batch.num_rows:
                 continue
             column = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "slot", "piece", "role", "id", "component", "n", "inside")}
-            sketch = np.stack([batch.column(c).to_numpy() for c in SKETCH], axis=1)
+            sketch = np.stack([batch.column(c).to_numpy() for c in SKETCH], axis=1).view(np.uint64)  # of signed numbers, bits would be counted without the sign
             longs = np.stack([batch.column(c).to_numpy() for c in PARTS], axis=1)
             about = {c: column[c] for c in ("id", "component", "n", "inside")}
             about |= {"sketch": sketch, "signature": longs.view(np.uint16)[:, : CHUNKS * WIDTH]}
