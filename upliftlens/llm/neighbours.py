@@ -47,6 +47,8 @@ STILL = 0.002
 MARGIN = 0.005
 #: Classes of a block in small and in large components, and blocks that a component has before they grow.
 BLOCK, LARGE, BLOCKS = 512, 4096, 16
+#: Classes of a block of the audit, whose blocks each meet all of the other kind.
+AUDITED = 16_384
 #: Rows that are compared at once.
 ROWS = 512
 #: The cosine of a leader to the vectors that it stands for.
@@ -635,8 +637,8 @@ def _audit(
     few = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(max(1, total // max(1, AUDIT)))) == 0 if AUDIT else F.lit(False)
     chosen = (F.pmod("id", F.lit(EVERY)) == turn) | few
     marked = classes.select("g", "id", "v", "n", chosen.alias("chosen"))
-    block = F.ceil(F.count(F.lit(1)) / BUCKET).cast("int")
-    sizes = marked.groupBy("g").agg(block.alias("blocks"), F.ceil(F.count_if("chosen") / LARGE).cast("int").alias("samples"))
+    block = F.ceil(F.count(F.lit(1)) / AUDITED).cast("int")
+    sizes = marked.groupBy("g").agg(block.alias("blocks"), F.ceil(F.count_if("chosen") / AUDITED).cast("int").alias("samples"))
     sizes = scratch.save(sizes.filter("samples > 0"), f"audit_sizes_{turn}")
 
     def dealt(rows: DataFrame, own: str, other: str, sampled: bool) -> DataFrame:
@@ -659,11 +661,13 @@ def _audit(
                 part = table.slice(first, last - first)
                 x, ids, n = _units(part["v"].combine_chunks()), part["id"].to_numpy(), part["n"].to_numpy()
                 sampled = part["sampled"].to_numpy()
-                one, two = np.flatnonzero(sampled), np.flatnonzero(~sampled)
-                linked = _linked(x, ids, one, two, threshold)
-                i, j = _spanning(linked, one, two, len(ids))
-                yield _counted(ids[one], _weigh(linked, n[two]), ids[one])
-                yield _counted(ids[i], np.zeros(len(i), np.int64), ids[j])
+                every, two = np.flatnonzero(sampled), np.flatnonzero(~sampled)
+                for s in range(0, len(every), LARGE):
+                    one = every[s : s + LARGE]
+                    linked = _linked(x, ids, one, two, threshold)
+                    i, j = _spanning(linked, one, two, len(ids))
+                    yield _counted(ids[one], _weigh(linked, n[two]), ids[one])
+                    yield _counted(ids[i], np.zeros(len(i), np.int64), ids[j])
 
     seen = scratch.save(map_arrow(work, run, "id long, links long, other long"), f"audit_{turn}")
     true = seen.filter("id = other").groupBy("id").agg(F.sum("links").alias("n")).filter("n > 0")
